@@ -143,6 +143,18 @@ def float_text(x: Column) -> Column:
     )
 
 
+def round_share(x: Column, scale: int = 10_000) -> Column:
+    """Round a share in [0, 1] to 1/``scale``, ties decided on the exact binary value, then to even.
+
+    ``x`` is split so that both products below are exact doubles.
+    """
+    high = F.floor(x * F.lit(2.0**26)) / F.lit(2.0**26)
+    low = x - high
+    k = F.floor(x * scale)
+    over = (high * (2.0 * scale) - (2 * k + 1)) + low * (2.0 * scale)
+    return F.when((over > 0) | ((over == 0) & (k % 2 == 1)), k + 1).otherwise(k) / F.lit(float(scale))
+
+
 def as_text(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """The string view of a typed table. SQL NULL stays NULL; ``keep`` columns stay typed."""
     kept = set(keep or [])

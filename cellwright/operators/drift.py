@@ -62,27 +62,23 @@ def ks_p_value(d: float, n: int, m: int) -> float:
 def _exact_p(d: float, n: int, m: int) -> float:
     """Share of lattice paths from (0, 0) to (n, m) that leave the band |i/n - j/m| < d.
 
-    The chance of each path cell is built one row at a time; within a row the recursion
-    ``p[j] = up[j] * stay + p[j-1] * go`` is unrolled with running products kept in logs.
+    Inside paths are counted one row at a time: a running sum of the row before, cut to the band.
+    Counts are rescaled when they grow large, with the factor kept as a logarithm.
     """
     lcm = math.lcm(n, m)
     reach = round(d * lcm)
     per_i, per_j = lcm // n, lcm // m
-    # u[j]: number of inside paths to (i, j), scaled by binomial counts through probabilities
     j = np.arange(m + 1)
     inside = np.where(j * per_j < reach, 1.0, 0.0)
     row = np.cumprod(inside)
     scale = 0.0  # log of the factor removed so far
     for i in range(1, n + 1):
-        row = row * (np.abs(i * per_i - j * per_j) < reach)
-        # paths arrive from the left within the band: prefix sums restart outside it, where row is 0
         band = np.flatnonzero(np.abs(i * per_i - j * per_j) < reach)
         if band.size == 0:
             return 1.0
         lo, hi = band[0], band[-1] + 1
+        row[:lo] = row[hi:] = 0.0
         row[lo:hi] = np.cumsum(row[lo:hi])
-        row[:lo] = 0.0
-        row[hi:] = 0.0
         top = row.max()
         if top == 0.0:
             return 1.0

@@ -6,6 +6,7 @@ a shuffle: each row carries its own change list, and only that list leaves it as
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -112,22 +113,27 @@ def repair(
     original_facts: dict[str, ColumnFacts] | None = None,
     revisit: bool = False,
     domain: str = "generic",
+    keep: Callable[[DataFrame], DataFrame] = lambda table: table,
 ) -> Repaired:
     """One repair pass over every flagged or blank cell.
 
     ``original`` names, per column, the column that still holds the first text: findings are then
-    made on that text and with ``original_facts``, while blanks and ``revisit``'s type errors are
-    looked for in the current text.
+    made on that text and with ``original_facts``, and only where it still stands (or, with
+    ``config.replay``, everywhere). Blanks and ``revisit``'s type errors are looked for in the current
+    text. ``keep`` may write the repaired table before fixes by join are looked up.
     """
     columns = [c for c in data_columns(df, row_col) if c in facts]
     first = original_facts or facts
 
     def flag(c: str) -> Column:
         seen, f = F.col((original or {}).get(c, c)), first[c]
-        tests = [outlier_test(seen, f, config), rare_test(seen, f), format_test(seen, f), missing_test(F.col(c), f)]
-        if revisit:
+        tests = [t for t in (outlier_test(seen, f, config), rare_test(seen, f), format_test(seen, f)) if t is not None]
+        if revisit and not config.replay:
+            tests = [F.when(seen.eqNullSafe(F.col(c)), t) for t in tests]
+        tests.append(missing_test(F.col(c), f))
+        if revisit and f.is_number:
             tests.append(type_test(F.col(c), f))
-        hit = F.coalesce(*[t for t in tests if t is not None])
+        hit = F.coalesce(*tests)
         return F.when(hit.isNotNull(), F.struct(hit.alias("f"), F.col(c).alias("old_value")))
 
     flags = F.array(*[flag(c) for c in columns]) if columns else F.array().cast(
@@ -168,7 +174,7 @@ def repair(
         ],
         "_changes",
     )
-    out = Repaired(table, columns, row_col)
+    out = Repaired(keep(table), columns, row_col)
     if joined is None and proposals is None:
         return out
     out.external = _external(out.unresolved, joined, proposals, columns, domain)
