@@ -47,16 +47,16 @@ def ks_p_value(d: float, n: int, m: int) -> float:
     """P(D >= d) for two samples of one distribution: exact for small samples, else the series."""
     if d <= 0:
         return 1.0
-    if max(n, m) <= EXACT_LIMIT:
-        return _exact_p(d, n, m)
     size = n * m / (n + m)
     x = math.sqrt(size) * d
     # small-sample shift of the limiting law, exact to order n^-3/2
     x += 1 / (6 * math.sqrt(size)) + (x - 1) / (4 * size)
     if x <= 0.2:
-        return 1.0
+        return _exact_p(d, n, m) if max(n, m) <= EXACT_LIMIT else 1.0
     total = sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 101))
-    return min(1.0, max(0.0, 2 * total))
+    p = min(1.0, max(0.0, 2 * total))
+    # far out in the tail the exact count drowns in the rounding of its logarithms
+    return _exact_p(d, n, m) if max(n, m) <= EXACT_LIMIT and p > 1e-5 else p
 
 
 def _exact_p(d: float, n: int, m: int) -> float:
