@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from .text import strip
@@ -34,25 +37,38 @@ MOMENT_FORMATS = [
 # ---------------------------------------------------------------------------------------
 
 
-def _parse(text: Column, shape: str, fmt: str) -> Column:
-    day = F.try_to_date(text, fmt)
-    if fmt.endswith("yy") and not fmt.endswith("yyyy"):
+def let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """Name an expression so that it is evaluated once, however often ``use`` refers to it."""
+    return F.transform(F.array(x), use)[0]
+
+
+def _try_day(parts: Column, fmt: str) -> Column:
+    """ISO text of the day whose parts stand in the order of ``fmt``; NULL when there is no such day."""
+    order = [p[0] for p in re.split(r"[/.-]", fmt)]
+    year, month, day = (parts[order.index(k)] for k in "yMd")
+    if not fmt.count("y") == 4:
         # two-digit years from 69 on belong to the last century
-        late = F.year(day) % 100 >= 69
-        day = F.when(late, F.add_months(day, -1200)).otherwise(day)
-    else:
-        # a written year below 100 counts from 2000
-        day = F.when(F.year(day) < 100, F.add_months(day, 24000)).otherwise(day)
-    return F.when(text.rlike(shape), day)
+        year = F.concat(F.when(year >= "69", "19").otherwise("20"), year)
+    return F.concat_ws("-", year, month, day).try_cast("date").cast("string")
 
 
 def date_with_format(text: Column, formats: list[tuple[str, str, str]] = DATE_FORMATS) -> Column:
-    """``struct(day, name)`` of the first format that parses, else NULL."""
-    tries = []
+    """``<ISO day>|<format name>`` of the first format that parses, else NULL."""
+    by_shape: dict[str, list[tuple[str, str]]] = {}
     for name, shape, fmt in formats:
-        day = _parse(text, shape, fmt)
-        tries.append(F.when(day.isNotNull(), F.struct(F.date_format(day, "yyyy-MM-dd").alias("day"), F.lit(name).alias("name"))))
-    return F.coalesce(*tries)
+        by_shape.setdefault(shape, []).append((name, fmt))
+
+    def tried(parts: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for shape, group in by_shape.items():
+            hits = F.coalesce(*[F.concat(_try_day(parts, fmt), F.lit(f"|{name}")) for name, fmt in group])
+            out = F.when(parts[3].rlike(shape), hits).otherwise(out)
+        return out
+
+    # a written year below 100 counts from 2000
+    whole = F.regexp_replace(text, r"(?<!\d)00(?!00)(\d\d)(?!\d)", "20$1")
+    some = text.rlike(r"^\d{1,4}[/.-]\d{1,2}[/.-]\d{2,4}$")
+    return F.when(some, let(F.concat(F.split(whole, r"[/.\-]"), F.array(whole)), tried))
 
 
 def to_moment(c: Column) -> Column:

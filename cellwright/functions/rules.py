@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-from .dates import CONVERTER_FORMATS, DATE_FORMATS, ISO_SHAPE, date_with_format
+from .dates import CONVERTER_FORMATS, DATE_FORMATS, ISO_SHAPE, date_with_format, let
 from .text import FORMAT_PATTERNS, is_blank, squash, strip
 
 FIX = "struct<new_value:string,rule:string,confidence:double,reasoning:string>"
@@ -29,46 +29,59 @@ FALSE_WORDS = ["no", "n", "0", "f"]
 # ---------------------------------------------------------------------------------------
 
 
-def _fix(when: Column, key: str, new: Column, *parts: Column, suffix: Column | None = None) -> Column:
+def _fix(key: str, new: Column, fires: Callable[[Column], Column], words: Callable[[Column], list[Column]]) -> Column:
+    """The fix struct for a new value that is worked out once; NULL unless ``fires`` holds for it."""
     name, confidence, message = RULES[key]
-    rule = F.lit(name) if suffix is None else F.concat(F.lit(name), suffix)
-    return F.when(
-        when,
-        F.struct(
-            new.alias("new_value"), rule.alias("rule"), F.lit(confidence).alias("confidence"),
-            F.format_string(message, *parts).alias("reasoning"),
-        ),
-    )
+
+    def build(n: Column) -> Column:
+        return F.when(
+            fires(n),
+            F.struct(
+                n.alias("new_value"), F.lit(name).alias("rule"), F.lit(confidence).alias("confidence"),
+                F.format_string(message, *words(n)).alias("reasoning"),
+            ),
+        )
+
+    return let(new, build)
 
 
 def fill_median(column: Column, median_text: Column) -> Column:
-    return _fix(median_text.isNotNull(), "median", median_text, column, median_text)
+    return _fix("median", median_text, lambda n: n.isNotNull(), lambda n: [column, n])
 
 
 def fill_mode(column: Column, mode: Column) -> Column:
-    return _fix(mode.isNotNull(), "mode", mode, column, mode)
+    return _fix("mode", mode, lambda n: n.isNotNull(), lambda n: [column, n])
 
 
 def fill_unknown(column: Column) -> Column:
-    return _fix(F.lit(True), "unknown", F.lit(UNKNOWN), column)
+    return _fix("unknown", F.lit(UNKNOWN), lambda n: n.isNotNull(), lambda n: [column])
 
 
 def trim_whitespace(v: Column, column: Column) -> Column:
-    new = squash(v)
-    return _fix(new != v, "trim", new, column)
+    return _fix("trim", squash(v), lambda n: n != v, lambda n: [column])
 
 
 def date_to_iso(v: Column, column: Column) -> Column:
-    text = strip(v)
-    got = date_with_format(text, DATE_FORMATS)
-    return _fix(~text.rlike(ISO_SHAPE) & got.isNotNull(), "date", got["day"], text, got["day"], column, suffix=got["name"])
+    """The rule's name carries the format that parsed."""
+    name, confidence, message = RULES["date"]
+
+    def build(got: Column) -> Column:
+        day = F.substring(got, 1, 10)
+        return F.when(
+            got.isNotNull(),
+            F.struct(
+                day.alias("new_value"), F.concat(F.lit(name), F.substring(got, 12, 40)).alias("rule"),
+                F.lit(confidence).alias("confidence"), F.format_string(message, strip(v), day, column).alias("reasoning"),
+            ),
+        )
+
+    return let(strip(v), lambda text: F.when(~text.rlike(ISO_SHAPE), let(date_with_format(text, DATE_FORMATS), build)))
 
 
 def phone_digits(v: Column) -> Column:
     """Ten digits of a US number, a leading country 1 dropped; else NULL."""
-    digits = F.regexp_replace(v, r"(?U)\D", "")
-    digits = F.when((F.length(digits) == 11) & digits.startswith("1"), F.substring(digits, 2, 10)).otherwise(digits)
-    return F.when(F.length(digits) == 10, digits)
+    digits = F.regexp_replace(F.regexp_replace(v, r"(?U)\D", ""), r"^1(.{10})$", "$1")
+    return let(digits, lambda d: F.when(F.length(d) == 10, d))
 
 
 def phone_text(digits: Column) -> Column:
@@ -78,26 +91,26 @@ def phone_text(digits: Column) -> Column:
 
 
 def phone_us(v: Column, column: Column) -> Column:
-    new = phone_text(phone_digits(v))
-    return _fix(new.isNotNull() & (new != strip(v)), "phone", new, v, new, column)
+    new = let(phone_digits(v), phone_text)
+    return _fix("phone", new, lambda n: n.isNotNull() & (n != strip(v)), lambda n: [v, n, column])
 
 
 def email_lower(v: Column, column: Column) -> Column:
-    new = F.lower(strip(v))
-    return _fix((new != v) & new.rlike(FORMAT_PATTERNS["email"]), "email", new, v, new, column)
+    return _fix(
+        "email", F.lower(strip(v)), lambda n: (n != v) & n.rlike(FORMAT_PATTERNS["email"]), lambda n: [v, n, column]
+    )
 
 
 def boolean_word(v: Column, column: Column) -> Column:
-    low = F.lower(strip(v))
-    new = F.when(low.isin(TRUE_WORDS), "true").when(low.isin(FALSE_WORDS), "false")
-    return _fix(new.isNotNull(), "boolean", new, v, new, column)
+    new = let(F.lower(strip(v)), lambda low: F.when(low.isin(TRUE_WORDS), "true").when(low.isin(FALSE_WORDS), "false"))
+    return _fix("boolean", new, lambda n: n.isNotNull(), lambda n: [v, n, column])
 
 
 def numeric_text(v: Column, column: Column) -> Column:
-    text = strip(v)
-    new = F.regexp_replace(text, r"(?U)[^\d.\-]", "")
-    number = new.rlike(r"(?U)^-?(\d+\.?\d*|\.\d+)$") & ~text.rlike(r"(?U)^-?\d+\.?\d*$")
-    return _fix(number & (new != text), "numeric", new, v, new, column)
+    def fires(n: Column) -> Column:
+        return n.rlike(r"(?U)^-?(\d+\.?\d*|\.\d+)$") & ~strip(v).rlike(r"(?U)^-?\d+\.?\d*$") & (n != strip(v))
+
+    return _fix("numeric", F.regexp_replace(strip(v), r"(?U)[^\d.\-]", ""), fires, lambda n: [v, n, column])
 
 
 FORMAT_RULES: dict[str, Callable[[Column, Column], Column]] = {
@@ -123,13 +136,17 @@ def format_fix(
 
     ``extra`` rules of the caller, ``(value, column) -> fix struct``, are tried after the built-in ones.
     """
-    tries = []
-    for name, rule in {**FORMAT_RULES, **(extra or {})}.items():
-        fix = rule(v, column)
-        if dtype is not None and name in RULE_TYPES:
-            fix = F.when(dtype.isin(RULE_TYPES[name]), fix)
-        tries.append(fix)
-    return F.when(~is_blank(v), F.coalesce(*tries))
+
+    def first(text: Column) -> Column:
+        tries = []
+        for name, rule in {**FORMAT_RULES, **(extra or {})}.items():
+            fix = rule(text, column)
+            if dtype is not None and name in RULE_TYPES:
+                fix = F.when(dtype.isin(RULE_TYPES[name]), fix)
+            tries.append(fix)
+        return F.coalesce(*tries)
+
+    return F.when(~is_blank(v), let(v, first))
 
 
 def chained_format_fix(v: Column, column: Column, dtype: Column | None = None) -> Column:
@@ -138,12 +155,15 @@ def chained_format_fix(v: Column, column: Column, dtype: Column | None = None) -
 
     def step(acc: Column, _: Column) -> Column:
         now = F.coalesce(acc["new_value"], v)
-        nxt = format_fix(now, column, dtype)
-        merged = F.struct(
-            nxt["new_value"].alias("new_value"), nxt["rule"].alias("rule"),
-            F.least(nxt["confidence"], acc["confidence"]).alias("confidence"), nxt["reasoning"].alias("reasoning"),
-        )
-        return F.when(nxt.isNull(), acc).otherwise(merged)
+
+        def joined(nxt: Column) -> Column:
+            merged = F.struct(
+                nxt["new_value"].alias("new_value"), nxt["rule"].alias("rule"),
+                F.least(nxt["confidence"], acc["confidence"]).alias("confidence"), nxt["reasoning"].alias("reasoning"),
+            )
+            return F.when(nxt.isNull(), acc).otherwise(merged)
+
+        return let(now, lambda text: let(format_fix(text, column, dtype), joined))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(MAX_CHAIN)), seed, step)
 
@@ -154,13 +174,13 @@ def normalize(c: Column, target: str) -> Column:
     if target == "email":
         return F.lower(text)
     if target == "phone_us":
-        return F.coalesce(phone_text(phone_digits(text)), text)
+        return F.coalesce(let(phone_digits(text), phone_text), text)
     if target == "boolean":
         low = F.lower(text)
         yes, no = TRUE_WORDS + ["true"], FALSE_WORDS + ["false"]
         return F.when(low.isin(yes), "true").when(low.isin(no), "false").otherwise(text)
     if target == "date_iso":
-        return F.coalesce(date_with_format(text, CONVERTER_FORMATS)["day"], text)
+        return F.coalesce(F.substring(date_with_format(text, CONVERTER_FORMATS), 1, 10), text)
     return text
 
 

@@ -40,7 +40,8 @@ def profile(df: DataFrame, columns: list[str] | None = None, counts: DataFrame |
     numeric = F.coalesce(F.col("numeric_count") / filled > 0.5, F.lit(False))
 
     def num(name: str, digits: int | None = 6):
-        c = F.round(F.col(name), digits) if digits is not None else F.col(name)
+        # rounding to ten places first hides the order in which partial sums were added
+        c = F.round(F.round(F.col(name), 10), digits) if digits is not None else F.col(name)
         return F.when(numeric, c).alias(name)
 
     return wide.select(

@@ -176,10 +176,10 @@ def _profile_cte(cells: str) -> str:
 
 
 _PROFILE_OUT = """SELECT profiles.col AS "column", total, null_count, null_pct, unique_count, unique_pct, is_numeric,
-    round(CASE WHEN is_numeric THEN mean END, 6) AS mean, round(CASE WHEN is_numeric THEN median END, 6) AS median,
-    round(CASE WHEN is_numeric THEN std END, 6) AS std, CASE WHEN is_numeric THEN lo END AS min,
-    CASE WHEN is_numeric THEN hi END AS max, round(CASE WHEN is_numeric THEN skew END, 4) AS skew,
-    round(CASE WHEN is_numeric THEN q1 END, 6) AS q1, round(CASE WHEN is_numeric THEN q3 END, 6) AS q3,
+    round(round(CASE WHEN is_numeric THEN mean END, 10), 6) AS mean, round(round(CASE WHEN is_numeric THEN median END, 10), 6) AS median,
+    round(round(CASE WHEN is_numeric THEN std END, 10), 6) AS std, CASE WHEN is_numeric THEN lo END AS min,
+    CASE WHEN is_numeric THEN hi END AS max, round(round(CASE WHEN is_numeric THEN skew END, 10), 4) AS skew,
+    round(round(CASE WHEN is_numeric THEN q1 END, 10), 6) AS q1, round(round(CASE WHEN is_numeric THEN q3 END, 10), 6) AS q3,
     CASE WHEN NOT is_numeric THEN top END AS top_values, CASE WHEN NOT is_numeric THEN min_length END AS min_length,
     CASE WHEN NOT is_numeric THEN max_length END AS max_length,
     round(CASE WHEN NOT is_numeric THEN mean_length END, 2) AS mean_length FROM profiles"""
@@ -562,7 +562,10 @@ _ACTION_OUT = """SELECT row_no AS "row", col AS "column", v AS old_value, new_va
 
 def _repaired(spark, sf, name="dirty_customer", patterns=None, proposals=None, config=CleanConfig()):
     v = view(spark, sf, name)
-    return rp.repair(v, sc.facts_of(v, COLUMNS[name], row_col=R), patterns, proposals, config, R)
+    # fixes by join read the open cells more than once
+    joined = proposals is not None or (patterns is not None and config.max_inline_patterns < 10)
+    keep = {"keep": lambda t: cut(t, "repaired")} if joined else {}
+    return rp.repair(v, sc.facts_of(v, COLUMNS[name], row_col=R), patterns, proposals, config, R, **keep)
 
 
 def _action_cols(df: DataFrame) -> DataFrame:
