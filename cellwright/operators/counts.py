@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import to_num
+from ..session import cut
 from .rows import ROW, data_columns
 
 # Buckets per power of two in the order-preserving number grid.
@@ -161,7 +162,8 @@ def moments(nums: DataFrame) -> DataFrame:
 
 def numeric_summary(counts: DataFrame) -> DataFrame:
     """Moments and quartiles, one row per column that holds any number."""
-    nums = numbers(counts)
+    # read four times below, so the text is parsed and collapsed to distinct numbers once
+    nums = cut(numbers(counts), "numbers")
     return moments(nums).join(F.broadcast(exact_quantiles(nums, QUARTILES)), "column", "left")
 
 

@@ -7,6 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..session import cut
 from .counts import grid_bucket, numbers
 
 EXACT_LIMIT = 10_000
@@ -20,7 +21,7 @@ def ks_statistics(before: DataFrame, after: DataFrame) -> DataFrame:
     """
     a = numbers(before).select("column", "x", F.col("n").alias("a"), F.lit(0).cast("bigint").alias("b"))
     b = numbers(after).select("column", "x", F.lit(0).cast("bigint").alias("a"), F.col("n").alias("b"))
-    merged = a.unionByName(b).groupBy("column", "x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    merged = cut(a.unionByName(b).groupBy("column", "x").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "merged")
     gridded = merged.withColumn("k", grid_bucket(F.col("x")))
     hist = gridded.groupBy("column", "k").agg(F.sum("a").alias("ka"), F.sum("b").alias("kb"))
     run, whole = Window.partitionBy("column").orderBy("k"), Window.partitionBy("column")
