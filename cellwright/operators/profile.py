@@ -12,7 +12,13 @@ from .rows import ROW, cells, data_columns
 TOP_VALUES = 10
 
 
-def profile(df: DataFrame, columns: list[str] | None = None, counts: DataFrame | None = None, row_col: str = ROW) -> DataFrame:
+def profile(
+    df: DataFrame,
+    columns: list[str] | None = None,
+    counts: DataFrame | None = None,
+    row_col: str = ROW,
+    summary: DataFrame | None = None,
+) -> DataFrame:
     """One row per column: null and distinct shares, then the numeric or the categorical part."""
     if counts is None:
         counts = cut(cell_counts(df, columns or data_columns(df, row_col), row_col), "counts")
@@ -35,7 +41,9 @@ def profile(df: DataFrame, columns: list[str] | None = None, counts: DataFrame |
         .select("column", F.transform("top", lambda t: F.struct(t["value"].alias("value"), t["count"].alias("count"))).alias("top_values"))
     )
     # every table joined below has one row per column
-    wide = base.join(F.broadcast(numeric_summary(counts)), "column", "left").join(F.broadcast(top), "column", "left")
+    if summary is None:
+        summary = numeric_summary(counts)
+    wide = base.join(F.broadcast(summary), "column", "left").join(F.broadcast(top), "column", "left")
     filled = F.col("total") - F.col("null_count")
     numeric = F.coalesce(F.col("numeric_count") / filled > 0.5, F.lit(False))
 

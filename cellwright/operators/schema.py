@@ -218,15 +218,27 @@ def rare_values(counts: DataFrame, types: DataFrame) -> DataFrame:
     return low.join(F.broadcast(few), "column").select("column", "value", "n")
 
 
-def collect_facts(counts: DataFrame, config: CleanConfig = CleanConfig(), with_rare: bool = True) -> dict[str, ColumnFacts]:
-    """Bring the facts to the driver: one row per column plus at most 50 rare values each."""
-    # one row per column: written once, so its four readers do not each redo the pass
-    types = cut(type_counts(counts), "types")
+def collect_facts(
+    counts: DataFrame,
+    config: CleanConfig = CleanConfig(),
+    with_rare: bool = True,
+    types: DataFrame | None = None,
+    summary: DataFrame | None = None,
+) -> dict[str, ColumnFacts]:
+    """Bring the facts to the driver: one row per column plus at most 50 rare values each.
+
+    ``types`` and ``summary`` are the counts' ``type_counts`` and ``numeric_summary`` where they exist already.
+    """
+    if types is None:
+        # one row per column: written once, so its four readers do not each redo the pass
+        types = cut(type_counts(counts), "types")
+    if summary is None:
+        summary = numeric_summary(counts)
     mode = "mode_all" if config.strict_nulls else "mode"
     report = (
         schema_report(types)
         .join(types.select("column", "total", "present_n", "present_distinct", F.col(mode).alias("mode")), "column")
-        .join(numeric_summary(counts).drop("min", "max", "std", "skew", "kurtosis"), "column", "left")
+        .join(summary.drop("min", "max", "std", "skew", "kurtosis"), "column", "left")
     )
     facts = {}
     for r in report.collect():

@@ -13,7 +13,7 @@ from ..config import CleanConfig
 from ..functions.text import as_text
 from ..operators import scoring
 from ..operators.anomalies import detect
-from ..operators.counts import cell_counts, counts_after
+from ..operators.counts import cell_counts, counts_after, numeric_summary
 from ..operators.profile import profile, quality_score
 from ..operators.reconstruct import RecordSpec, reconstruct
 from ..operators.repair import external_log, repair
@@ -114,17 +114,17 @@ def clean(
     stages.done("ingest", columns=len(text.columns) - 1)
 
     text, reconstruction = reconstruct(text, spec)
-    stages.done("structure_reconstruction", **reconstruction.first().asDict())
+    stages.done("structure_reconstruction", **({"skipped": True} if spec is None else reconstruction.first().asDict()))
     columns = data_columns(text)
     raw = text.select(ROW, *columns)
 
     counts = cut(cell_counts(raw, columns), "counts")
-    types = type_counts(counts)
-    facts = collect_facts(counts, config)
+    types, summary = cut(type_counts(counts), "types"), cut(numeric_summary(counts), "summary")
+    facts = collect_facts(counts, config, types=types, summary=summary)
     facts = {c: facts.get(c, ColumnFacts(c, "empty")) for c in columns}
     stages.done("schema_analysis", columns_inferred=len(columns))
 
-    profiles = cut(profile(raw, columns, counts), "profile")
+    profiles = cut(profile(raw, columns, counts, summary=summary), "profile")
     before = quality_score(profiles).first()["quality_score"]
     stages.done("data_profiling", profile_columns=len(columns), data_quality_score=before)
 
