@@ -16,6 +16,7 @@ PATTERN_SCHEMA = (
 )
 DEFAULT_CONFIDENCE = 0.85  # fixed value: a pattern without history
 GENERIC = "generic"
+SALTS = 16
 
 
 def empty_patterns(spark: SparkSession) -> DataFrame:
@@ -137,7 +138,10 @@ def match_patterns(values: DataFrame, patterns: DataFrame, columns: list[str], d
     per_column = live.join(F.broadcast(names), F.expr("column rlike concat('(?i)^(?:', column_pattern, ')')")).select(
         "column", "id", "column_pattern", "value_pattern", "fix_template", "success_count", "fail_count"
     )
-    hits = values.select("column", "value").distinct().join(per_column, "column").where(
+    # a column is a hot key by nature: its values are spread over salts, and its patterns repeated for each
+    spread = values.select("column", "value").distinct().withColumn("_salt", F.pmod(F.xxhash64("value"), F.lit(SALTS)))
+    repeated = per_column.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    hits = spread.join(repeated, ["column", "_salt"]).where(
         F.expr("value rlike concat('(?i)^(?:', value_pattern, ')')")
     )
     best = hits.groupBy("column", "value").agg(

@@ -142,7 +142,8 @@ def duplicate_rows(df: DataFrame, subset: list[str] | None = None, row_col: str
     """Rows that repeat an earlier row, with the row they repeat. NULLs equal each other.
 
     The first row of each key comes from a partial aggregate. Only keys that do repeat take part
-    in the join back, and hot keys are collapsed by then, so the join streams the table once.
+    in the join back; their side holds one row per key, so a hot key's rows can be split over tasks
+    at run time (adaptive skew join) with that one row repeated.
     """
     keys = subset or data_columns(df, row_col)
     _require(df, keys)
