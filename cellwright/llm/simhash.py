@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -52,8 +51,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFra
     return with_key(docs).mapInArrow(run, f"doc_id {kind}, text_key bigint, fp bigint")
 
 
-@cache
-def _golay() -> tuple[np.ndarray, np.ndarray]:
+def golay_tables() -> tuple[np.ndarray, np.ndarray]:
     """Syndromes of all 23-bit words, and for each syndrome the one error of at most three bits that has it."""
     syndromes = np.zeros(1, np.uint16)
     for bit in range(LENGTH):
@@ -70,17 +68,17 @@ def _golay() -> tuple[np.ndarray, np.ndarray]:
     return syndromes, errors
 
 
-def golay_keys(words: np.ndarray) -> np.ndarray:
+def golay_keys(words: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """For each 23-bit word the indices of the codewords nearest to it and to its 23 neighbours: a row of 24, with repeats.
 
     Two words at most two bits apart have a common word at most one bit from both, so they share a key.
     """
-    syndromes, errors = _golay()
+    syndromes, errors = tables
     near = words[:, None] ^ np.concatenate(([0], 1 << np.arange(LENGTH)))[None, :]
     return (near ^ errors[syndromes[near]]) >> CHECK_BITS
 
 
-def bucket_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def bucket_keys(fps: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Rows ``(position in fps, key)``: each segment taken exactly, with the Golay keys of the segment after it.
 
     Of three segments, two wrong bits leave one untouched, and the next one has at most two wrong bits.
@@ -89,7 +87,7 @@ def bucket_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     segments = [(u >> np.uint64(shift) & np.uint64(mask)).astype(np.int64) for shift, mask in ((42, 0x3FFFFF), (21, 0x1FFFFF), (0, 0x1FFFFF))]
     rows, keys = [], []
     for i in range(3):
-        near = np.sort(golay_keys(segments[(i + 1) % 3]), axis=1)
+        near = np.sort(golay_keys(segments[(i + 1) % 3], tables), axis=1)
         fresh = np.concatenate((np.ones((len(u), 1), bool), near[:, 1:] != near[:, :-1]), axis=1)
         row, column = np.nonzero(fresh)
         rows.append(row)
@@ -106,9 +104,10 @@ def links(fps: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = golay_tables()
         for batch in pieces(batches, 200_000):
             fp = batch.column("fp").to_numpy()
-            row, key = bucket_keys(fp)
+            row, key = bucket_keys(fp, tables)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[row])], ["key", "fp"])
 
     keys = cut(fps.select("fp").mapInArrow(run, "key bigint, fp bigint"), "keys")
