@@ -9,53 +9,43 @@ from .common import cut, documents, normalised, without
 PREFIX_CHARS = 64
 
 
-def _measured(docs: DataFrame) -> DataFrame:
+def measured(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
+    """``(doc_id, text_key, chars, prefix, text_sha256)`` of the normalised texts: one scan, written as narrow columns."""
     first, second = normalised(F.col("text"))
-    return (
+    return cut(
         documents(docs)
         .select("doc_id", F.xxhash64("text").alias("text_key"), first.alias("flat"))
         .select("doc_id", "text_key", second.alias("norm"))
+        .select(
+            "doc_id",
+            "text_key",
+            F.length("norm").alias("chars"),
+            F.xxhash64(F.left("norm", F.lit(prefix_chars))).alias("prefix"),
+            F.sha2("norm", 256).alias("text_sha256"),
+        ),
+        "measured",
     )
 
 
-def text_digests(docs: DataFrame) -> DataFrame:
-    """``(doc_id, text_key, text_sha256)``: SHA-256 of each normalised text."""
-    return _measured(docs).select("doc_id", "text_key", F.sha2("norm", 256).alias("text_sha256"))
-
-
 def exact_duplicates(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
     """``(doc_id, text_key, keep_id, group_size, kept, text_sha256)``, one row per row of ``docs``.
 
     Texts are equal when they agree after each run of white space is one blank; null counts as empty. Of equal texts
     the row with the smallest ``doc_id`` stays (null ids last); if rows repeat that id too, one of them stays.
-    ``text_sha256`` is null where the full text was not read again, that is where length or prefix is unique.
 
-    Each level shuffles only what the level above left open. Copies are counted per document before their groups meet,
-    so a group that holds a third of the rows costs one row per task; attaching its result is a join that Spark
-    can split. Empty tables give empty results.
+    Texts are read once. A second reading of the texts whose length and prefix are shared would have to send every text to a join,
+    so the scan hashes whole texts as they pass; each level of the refinement then reads its own narrow column, and the
+    full hashes only of rows whose length and prefix are shared. Lengths and prefixes are counted before the shuffle, and
+    copies per document before their groups meet, so a group that holds a third of the rows costs one row per task;
+    attaching its result is a join that Spark can split. Empty tables give empty results.
     """
-    spark = docs.sparkSession
-    short = cut(
-        _measured(docs).select(
-            "doc_id", "text_key", F.length("norm").alias("chars"), F.xxhash64(F.left("norm", F.lit(prefix_chars))).alias("prefix")
-        ),
-        "lengths",
-    )
-    lengths = short.groupBy("chars").count().where("count > 1").select("chars")
-    same_length = short.join(lengths, "chars", "left_semi")
-    prefixes = cut(same_length.groupBy("chars", "prefix").count().where("count > 1").select("chars", "prefix"), "prefixes")
-    open_rows = cut(short.join(prefixes, ["chars", "prefix"], "left_semi").select("doc_id", "text_key").distinct(), "open")
-
-    # only these texts are read whole
-    wanted = open_rows.select(F.col("doc_id").alias("open_id"), F.col("text_key").alias("open_key"))
-    text_key = F.xxhash64("text")
-    whole = documents(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("open_id")) & (text_key == F.col("open_key")), "left_semi")
+    rows = measured(docs, prefix_chars)
+    lengths = rows.groupBy("chars").count().where("count > 1").select("chars")
+    prefixes = rows.groupBy("chars", "prefix").count().where("count > 1").select("chars", "prefix")
+    prefixes = cut(prefixes.join(lengths, "chars", "left_semi"), "prefixes")
+    open_rows = rows.join(prefixes, ["chars", "prefix"], "left_semi")
     by_doc = cut(
-        _measured(whole)
-        .select("doc_id", "text_key", F.sha2("norm", 256).alias("text_sha256"))
-        .groupBy("doc_id", "text_key", "text_sha256")
-        .agg(F.count("*").alias("n")),
-        "hashes",
+        open_rows.groupBy("doc_id", "text_key", "text_sha256").agg(F.count("*").alias("n")), "hashes"
     )
     groups = cut(by_doc.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.sum("n").alias("group_size")), "groups")
     # one row of the id that stays: of its raw texts, the one with the smallest key
@@ -73,13 +63,13 @@ def exact_duplicates(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataF
             "text_sha256",
         )
     )
-    alone = short.join(prefixes, ["chars", "prefix"], "left_anti").select(
+    alone = rows.join(prefixes, ["chars", "prefix"], "left_anti").select(
         "doc_id",
         "text_key",
         F.col("doc_id").alias("keep_id"),
         F.lit(1).cast("bigint").alias("group_size"),
         F.lit(True).alias("kept"),
-        F.lit(None).cast("string").alias("text_sha256"),
+        "text_sha256",
     )
     return settled.unionByName(alone)
 
