@@ -15,18 +15,19 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def gram_hashes(symbols: np.ndarray, k: int) -> np.ndarray:
-    """Hash of the k symbols from each position on; built by doubling, so in about log2(k) passes."""
-    h, have, at = mixed(symbols.astype(np.uint64) + _ODD), 1, None
-    out, covered = None, 0
+    """Hash of the k symbols from each position on: a polynomial built by doubling, spread at the end."""
     n = len(symbols) - k + 1
+    h, have, base = symbols.astype(np.uint64) + np.uint64(1), 1, int(_ODD)
+    out, covered = None, 0
     while True:
         if k & have:  # this power of two is part of k
             part = h[covered : covered + n]
-            out = part if out is None else mixed(out * _ODD + part)
+            out = part if out is None else out * np.uint64(base) + part
             covered += have
         if have * 2 > k:
-            return out
-        h = mixed(h[:-have] * _ODD + h[have:])
+            return mixed(out)
+        h = h[:-have] * np.uint64(base) + h[have:]
+        base = base * base % (1 << 64)
         have *= 2
 
 
@@ -56,13 +57,17 @@ def window_minima(h: np.ndarray, width: int) -> np.ndarray:
     return np.where(padded[right] <= padded[left], right, left)
 
 
-def super_windows(symbols: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one minimiser: ``(key, place, first, last)``, the minimiser's hash and position and the windows' starts."""
-    if len(symbols) < window:
-        none = np.empty(0, np.int64)
-        return none.view(np.uint64), none, none, none
-    h = gram_hashes(symbols, k)
-    place = window_minima(h, window - k + 1)
-    first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-    last = np.concatenate((first[1:] - 1, [len(place) - 1]))
-    return h[place[first]], place[first], first, last
+def super_windows(symbols: np.ndarray, window: int, k: int, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one minimiser: ``(key, place, first, last)``, the minimiser's hash and position and the windows' starts.
+
+    Long sequences go block by block, which bounds the memory; a run that crosses a block's end becomes two.
+    """
+    none = np.empty(0, np.int64)
+    parts = [(none.view(np.uint64), none, none, none)]
+    for at in range(0, len(symbols) - window + 1, block):
+        h = gram_hashes(symbols[at : at + block + window - 1], k)
+        place = window_minima(h, window - k + 1)
+        first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+        last = np.concatenate((first[1:] - 1, [len(place) - 1]))
+        parts.append((h[place[first]], place[first] + at, first + at, last + at))
+    return tuple(np.concatenate(column) for column in zip(*parts, strict=True))

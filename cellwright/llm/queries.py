@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import classifier, exact, mixing, pii, rules, simhash, tokens
+from . import classifier, exact, mixing, pii, repeats, rules, simhash, substrings, tokens
 from .common import table
 
 
@@ -30,17 +30,8 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = exact.cut(exact.exact_duplicates(docs), "exact")
-    # texts whose length or prefix is unique were not read whole; the digest column is of all texts
-    digests = exact.text_digests(docs).select(
-        F.col("doc_id").alias("digest_id"), F.col("text_key").alias("digest_key"), F.col("text_sha256").alias("digest")
-    )
-    same = F.col("doc_id").eqNullSafe(F.col("digest_id")) & (F.col("text_key") == F.col("digest_key"))
-    read = found.where("text_sha256 is not null")
-    rest = found.where("text_sha256 is null").join(digests, same).withColumn("text_sha256", F.col("digest"))
-    columns = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
-    return read.select(*columns).unionByName(rest.select(*columns))
+    found = exact.exact_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +52,16 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substrings.without_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 _WORD, _SPACES = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
 _DOCS = f"docs AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS words FROM documents)"
 
@@ -128,11 +129,23 @@ shares AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_rule_sql()} AS kept FROM shares
 """
 
+OP10_SQL = f"""
+WITH {_DOCS},
+win AS (SELECT doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) AS w
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 49, 0) + 1)) AS i FROM docs)),
+late AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY w) AS least FROM win) WHERE doc_id > least),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM late, (SELECT unnest(range(50)) AS k)),
+spelled AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM docs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM spelled ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_mixing, op3_pii, op4_exact_dedup, op5_simhash, op6_quality_rules, op7_quality_classifier)
+    for f in (op1_sentencepiece, op2_mixing, op3_pii, op4_exact_dedup, op5_simhash, op6_quality_rules, op7_quality_classifier, op9_suffix_dedup, op10_substring_dedup)
 }
-ORACLE_SQL: dict[str, str] = {"op2_mixing": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op6_quality_rules": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_mixing": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op6_quality_rules": OP6_SQL, "op10_substring_dedup": OP10_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
