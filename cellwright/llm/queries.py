@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import classifier, exact, mixing, pii, repeats, rules, simhash, substrings, tokens
+from . import classifier, exact, html, mixing, pii, repeats, rules, simhash, substrings, tokens
 from .common import table
 
 
@@ -52,6 +52,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = repeats.without_repeats(table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -143,7 +147,7 @@ FROM docs LEFT JOIN kept USING (doc_id)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_mixing, op3_pii, op4_exact_dedup, op5_simhash, op6_quality_rules, op7_quality_classifier, op9_suffix_dedup, op10_substring_dedup)
+    for f in (op1_sentencepiece, op2_mixing, op3_pii, op4_exact_dedup, op5_simhash, op6_quality_rules, op7_quality_classifier, op8_html_extraction, op9_suffix_dedup, op10_substring_dedup)
 }
 ORACLE_SQL: dict[str, str] = {"op2_mixing": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op6_quality_rules": OP6_SQL, "op10_substring_dedup": OP10_SQL}
 
