@@ -111,18 +111,6 @@ def matches(c: Column, pattern: str, ignore_case: bool = True) -> Column:
     return plain_text(c).rlike(("(?i)" if ignore_case else "") + f"^(?:{pattern})")
 
 
-def matches_named(c: Column, name: Column, names: list[str] | None = None) -> Column:
-    """Match against the catalogue pattern whose name is in another column.
-
-    One literal regex per branch, so every pattern is compiled once per task.
-    """
-    text = plain_text(c)
-    out = F.lit(None).cast("boolean")
-    for key in names or list(FORMAT_PATTERNS):
-        out = F.when(name == key, text.rlike(f"(?i)^(?:{FORMAT_PATTERNS[key]})")).otherwise(out)
-    return out
-
-
 def is_digits(c: Column) -> Column:
     return plain_text(c).rlike(r"^\d+$")
 

@@ -15,7 +15,7 @@ from ..functions.dates import to_moment
 from ..functions.text import (
     DOMAIN_PATTERNS, DOMAIN_REQUIRED, FORMAT_PATTERNS, is_blank, is_profile_null, matches, to_num,
 )
-from .rows import ROW, data_columns, top_rows
+from .rows import ROW, col, data_columns
 from .schema import ColumnFacts
 
 FINDING = "struct<column:string,value:string,anomaly_type:string,severity:string,details:string>"
@@ -99,30 +99,15 @@ def detect(
     df: DataFrame, facts: dict[str, ColumnFacts], config: CleanConfig = CleanConfig(), row_col: str = ROW
 ) -> DataFrame:
     """All findings ``(row, column, value, anomaly_type, severity, details)``."""
-    limits = config.limits
     columns = [c for c in data_columns(df, row_col) if c in facts]
     tests = {"numeric_outlier": [], "rare_category": [], "format_violation": []}
     for c in columns:
-        v, f = F.col(c), facts[c]
+        v, f = col(c), facts[c]
         tests["numeric_outlier"].append(outlier_test(v, f, config))
         tests["rare_category"].append(rare_test(v, f))
         tests["format_violation"].append(format_test(v, f))
     dates = date_order_tests(df, row_col)
-    if limits == type(limits)():
-        return flagged(df, [t for group in tests.values() for t in group] + dates, row_col)
-    parts = [
-        top_rows(flagged(df, tests["numeric_outlier"], row_col), limits.outliers, ["column"], ["row"]),
-        top_rows(
-            top_rows(flagged(df, tests["rare_category"], row_col), limits.rare_rows_per_value, ["column", "value"], ["row"]),
-            limits.rare, ["column"], ["row"],
-        ),
-        top_rows(flagged(df, tests["format_violation"], row_col), limits.format, ["column"], ["row"]),
-        top_rows(flagged(df, dates, row_col), limits.cross_column, ["column"], ["row"]),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return flagged(df, [t for group in tests.values() for t in group] + dates, row_col)
 
 
 def date_pairs(columns: list[str]) -> list[tuple[str, str]]:
@@ -136,8 +121,8 @@ def date_pairs(columns: list[str]) -> list[tuple[str, str]]:
 def date_order_tests(df: DataFrame, row_col: str = ROW) -> list[Column]:
     tests = []
     for s, e in date_pairs(data_columns(df, row_col)):
-        late = to_moment(F.col(s)) > to_moment(F.col(e))
-        value = F.concat_ws(" > ", F.col(s), F.col(e))
+        late = to_moment(col(s)) > to_moment(col(e))
+        value = F.concat_ws(" > ", col(s), col(e))
         details = f"Start date ({s}) is after end date ({e})"
         tests.append(F.when(late, finding(f"{s} > {e}", value, "cross_column_constraint", "critical", details)))
     return tests
@@ -201,7 +186,7 @@ def missing_required(df: DataFrame, domain: str, row_col: str = ROW) -> DataFram
     gone = [c for c in required if c not in df.columns]
     kind = "missing_required"
     out = flagged(
-        df, [F.when(is_blank(F.col(c)), finding(c, F.col(c), kind, "warning", "Required value is missing")) for c in have], row_col
+        df, [F.when(is_blank(col(c)), finding(c, col(c), kind, "warning", "Required value is missing")) for c in have], row_col
     )
     if gone:
         rows = [(-1, c, None, kind, "critical", f"Required column '{c}' is missing") for c in gone]

@@ -4,20 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .rows import ROW, data_columns
-
-MAX_PAGE = 200  # fixed value
-
+from .rows import ROW, col, data_columns
 
 def page(df: DataFrame, number: int = 1, size: int = 100, row_col: str = ROW) -> DataFrame:
     """One page of rows. A range on the row number, so it is pushed down to the scan."""
-    number, size = max(1, number), max(1, min(size, MAX_PAGE))
+    number, size = max(1, number), max(1, size)
     start = (number - 1) * size
     return df.where(F.col(row_col).between(start, start + size - 1)).orderBy(row_col)
 
 
 def page_info(df: DataFrame, number: int = 1, size: int = 100) -> DataFrame:
-    number, size = max(1, number), max(1, min(size, MAX_PAGE))
+    number, size = max(1, number), max(1, size)
     return df.agg(F.count("*").alias("total_rows")).select(
         F.lit(number).alias("page"), F.lit(size).alias("page_size"), "total_rows",
         F.ceil(F.col("total_rows") / size).cast("bigint").alias("total_pages"),
@@ -62,7 +59,7 @@ def search_sort(
     cols = data_columns(df, row_col)
 
     def shown(c: str):
-        text = F.col(c).cast("string")
+        text = col(c).cast("string")
         return F.lower(F.when(text.isNull() | (text == ""), "—").otherwise(text))
 
     wanted = query.strip().lower()
@@ -83,14 +80,14 @@ def table_diff(raw: DataFrame, cleaned: DataFrame, row_col: str = ROW) -> DataFr
     Rows are joined once in wide form and compared in place; only cells that differ become rows.
     """
     left, right = data_columns(raw, row_col), data_columns(cleaned, row_col)
-    both = raw.select(F.col(row_col).alias("row"), *[F.col(c).alias(f"_a_{c}") for c in left]).join(
-        cleaned.select(F.col(row_col).alias("row"), *[F.col(c).alias(f"_b_{c}") for c in right]), "row", "full_outer"
+    both = raw.select(F.col(row_col).alias("row"), *[col(c).alias(f"_a_{c}") for c in left]).join(
+        cleaned.select(F.col(row_col).alias("row"), *[col(c).alias(f"_b_{c}") for c in right]), "row", "full_outer"
     )
 
     def pair(c: str):
         none = F.lit(None).cast("string")
-        a = F.col(f"_a_{c}").cast("string") if c in left else none
-        b = F.col(f"_b_{c}").cast("string") if c in right else none
+        a = col(f"_a_{c}").cast("string") if c in left else none
+        b = col(f"_b_{c}").cast("string") if c in right else none
         return F.when(~a.eqNullSafe(b), F.struct(F.lit(c).alias("column"), a.alias("old_value"), b.alias("new_value")))
 
     union = left + [c for c in right if c not in left]

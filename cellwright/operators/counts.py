@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import to_num
 from ..session import cut
-from .rows import ROW, data_columns
+from .rows import ROW, all_cells, data_columns
 
 # Buckets per power of two in the order-preserving number grid.
 GRID = 4096
@@ -18,8 +18,7 @@ GRID = 4096
 
 def cell_counts(df: DataFrame, columns: list[str] | None = None, row_col: str = ROW) -> DataFrame:
     columns = columns or data_columns(df, row_col)
-    long = df.select(*columns).unpivot([], columns, "column", "value")
-    return long.groupBy("column", "value").agg(F.count("*").alias("n"))
+    return all_cells(df, columns).groupBy("column", "value").agg(F.count("*").alias("n"))
 
 
 def counts_after(counts: DataFrame, actions: DataFrame) -> DataFrame:

@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..session import cut
 from .counts import grid_bucket, numbers
 
-EXACT_LIMIT = 10_000
+EXACT_LIMIT = 10_000  # fixed value
 
 
 def ks_statistics(before: DataFrame, after: DataFrame) -> DataFrame:
-    """``(column, n_before, n_after, d)`` from two count tables.
+    """``(column, n_before, n_after, d)`` from two count tables; ``d`` is NULL where one side has no numbers.
 
     Values collapse to distinct numbers first. Running shares are then taken inside buckets of the
     fixed number grid, on top of the totals of the buckets below, so no column is ordered in one task.
@@ -37,27 +37,32 @@ def ks_statistics(before: DataFrame, after: DataFrame) -> DataFrame:
         "column", "k", F.sum("a").over(inner).alias("upto_a"), F.sum("b").over(inner).alias("upto_b")
     ).join(below, ["column", "k"])
     gap = F.abs(
-        (F.col("before_a") + F.col("upto_a")) / F.col("n_before") - (F.col("before_b") + F.col("upto_b")) / F.col("n_after")
+        F.try_divide(F.col("before_a") + F.col("upto_a"), "n_before") - F.try_divide(F.col("before_b") + F.col("upto_b"), "n_after")
     )
     return shares.groupBy("column").agg(
         F.first("n_before").alias("n_before"), F.first("n_after").alias("n_after"), F.max(gap).alias("d")
     )
 
 
-def ks_p_value(d: float, n: int, m: int) -> float:
-    """P(D >= d) for two samples of one distribution: exact for small samples, else the series."""
+def ks_p_value(d: float, n: int, m: int, method: str = "auto") -> float:
+    """P(D >= d) for two samples of one distribution.
+
+    ``exact`` counts lattice paths, in time that grows with the product of the sizes. ``series`` is the corrected limiting law,
+    which is too small by up to a third for ten values. ``auto`` is ``exact`` up to ``EXACT_LIMIT`` values on either side, the
+    size from which the two agree to the digits shown, and ``series`` beyond.
+    """
     if d <= 0:
         return 1.0
+    if method == "exact" or method == "auto" and max(n, m) <= EXACT_LIMIT:
+        return _exact_p(d, n, m)
     size = n * m / (n + m)
     x = math.sqrt(size) * d
     # small-sample shift of the limiting law, exact to order n^-3/2
     x += 1 / (6 * math.sqrt(size)) + (x - 1) / (4 * size)
     if x <= 0.2:
-        return _exact_p(d, n, m) if max(n, m) <= EXACT_LIMIT else 1.0
+        return 1.0
     total = sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 101))
-    p = min(1.0, max(0.0, 2 * total))
-    # far out in the tail the exact count drowns in the rounding of its logarithms
-    return _exact_p(d, n, m) if max(n, m) <= EXACT_LIMIT and p > 1e-5 else p
+    return min(1.0, max(0.0, 2 * total))
 
 
 def _exact_p(d: float, n: int, m: int) -> float:
@@ -92,7 +97,7 @@ def _exact_p(d: float, n: int, m: int) -> float:
     return min(1.0, max(0.0, -math.expm1(min(0.0, math.log(row[m]) + scale - paths))))
 
 
-def ks_test(before: DataFrame, after: DataFrame, alpha: float = 0.05, at_least: int = 2) -> DataFrame:
+def ks_test(before: DataFrame, after: DataFrame, alpha: float = 0.05, at_least: int = 2, method: str = "auto") -> DataFrame:
     """``(column, ks_statistic, p_value, significant_drift)``; one row per column meets the driver."""
     spark = before.sparkSession
     rows = []
@@ -100,7 +105,7 @@ def ks_test(before: DataFrame, after: DataFrame, alpha: float = 0.05, at_least:
         if min(r["n_before"], r["n_after"]) < at_least:
             rows.append((r["column"], None, None, None, "Not enough numeric values for comparison"))
             continue
-        p = ks_p_value(r["d"], r["n_before"], r["n_after"])
+        p = ks_p_value(r["d"], r["n_before"], r["n_after"], method)
         rows.append((r["column"], round(r["d"], 6), round(p, 6), p < alpha, None))
     return spark.createDataFrame(
         rows, "column string, ks_statistic double, p_value double, significant_drift boolean, error string"

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.rules import python_title
 from ..functions.text import strip
@@ -19,10 +19,6 @@ GENERIC = "generic"
 SALTS = 16
 
 
-def empty_patterns(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], PATTERN_SCHEMA)
-
-
 def pattern_confidence(success: Column, fail: Column) -> Column:
     return F.coalesce(F.try_divide(success.cast("double"), (success + fail).cast("double")), F.lit(DEFAULT_CONFIDENCE))
 
@@ -71,13 +67,6 @@ def escape_regex(c: Column) -> Column:
     return F.regexp_replace(c, r"([\\.^$|?*+()\[\]{}\-\s#&~])", r"\\$1")
 
 
-def _fits(pattern: str, name: str) -> bool:
-    try:
-        return re.match(pattern, name, re.IGNORECASE) is not None
-    except re.error:
-        return False
-
-
 def _compiles(pattern: str) -> bool:
     try:
         re.compile(pattern)
@@ -96,32 +85,10 @@ def _valid():
     return valid
 
 
-def usable(rows: list[Row], columns: list[str], domain: str = GENERIC) -> dict[str, list[Row]]:
-    """Patterns per column, best first. Broken expressions are left out."""
-    ranked = sorted(
-        (r for r in rows if r["domain"] in (domain, GENERIC) and _compiles(r["value_pattern"])),
-        key=lambda r: (-r["success_count"], r["id"]),
-    )
-    return {c: [r for r in ranked if _fits(r["column_pattern"], c)] for c in columns}
-
-
-def pattern_fix(column: Column, value: Column, per_column: dict[str, list[Row]], exact: bool = False) -> Column | None:
-    """First matching pattern as a fix struct, with every expression a literal of the plan."""
-    end = "$" if exact else ""
-    out = None
-    for name, rows in per_column.items():
-        for r in rows:
-            total = r["success_count"] + r["fail_count"]
-            confidence = r["success_count"] / total if total else DEFAULT_CONFIDENCE
-            hit = (column == name) & value.rlike(f"(?iU)^(?:{r['value_pattern']}){end}")
-            fix = F.struct(
-                apply_template(F.lit(r["fix_template"]), value).alias("new_value"),
-                F.lit(f"pattern:{r['column_pattern']}").alias("rule"),
-                F.lit(float(confidence)).alias("confidence"),
-                F.lit(f"Applied learned pattern #{r['id']} (success rate: {confidence:.0%})").alias("reasoning"),
-            )
-            out = F.when(hit, fix) if out is None else out.when(hit, fix)
-    return out
+def _expression(pattern: str) -> Column:
+    """A pattern anchored at the start, case and character classes by Unicode; named groups in the spelling of Spark."""
+    named = F.regexp_replace(F.regexp_replace(F.col(pattern), r"\(\?P<", "(?<"), r"\(\?P=(\w+)\)", r"\\k<$1>")
+    return F.concat(F.lit("(?iU)^(?:"), named, F.lit(")"))
 
 
 def match_patterns(values: DataFrame, patterns: DataFrame, columns: list[str], domain: str = GENERIC) -> DataFrame:
@@ -135,15 +102,13 @@ def match_patterns(values: DataFrame, patterns: DataFrame, columns: list[str], d
     live = patterns.where(F.col("domain").isin(domain, GENERIC))
     live = live.where(_valid()("column_pattern") & _valid()("value_pattern"))
     # the names of one table's columns: a driver-held list
-    per_column = live.join(F.broadcast(names), F.expr("column rlike concat('(?i)^(?:', column_pattern, ')')")).select(
+    per_column = live.join(F.broadcast(names), F.rlike(F.col("column"), _expression("column_pattern"))).select(
         "column", "id", "column_pattern", "value_pattern", "fix_template", "success_count", "fail_count"
     )
     # a column is a hot key by nature: its values are spread over salts, and its patterns repeated for each
     spread = values.select("column", "value").distinct().withColumn("_salt", F.pmod(F.xxhash64("value"), F.lit(SALTS)))
     repeated = per_column.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-    hits = spread.join(repeated, ["column", "_salt"]).where(
-        F.expr("value rlike concat('(?i)^(?:', value_pattern, ')')")
-    )
+    hits = spread.join(repeated, ["column", "_salt"]).where(F.rlike(F.col("value"), _expression("value_pattern")))
     best = hits.groupBy("column", "value").agg(
         F.min_by(
             F.struct("id", "column_pattern", "fix_template", "success_count", "fail_count"),

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.text import is_blank, is_info_null, is_profile_null
 from ..session import cut
 from .counts import cell_counts, numeric_summary, top_values
-from .rows import ROW, cells, data_columns
+from .rows import ROW, cells, col, data_columns
 
 TOP_VALUES = 10
 
@@ -67,20 +67,6 @@ def profile(
     )
 
 
-def approximate_profile(df: DataFrame, columns: list[str] | None = None, row_col: str = ROW) -> DataFrame:
-    """Sketch-based counts for a quick look: one scan, no shuffle of values."""
-    columns = columns or data_columns(df, row_col)
-    v = F.col("value")
-    return (
-        df.select(*columns).unpivot([], columns, "column", "value").groupBy("column")
-        .agg(
-            F.count("*").alias("total"),
-            F.count_if(is_profile_null(v)).alias("null_count"),
-            F.approx_count_distinct(F.when(~is_profile_null(v), v)).alias("unique_count"),
-        )
-    )
-
-
 def quality_score(profiles: DataFrame) -> DataFrame:
     """Mean over columns of 0.7 completeness and 0.3 variety; 0 for a table without columns."""
     complete = F.greatest(F.lit(0.0), (100 - F.col("null_pct")) / 100)
@@ -147,12 +133,12 @@ def duplicate_rows(df: DataFrame, subset: list[str] | None = None, row_col: str
     """
     keys = subset or data_columns(df, row_col)
     _require(df, keys)
-    marked = df.select(row_col, F.struct(*keys).alias("_key"))
-    first = marked.groupBy("_key").agg(F.min(row_col).alias("first_row"), F.count("*").alias("_n")).where("_n > 1")
+    marked = df.select(col(row_col).alias("row"), F.struct(*[col(k) for k in keys]).alias("_key"))
+    first = marked.groupBy("_key").agg(F.min("row").alias("first_row"), F.count("*").alias("_n")).where("_n > 1")
     return (
-        marked.join(first.hint("shuffle_hash"), "_key")
-        .where(F.col(row_col) > F.col("first_row"))
-        .select(F.col(row_col).alias("row"), "first_row")
+        marked.join(first, "_key")
+        .where(F.col("row") > F.col("first_row"))
+        .select("row", "first_row")
     )
 
 
@@ -160,7 +146,7 @@ def duplicate_count(df: DataFrame, subset: list[str] | None = None, row_col: str
     """Number of repeated rows from one partial aggregate, without the join."""
     keys = subset or data_columns(df, row_col)
     _require(df, keys)
-    per_key = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    per_key = df.groupBy(*[col(k) for k in keys]).agg(F.count("*").alias("_n"))
     return per_key.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_count"))
 
 

@@ -15,8 +15,8 @@ from ..config import CleanConfig
 from ..functions.rules import FIX, chained_format_fix, fill_median, fill_mode, fill_unknown, format_fix
 from ..functions.text import is_blank
 from .anomalies import FINDING, format_test, missing_test, outlier_test, rare_test, type_test
-from .patterns import match_patterns, pattern_fix, usable
-from .rows import ROW, data_columns
+from .patterns import match_patterns
+from .rows import HELPERS, ROW, all_cells, check_names, col, data_columns
 from .schema import ColumnFacts
 
 ACTION = (
@@ -48,7 +48,7 @@ class Repaired:
 
     @property
     def unresolved(self) -> DataFrame:
-        """Flagged cells that no rule or inlined pattern could fix."""
+        """Flagged cells that no rule could fix."""
         return self._log.where(F.col("rule").isNull()).select(
             "row", "column", "value", "old_value", "issue_type", "details"
         )
@@ -123,30 +123,27 @@ def repair(
     text. ``keep`` may write the repaired table before fixes by join are looked up.
     """
     columns = [c for c in data_columns(df, row_col) if c in facts]
+    check_names(df.columns, HELPERS)
     first = original_facts or facts
 
     def flag(c: str) -> Column:
-        seen, f = F.col((original or {}).get(c, c)), first[c]
+        seen, f = col((original or {}).get(c, c)), first[c]
         tests = [t for t in (outlier_test(seen, f, config), rare_test(seen, f), format_test(seen, f)) if t is not None]
         if revisit and not config.replay:
-            tests = [F.when(seen.eqNullSafe(F.col(c)), t) for t in tests]
-        tests.append(missing_test(F.col(c), f))
+            tests = [F.when(seen.eqNullSafe(col(c)), t) for t in tests]
+        tests.append(missing_test(col(c), f))
         if revisit and f.is_number:
-            tests.append(type_test(F.col(c), f))
+            tests.append(type_test(col(c), f))
         hit = F.coalesce(*tests)
-        return F.when(hit.isNotNull(), F.struct(hit.alias("f"), F.col(c).alias("old_value")))
+        return F.when(hit.isNotNull(), F.struct(hit.alias("f"), col(c).alias("old_value")))
 
     flags = F.array(*[flag(c) for c in columns]) if columns else F.array().cast(
         f"array<struct<f:{FINDING},old_value:string>>"
     )
-    inline, joined = _split_patterns(patterns, columns, config, domain)
 
     def change(x: Column) -> Column:
         f, value = x["f"], x["f"]["value"]
         fix = rule_fix(f["column"], value, f["anomaly_type"], facts, config)
-        if inline:
-            learned = pattern_fix(f["column"], F.coalesce(value, F.lit("None")), inline)
-            fix = F.coalesce(fix, learned) if learned is not None else fix
         return F.struct(f, x["old_value"].alias("old_value"), fix.cast(FIX).alias("fix"))
 
     # ``_flags`` is read twice on purpose: it keeps the tests in generated code and leaves only
@@ -169,35 +166,25 @@ def repair(
     with_new = fixed.withColumn("_new", new)
     table = with_new.select(
         *[
-            F.coalesce(F.try_element_at(F.col("_new"), F.lit(c)), F.col(c)).alias(c) if c in columns else F.col(c)
+            F.coalesce(F.try_element_at(F.col("_new"), F.lit(c)), col(c)).alias(c) if c in columns else col(c)
             for c in df.columns
         ],
         "_changes",
     )
     out = Repaired(keep(table), columns, row_col)
-    if joined is None and proposals is None:
+    if patterns is None and proposals is None:
         return out
-    out.external = _external(out.unresolved, joined, proposals, columns, domain)
+    out.external = _external(out.unresolved, patterns, proposals, columns, domain)
     return out
 
 
-def _split_patterns(patterns, columns, config, domain):
-    """Compile a short pattern list into the plan; leave a long one to the join."""
-    if patterns is None:
-        return None, None
-    rows = patterns.limit(config.max_inline_patterns + 1).collect()
-    if len(rows) > config.max_inline_patterns:
-        return None, patterns
-    return usable(rows, columns, domain), None
-
-
 def _external(unresolved, patterns, proposals, columns, domain) -> DataFrame:
     """Fixes by join for the cells that are still open."""
     parts, open_cells = [], unresolved
     if patterns is not None:
         values = open_cells.select("column", F.coalesce("value", F.lit("None")).alias("value"))
         best = match_patterns(values, patterns, columns, domain)
-        # NULL-safe on the text "None", as in the inlined form
+        # a NULL value is matched as the text "None"
         hit = open_cells.withColumn("value", F.coalesce("value", F.lit("None"))).join(best, ["column", "value"])
         parts.append(
             hit.select(
@@ -244,12 +231,14 @@ def external_log(actions: DataFrame) -> DataFrame:
 def apply_fixes(df: DataFrame, fixes: DataFrame, row_col: str = ROW) -> DataFrame:
     """Write ``(row, column, new_value)`` into the table; a NULL new value is written as NULL.
 
-    Fixes are gathered per row (at most one per column) and joined once. Rows without a fix are not
+    Of several fixes for one cell the last row of ``fixes`` counts. Fixes are gathered per row and joined once. Rows without a fix are not
     touched, and a short fix list is broadcast by the optimizer from its measured size.
     """
     cols = data_columns(df, row_col)
+    placed = fixes.where(F.col("column").isin(cols)).select("row", "column", "new_value", F.monotonically_increasing_id().alias("at"))
+    per_cell = placed.groupBy("row", "column").agg(F.max_by(F.struct("new_value"), "at").alias("last"))
     per_row = (
-        fixes.where(F.col("column").isin(cols))
+        per_cell.select("row", "column", "last.new_value")
         .groupBy(F.col("row").alias(row_col))
         .agg(F.map_from_entries(F.collect_list(F.struct("column", "new_value"))).alias("_new"))
     )
@@ -257,9 +246,9 @@ def apply_fixes(df: DataFrame, fixes: DataFrame, row_col: str = ROW) -> DataFram
 
     def cell(c: str) -> Column:
         has = F.coalesce(F.map_contains_key("_new", F.lit(c)), F.lit(False))
-        return F.when(has, F.try_element_at(F.col("_new"), F.lit(c))).otherwise(F.col(c)).alias(c)
+        return F.when(has, F.try_element_at(F.col("_new"), F.lit(c))).otherwise(col(c)).alias(c)
 
-    return joined.select(*[cell(c) if c in cols else F.col(c) for c in df.columns])
+    return joined.select(*[cell(c) if c in cols else col(c) for c in df.columns])
 
 
 def normalize_all(df: DataFrame, columns: list[str] | None = None, row_col: str = ROW, chained: bool = True) -> DataFrame:
@@ -268,7 +257,7 @@ def normalize_all(df: DataFrame, columns: list[str] | None = None, row_col: str
     chosen = set(columns or data_columns(df, row_col))
     return df.select(
         *[
-            F.coalesce(rules(F.col(c), F.lit(c))["new_value"], F.col(c)).alias(c) if c in chosen else F.col(c)
+            F.coalesce(rules(col(c), F.lit(c))["new_value"], col(c)).alias(c) if c in chosen else col(c)
             for c in df.columns
         ]
     )
@@ -279,7 +268,7 @@ def repair_context(
 ) -> DataFrame:
     """What a reviewer or model needs per open issue: type, samples of the column, rest of the row."""
     cols = data_columns(df, row_col)
-    early = df.where(F.col(row_col) < head).select(*cols).unpivot([], cols, "column", "value")
+    early = all_cells(df.where(col(row_col) < head), cols)
     # at most ``head`` values per column
     texts = early.where("value is not null and value != ''").groupBy("column").agg(
         F.slice(F.array_sort(F.collect_set("value")), 1, samples).alias("sample_values")
@@ -289,7 +278,7 @@ def repair_context(
         [(c, f.dtype, f.format_pattern) for c, f in facts.items()],
         "column string, dtype string, format_pattern string",
     )
-    pairs = F.map_from_arrays(F.array(*[F.lit(c) for c in cols]), F.array(*[F.col(c) for c in cols]))
+    pairs = F.map_from_arrays(F.array(*[F.lit(c) for c in cols]), F.array(*[col(c) for c in cols]))
     rows = df.select(F.col(row_col).alias("row"), pairs.alias("_pairs"))
     return (
         issues.join(rows, "row")

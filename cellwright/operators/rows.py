@@ -7,10 +7,29 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..session import cut
 
 ROW = "_row"
+# Columns that the repair pass adds beside those of a table.
+HELPERS = ("_changes", "_flags", "_fixes", "_new")
+
+
+def col(name: str) -> Column:
+    """A column by its exact name, whatever characters it holds."""
+    return F.col(quoted(name))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def data_columns(df: DataFrame, row_col: str = ROW) -> list[str]:
-    return [c for c in df.columns if c != row_col and not c.startswith("_")]
+    """Every column but the row number."""
+    return [c for c in df.columns if c != row_col]
+
+
+def check_names(columns: list[str], reserved: tuple[str, ...] = HELPERS) -> None:
+    """Fail when a table brings a column that an operator is about to add."""
+    taken = [c for c in columns if c in reserved]
+    if taken:
+        raise ValueError(f"Column '{taken[0]}' is reserved; rename it first")
 
 
 def with_row_index(df: DataFrame, order_by: list[str | Column] | None = None, row_col: str = ROW) -> DataFrame:
@@ -20,10 +39,11 @@ def with_row_index(df: DataFrame, order_by: list[str | Column] | None = None, ro
     partition is frozen by writing the table, then the rows before each partition (one number
     per partition, so bounded by the partition count) are broadcast and added.
     """
+    check_names(df.columns, (row_col, "_arrival", "_at", "_block", "_n", "_first", "_shift"))
     out = df
     if order_by:
         # The arrival position splits ties, so one hot key spreads over several partitions.
-        keys = [F.col(k) if isinstance(k, str) else k for k in order_by]
+        keys = [col(k) if isinstance(k, str) else k for k in order_by]
         out = (
             df.withColumn("_arrival", F.monotonically_increasing_id())
             .repartitionByRange(*keys, F.col("_arrival"))
@@ -54,7 +74,7 @@ def with_file_row_index(df: DataFrame, row_col: str = ROW) -> DataFrame:
     return (
         placed.join(F.broadcast(offsets), ["_file", "_start"])
         .withColumn(row_col, F.col("_at") + F.col("_shift"))
-        .select(row_col, *df.columns)
+        .select(quoted(row_col), *map(quoted, df.columns))
     )
 
 
@@ -62,12 +82,13 @@ def _number(placed: DataFrame, block: Column, row_col: str) -> DataFrame:
     blocks = placed.groupBy(block.alias("_block")).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     before = F.sum("_n").over(Window.orderBy("_block")) - F.col("_n")
     offsets = blocks.select("_block", (before - F.col("_first")).alias("_shift"))
-    cols = [c for c in placed.columns if c != row_col]
+    cols = [quoted(c) for c in placed.columns if c != row_col]
+    # one number per partition
     return (
         placed.withColumn("_block", block)
         .join(F.broadcast(offsets), "_block")
         .withColumn(row_col, F.col("_at") + F.col("_shift"))
-        .select(row_col, *cols)
+        .select(quoted(row_col), *cols)
     )
 
 
@@ -79,7 +100,17 @@ def with_chunk_id(df: DataFrame, chunk_rows: int = 50_000, row_col: str = ROW) -
 def cells(df: DataFrame, columns: list[str] | None = None, row_col: str = ROW) -> DataFrame:
     """Long form ``(row, column, value)``; a narrow, map-side step."""
     columns = columns or data_columns(df, row_col)
-    return df.select(F.col(row_col).alias("row"), *columns).unpivot("row", columns, "column", "value")
+    return df.select(col(row_col).alias("row"), _inline(columns))
+
+
+def all_cells(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``(column, value)`` of every cell."""
+    return df.select(_inline(columns))
+
+
+def _inline(columns: list[str]) -> Column:
+    pairs = [F.struct(F.lit(c).alias("column"), col(c).alias("value")) for c in columns]
+    return F.inline(F.array(*pairs) if pairs else F.array().cast("array<struct<column:string,value:string>>"))
 
 
 def top_rows(df: DataFrame, limit: int | None, by: list[str], order: list[str | Column]) -> DataFrame:

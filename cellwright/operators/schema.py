@@ -136,16 +136,12 @@ def infer_schema(
     df: DataFrame,
     columns: list[str] | None = None,
     counts: DataFrame | None = None,
-    config: CleanConfig = CleanConfig(),
     row_col: str = ROW,
 ) -> tuple[DataFrame, DataFrame]:
     """``(schema_report, schema_issues)``, both lazy and one row per column or issue."""
     columns = columns or data_columns(df, row_col)
     if counts is None:
-        source = df
-        if config.schema_sample_rows:
-            source = sample_rows(df, config.schema_sample_rows, df.count(), config.sample_seed, row_col)
-        counts = cell_counts(source, columns, row_col)
+        counts = cell_counts(df, columns, row_col)
     types = type_counts(counts)
     return schema_report(types), schema_issues(types)
 

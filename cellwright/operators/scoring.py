@@ -60,8 +60,13 @@ def apply_review(
     """Carry out ``(id, action, new_value)`` decisions; returns ``(cleaned, queue, audit rows)``.
 
     ``accept`` keeps the suggestion, ``reject`` puts the old value back, ``edit`` writes a new one
-    and fails if it brings none.
+    and fails if it brings none. Of several decisions on one item the last counts: the one with the highest ``order`` if
+    the table has that column, else the last row. Of several items on one cell the last item's decision is written.
     """
+    order = F.col("order") if "order" in decisions.columns else F.monotonically_increasing_id()
+    placed = decisions.select("id", F.struct("action", "new_value").alias("d"), order.alias("o"))
+    decisions = placed.groupBy("id").agg(F.max_by("d", "o").alias("d"))
+    decisions = decisions.select("id", "d.action", "d.new_value")
     action = F.col("action")
     value = (
         F.when(action == "accept", F.col("suggested_value"))
@@ -78,21 +83,23 @@ def apply_review(
         status.alias("_status"),
     )
     done = reviewed.where(action.isNotNull())
-    fixes = done.where(action != "accept").select("row", "column", F.col("reviewed_value").alias("new_value"))
+    item = F.coalesce(F.regexp_extract("id", r"(\d+)$", 1).try_cast("bigint"), F.lit(-1))
+    last = done.groupBy("row", "column").agg(F.max_by(F.struct("action", "reviewed_value"), F.struct(item, "id")).alias("d"))
+    fixes = last.where("d.action != 'accept'").select("row", "column", F.col("d.reviewed_value").alias("new_value"))
     out_queue = reviewed.withColumn("status", F.coalesce("_status", "status")).drop("_status", "action")
     audit = done.select(
         F.current_timestamp().alias("timestamp"), F.col("row").alias("row_index"), F.col("column").alias("column_name"),
         F.col("old_value").alias("original_value"), F.col("reviewed_value").alias("new_value"), "issue_type",
         F.concat(F.lit("review:"), action).alias("fix_method"), F.lit(1.0).alias("confidence"),
-        F.concat(F.lit("Mock human review action: "), action).alias("reasoning"),
+        F.concat(F.lit("Reviewer decided: "), action).alias("reasoning"),
         F.lit("human_review").alias("agent_name"), F.lit("human_review").alias("tier"), F.lit("").alias("trace_id"),
     )
     return apply_fixes(cleaned, fixes, row_col), out_queue, audit
 
 
 def audit_summary(audit: DataFrame) -> DataFrame:
-    """Fixes and mean confidence per issue type and over all, in one pass (``issue_type`` NULL: all)."""
-    per = audit.groupBy("issue_type").agg(F.count("*").alias("n"), F.sum("confidence").alias("c"))
+    """One row: all fixes, fixes per issue type (NULL: ``unknown``) and mean confidence."""
+    per = audit.groupBy(F.coalesce("issue_type", F.lit("unknown")).alias("issue_type")).agg(F.count("*").alias("n"), F.sum("confidence").alias("c"))
     return per.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_fixes"),
         # one entry per issue type

@@ -8,7 +8,7 @@ from ..config import CleanConfig
 from ..functions.text import is_profile_null
 from .anomalies import flagged, type_test
 from .drift import ks_p_value, ks_statistics
-from .rows import ROW, data_columns, top_rows
+from .rows import ROW, col, data_columns
 from .schema import ColumnFacts
 
 FINDINGS = "row bigint, column string, value string, anomaly_type string, severity string, details string"
@@ -16,12 +16,9 @@ NULL_SHARE = 0.5  # fixed value
 DRIFT_MIN = 10  # fixed value
 
 
-def type_errors(
-    df: DataFrame, facts: dict[str, ColumnFacts], config: CleanConfig = CleanConfig(), row_col: str = ROW
-) -> DataFrame:
+def type_errors(df: DataFrame, facts: dict[str, ColumnFacts], row_col: str = ROW) -> DataFrame:
     cols = [c for c in data_columns(df, row_col) if c in facts]
-    found = flagged(df, [type_test(F.col(c), facts[c]) for c in cols], row_col)
-    return top_rows(found, config.limits.type_mismatch, ["column"], ["row"])
+    return flagged(df, [type_test(col(c), facts[c]) for c in cols], row_col)
 
 
 def null_errors(counts: DataFrame) -> DataFrame:
@@ -74,7 +71,7 @@ def validate(
 ) -> tuple[bool, DataFrame]:
     """``(passed, errors)``: only drift is critical, so the verdict needs one row per changed column."""
     drift = drift_errors(before, after, changed, config)
-    errors = type_errors(cleaned, facts, config, row_col).unionByName(null_errors(after))
+    errors = type_errors(cleaned, facts, row_col).unionByName(null_errors(after))
     if drift:
         errors = errors.unionByName(cleaned.sparkSession.createDataFrame(drift, FINDINGS))
     return not drift, errors

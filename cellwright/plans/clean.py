@@ -15,9 +15,9 @@ from ..operators import scoring
 from ..operators.anomalies import detect
 from ..operators.counts import cell_counts, counts_after, numeric_summary
 from ..operators.profile import profile, quality_score
-from ..operators.reconstruct import RecordSpec, reconstruct
+from ..operators.reconstruct import RECORD_CONFIDENCE, RecordSpec, reconstruct
 from ..operators.repair import external_log, repair
-from ..operators.rows import ROW, data_columns, with_chunk_id, with_row_index
+from ..operators.rows import HELPERS, ROW, check_names, col, data_columns, quoted, with_chunk_id, with_row_index
 from ..operators.schema import ColumnFacts, collect_facts, schema_issues, schema_report, type_counts
 from ..operators.validate import validate
 from ..session import cut
@@ -107,16 +107,19 @@ def clean(
     """
     start, stages = time.time(), _Stages()
     dataset_id = dataset_id or uuid4().hex[:8]
+    check_names(df.columns, (ROW, *HELPERS) if row_col != ROW else HELPERS)
     if row_col:
         text = as_text(df, [row_col]).withColumnRenamed(row_col, ROW).withColumn(ROW, F.col(ROW).cast("bigint"))
     else:
         text = as_text(with_row_index(df, order_by), [ROW])
     stages.done("ingest", columns=len(text.columns) - 1)
 
+    given = data_columns(text)
     text, reconstruction = reconstruct(text, spec)
     stages.done("structure_reconstruction", **({"skipped": True} if spec is None else reconstruction.first().asDict()))
-    columns = data_columns(text)
-    raw = text.select(ROW, *columns)
+    # a rebuilt table carries the confidence of its records beside the columns of the specification
+    columns = [c for c in data_columns(text) if c in given or c != RECORD_CONFIDENCE]
+    raw = text.select(ROW, *map(quoted, columns))
 
     counts = cut(cell_counts(raw, columns), "counts")
     types, summary = cut(type_counts(counts), "types"), cut(numeric_summary(counts), "summary")
@@ -134,7 +137,8 @@ def clean(
 
     # each pass carries the first text along, because findings are made on it
     first = {c: f"_first_{i}" for i, c in enumerate(columns)}
-    current = raw.select("*", *[F.col(c).alias(first[c]) for c in columns])
+    check_names(columns, tuple(first.values()))
+    current = raw.select("*", *[col(c).alias(first[c]) for c in columns])
     logs: list[DataFrame] = []
     changed: set[str] = set()
     now, pass_facts, passed, errors, done = counts, facts, False, None, 0
@@ -154,7 +158,7 @@ def clean(
         stages.done("cleaning", iteration_count=done, fix_count=sum(per_column.values()))
         now = cut(counts_after(now, actions), "counts")
         passed, errors = validate(
-            current.select(ROW, *columns), counts, now, facts, sorted(changed), config
+            current.select(ROW, *map(quoted, columns)), counts, now, facts, sorted(changed), config
         )
         stages.done("validation", validation_passed=passed)
         if passed or (not config.replay and not per_column):
@@ -178,7 +182,7 @@ def clean(
     overall = report.first()["overall_confidence"]
     stages.done("confidence_scoring", overall, overall_confidence=overall)
     return CleaningResult(
-        raw, current.select(ROW, *columns), actions, anomalies, schema_report(types), schema_issues(types), profiles,
+        raw, current.select(ROW, *map(quoted, columns)), actions, anomalies, schema_report(types), schema_issues(types), profiles,
         errors, passed, done, reconstruction, report, df.sparkSession.createDataFrame(stages.rows, STAGE_RUN),
         facts, config, dataset_id, columns,
     )

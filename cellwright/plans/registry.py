@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..config import CleanConfig, Limits
+from ..config import CleanConfig
 from ..functions.rules import FORMAT_RULES, format_fix, normalize
 from ..functions.text import DOMAIN_PATTERNS, FORMAT_PATTERNS, matches
 from ..operators import anomalies as an, browse, drift, evaluate as ev, fuzzy, patterns as pt, profile as pr
@@ -147,7 +147,7 @@ def _format_pattern(spark, sf):
 @query("schema_sampled")
 def _schema_sampled(spark, sf):
     v = view(spark, sf, "events_text")
-    report, _ = sc.infer_schema(v, COLUMNS["events_text"], config=CleanConfig(schema_sample_rows=1000), row_col=R)
+    report, _ = sc.infer_schema(sc.sample_rows(v, 1000, v.count(), row_col=R), COLUMNS["events_text"], row_col=R)
     return report
 
 
@@ -380,7 +380,8 @@ def _formats(spark, sf):
     QUALIFY row_number() OVER (PARTITION BY col ORDER BY row_no) <= 500""",
 )
 def _report_sized(spark, sf):
-    return _found(spark, sf, "dirty_contacts", CleanConfig(limits=Limits.report_sized())).where("anomaly_type = 'format_violation'")
+    # a top-k report: the first 500 findings of each column
+    return rows.top_rows(_found(spark, sf, "dirty_contacts").where("anomaly_type = 'format_violation'"), 500, ["column"], ["row"])
 
 
 @query("anomaly_filter", f"{_finding_cte('dirty_customer')} {_FINDING_OUT} WHERE kind <> 'rare_category' AND col = 'balance'")
@@ -563,7 +564,7 @@ _ACTION_OUT = """SELECT row_no AS "row", col AS "column", v AS old_value, new_va
 def _repaired(spark, sf, name="dirty_customer", patterns=None, proposals=None, config=CleanConfig()):
     v = view(spark, sf, name)
     # fixes by join read the open cells more than once
-    joined = proposals is not None or (patterns is not None and config.max_inline_patterns < 10)
+    joined = proposals is not None or patterns is not None
     keep = {"keep": lambda t: cut(t, "repaired")} if joined else {}
     return rp.repair(v, sc.facts_of(v, COLUMNS[name], row_col=R), patterns, proposals, config, R, **keep)
 
@@ -664,7 +665,8 @@ def _pattern_repair(spark, sf):
 
 @query("pattern_repair_by_join", _PATTERNED)
 def _pattern_repair_join(spark, sf):
-    return _action_cols(_repaired(spark, sf, patterns=_segment_patterns(spark), config=CleanConfig(max_inline_patterns=1)).actions)
+    found = _repaired(spark, sf, patterns=_segment_patterns(spark))
+    return _action_cols(found.external.unionByName(rp.action_rows(found._log.where(F.col("rule").isNotNull()))))
 
 
 @query(

@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import as_text
+from ..operators.rows import col, quoted
 
 EXTENSIONS = (".csv", ".tsv", ".parquet")  # fixed values
 
@@ -88,7 +89,7 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN in floating columns becomes NULL."""
     kinds = dict(df.dtypes)
     return df.select(
-        *[F.when(~F.isnan(c), F.col(c)).alias(c) if kinds[c] in ("double", "float") else F.col(c) for c in df.columns]
+        *[F.when(~F.isnan(col(c)), col(c)).alias(c) if kinds[c] in ("double", "float") else col(c) for c in df.columns]
     )
 
 

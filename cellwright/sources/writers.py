@@ -25,8 +25,7 @@ def save_result(
     table: DataFrame, audit: DataFrame, report: DataFrame, path: str, output_format: str = "csv", row_col: str = "_row"
 ) -> str:
     """The cleaned table, with its audit trail and report in sidecars."""
-    hidden = [c for c in table.columns if c == row_col or c.startswith("_")]
-    (save_json if output_format == "json" else save_csv)(table.drop(*hidden), path)
+    (save_json if output_format == "json" else save_csv)(table.drop(row_col), path)
     save_json(audit, sidecar(path, "audit"))
     save_json(report, sidecar(path, "report"))
     return path

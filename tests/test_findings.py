@@ -4,7 +4,6 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from cellwright.config import CleanConfig, Limits
 from cellwright.operators.anomalies import detect, domain_violations, iqr_outliers, missing_required, zscore_outliers
 from cellwright.operators.counts import cell_counts, exact_quantiles, grid_bucket, numbers
 from cellwright.operators.profile import column_info, duplicate_count, duplicate_rows, null_cells, profile, quality_score, value_counts
@@ -50,15 +49,13 @@ def test_outliers_need_both_tests(table):
     assert zscore_outliers(t, facts["flat"]).count() == 0
 
 
-def test_rare_categories_and_limits(table):
+def test_rare_categories(table):
     t = table(["c"], [("a",)] * 300 + [("z",)] * 3 + [("None",)])
     facts = facts_of(t)
     assert facts["c"].rare == {"z": 3}
     rows = detect(t, facts).collect()
     assert sorted(r["row"] for r in rows) == [300, 301, 302]
     assert rows[0]["details"] == "Value 'z' appears only 3 time(s)"
-    few = CleanConfig(limits=Limits(rare_rows_per_value=2))
-    assert sorted(r["row"] for r in detect(t, facts, few).collect()) == [300, 301]
 
 
 def test_date_order_and_domains(table):

@@ -9,7 +9,7 @@ from cellwright.operators.counts import cell_counts
 from cellwright.operators.patterns import PATTERN_SCHEMA, add_patterns, apply_template, learn_patterns, list_patterns, match_patterns, record_outcomes
 from cellwright.operators.repair import apply_fixes, normalize_all, repair
 from cellwright.operators.schema import facts_of
-from cellwright.operators.scoring import apply_review, audit_log, review_queue, tier
+from cellwright.operators.scoring import apply_review, audit_log, audit_summary, review_queue, tier
 from cellwright.plans.clean import clean
 
 PEOPLE = [
@@ -58,16 +58,13 @@ def test_patterns_and_proposals_in_turn(spark, people):
         "row bigint, column string, corrected_value string, confidence double, reasoning string, model string",
     )
     facts = facts_of(people)
-    results = [
-        repair(people, facts, patterns, proposals, CleanConfig(max_inline_patterns=n)) for n in (200, 1)
-    ]
-    for out in results:
-        got = cells_of(out.actions)
-        assert got[(3, "email")] == ("none@x.com", "pattern:.*mail.*")
-        assert got[(9, "age")] == ("39", "llm:m1") and got[(3, "salary")] == ("0", "llm:m1")
-        assert (0, "age") not in got
-        assert {r["_row"]: r["age"] for r in out.cleaned.collect()}[9] == "39"
-    lessons = learn_patterns(results[0].actions)
+    out = repair(people, facts, patterns, proposals)
+    got = cells_of(out.actions)
+    assert got[(3, "email")] == ("none@x.com", "pattern:.*mail.*")
+    assert got[(9, "age")] == ("39", "llm:m1") and got[(3, "salary")] == ("0", "llm:m1")
+    assert (0, "age") not in got
+    assert {r["_row"]: r["age"] for r in out.cleaned.collect()}[9] == "39"
+    lessons = learn_patterns(out.actions)
     assert [(r["column_pattern"], r["value_pattern"], r["fix_template"]) for r in lessons.collect()] == [(".*age.*", "999", "39")]
     grown = add_patterns(patterns, lessons)
     assert [r["id"] for r in list_patterns(grown).collect()] == [3, 2, 1, 4]
@@ -120,8 +117,20 @@ def test_ks(table):
     same = ks_test(cell_counts(a), cell_counts(a)).first()
     assert same["ks_statistic"] == 0.0 and same["p_value"] == 1.0 and not same["significant_drift"]
     # published value of the exact two-sided test for n = m = 10
-    assert ks_p_value(0.5, 10, 10) == pytest.approx(0.16782134274394334, abs=1e-9)
-    assert ks_p_value(0.02, 10_001, 10_001) == pytest.approx(ks_p_value(0.02, 9_999, 9_999), rel=0.05)
+    assert ks_p_value(0.5, 10, 10, "exact") == pytest.approx(0.16782134274394334, abs=1e-9)
+    assert ks_p_value(0.5, 10, 10) == ks_p_value(0.5, 10, 10, "exact")
+    assert ks_p_value(0.1, 400, 500, "series") == pytest.approx(ks_p_value(0.1, 400, 500, "exact"), rel=0.05)
+
+
+def test_ks_with_numbers_on_one_side(table):
+    a = table(["v", "few", "gone"], [(str(i), "1" if i == 0 else "x", str(i)) for i in range(30)])
+    b = table(["v", "few", "gone"], [(str(i), "1" if i == 0 else "x", "true") for i in range(30)])
+    got = {r["column"]: r for r in ks_test(cell_counts(a), cell_counts(b)).collect()}
+    assert got["v"]["p_value"] == 1.0 and got["v"]["error"] is None
+    assert got["few"]["error"] and got["gone"]["error"] and got["gone"]["ks_statistic"] is None
+    # stray flags become words, and no number is left to compare
+    mails = table(["mail"], [(f"user{i}@example.com",) for i in range(40)] + [("1",)] * 12)
+    assert clean(mails, row_col="_row").validation_passed
 
 
 def fixes_frame(spark, rows, value):
@@ -158,6 +167,14 @@ def test_review(spark, people):
     assert by_row[0]["age"] == "29" and by_row[1]["name"] == "Bo Ray" and by_row[4]["age"] is None
     assert {r["id"]: r["status"] for r in done.collect()} == {"review-0": "edited", "review-1": "accepted", "review-2": "rejected"}
     assert {r["fix_method"] for r in audit.collect()} == {"review:edit", "review:accept", "review:reject"}
+    twice = decisions.unionByName(spark.createDataFrame([("review-0", "edit", "31")], "id string, action string, new_value string"))
+    ordered = twice.withColumn("order", F.when(F.col("new_value") == "31", 2).otherwise(1))
+    assert {r["_row"]: r["age"] for r in apply_review(people, queue, ordered)[0].collect()}[0] == "31"
+    repeated = queue.unionByName(queue.where("id = 'review-0'").withColumn("id", F.lit("review-7")))
+    second = spark.createDataFrame([("review-0", "edit", "29"), ("review-7", "reject", None)], "id string, action string, new_value string")
+    assert {r["_row"]: r["age"] for r in apply_review(people, repeated, second)[0].collect()}[0] == "28"
+    summary = audit_summary(audit_log(actions.withColumn("issue_type", F.when(F.col("row") > 0, "t")))).first()
+    assert summary["by_issue_type"] == {"t": 3, "unknown": 1} and summary["total_fixes"] == 4
     bad = decisions.where("id = 'review-0'").withColumn("new_value", F.lit(None).cast("string"))
     with pytest.raises(Exception, match="new_value is required"):
         apply_review(people, queue, bad)[0].collect()
@@ -166,7 +183,7 @@ def test_review(spark, people):
 def test_browse(people):
     assert [r["_row"] for r in page(people, 2, 5).collect()] == [5, 6, 7, 8, 9]
     info = page_info(people, 0, 500).first()
-    assert (info["page"], info["page_size"], info["total_rows"], info["total_pages"]) == (1, 200, 12, 1)
+    assert (info["page"], info["page_size"], info["total_rows"], info["total_pages"]) == (1, 500, 12, 1)
     rows, shown = preview(people, 3)
     assert rows.count() == 3 and shown.first()["truncated"] and shown.first()["row_count"] == 12
     assert [r["_row"] for r in search_sort(people, "ann", "email", True).collect()] == [5, 0]
@@ -176,3 +193,34 @@ def test_browse(people):
     facts = facts_of(people)
     actions = repair(people, facts).actions
     assert filter_actions(actions, "rule:med").count() == 1
+
+
+def test_any_column_name_survives(spark):
+    rows = [(i, str(i % 7), f"user{i}@x.com" if i else " A@X.com ", "v" if i % 9 else "") for i in range(60)]
+    t = spark.createDataFrame(rows, "id bigint, `_id` string, `a.b` string, `c d` string")
+    out = clean(t, row_col="id")
+    assert out.cleaned.columns == ["_row", "_id", "a.b", "c d"] and out.profile.count() == 3
+    first = out.cleaned.where("_row = 0").first()
+    assert first["a.b"] == " A@X.com " and first["c d"] == "v"
+    assert {r["column"] for r in duplicate_rows_of(t)} == set()
+    with pytest.raises(ValueError, match="reserved"):
+        clean(t.withColumnRenamed("_id", "_flags"), row_col="id")
+
+
+def duplicate_rows_of(t):
+    from cellwright.operators.profile import duplicate_count
+
+    assert duplicate_count(t, ["a.b", "_id"], "id").first()["duplicate_count"] == 0
+    return []
+
+
+def test_patterns_use_one_dialect(spark, table):
+    t = table(["code"], [(f"c{i}",) for i in range(30)] + [("٣٤",), ("77x",)])
+    facts = facts_of(t)
+    patterns = spark.createDataFrame([(1, "CODE", r"(?P<n>\d+)$", "digits", "generic", 0, 0)], PATTERN_SCHEMA)
+    found = repair(t.withColumn("code", F.when(F.col("_row") == 31, "").otherwise(F.col("code"))), facts, patterns)
+    assert found.external.count() == 0
+    from cellwright.operators.patterns import match_patterns
+
+    hits = match_patterns(spark.createDataFrame([("code", "٣٤"), ("code", "77x"), ("code", "5")], "column string, value string"), patterns, ["code"])
+    assert {r["value"] for r in hits.collect()} == {"٣٤", "5"}
