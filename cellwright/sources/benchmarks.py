@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import CleanConfig
 from ..operators.evaluate import evaluate
+from ..operators.rows import ROW
 from ..plans.clean import clean
 from .readers import load_file
 from .writers import save_evaluation, save_result
@@ -42,7 +43,7 @@ def run_benchmarks(
     for r in find_pairs(spark, folder).collect():
         name = r["dataset"]
         try:
-            result = clean(load_file(spark, r["dirty_path"]), config=config, dataset_id=name)
+            result = clean(load_file(spark, r["dirty_path"], row_index=True), config=config, row_col=ROW, dataset_id=name)
             if output:
                 save_result(result.cleaned, result.audit, result.report, f"{output}/{name}_cleaned.csv")
             applied.append(result.actions.select(F.lit(name).alias("dataset"), "row", "column", "new_value"))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import as_text
-from ..operators.rows import col, quoted
+from ..operators.rows import ROW, col, with_file_row_index
 
+FILE = "_source_file"
 EXTENSIONS = (".csv", ".tsv", ".parquet")  # fixed values
 
 
@@ -16,41 +18,69 @@ def extension(path: str) -> str:
     return os.path.splitext(path.rstrip("/"))[1].lower()
 
 
-def load_file(spark: SparkSession, path: str, *, sep: str | None = None, encoding: str | None = None, **options) -> DataFrame:
-    """CSV, TSV or Parquet as text. Blank cells of a text file are ``""``, never NULL."""
+def load_file(
+    spark: SparkSession, path: str, *, sep: str | None = None, encoding: str | None = None, multi_line: bool = False,
+    row_index: bool = False, **options
+) -> DataFrame:
+    """CSV, TSV or Parquet as text. Blank cells of a text file are ``""``, never NULL.
+
+    Without ``encoding`` each file is UTF-8 if all its bytes are, else Latin-1. ``multi_line`` allows line feeds in quoted cells;
+    a file is then read by one task. ``row_index`` adds the row number in file order, as ``_row``.
+    """
     ext = extension(path)
     if ext not in EXTENSIONS:
         raise ValueError(f"Unsupported file extension '{ext}'. Supported: {sorted(EXTENSIONS)}")
     try:
         if ext == ".parquet":
-            return as_text(spark.read.options(**options).parquet(path))
-        return _load_delimited(spark, path, sep or ("\t" if ext == ".tsv" else ","), encoding, options)
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
+            df = spark.read.options(**options).parquet(path)
+            return as_text(with_file_row_index(df), [ROW]) if row_index else as_text(df)
+        return _load_delimited(spark, path, sep or ("\t" if ext == ".tsv" else ","), encoding, multi_line, row_index, options)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(f"Data file not found: {path}") from e
         raise
 
 
-def _load_delimited(spark, path, sep, encoding, options) -> DataFrame:
+def _load_delimited(spark, path, sep, encoding, multi_line, row_index, options) -> DataFrame:
     def read(charset: str) -> DataFrame:
-        df = (
-            spark.read.option("header", True).option("inferSchema", False).option("multiLine", True)
+        return (
+            spark.read.option("header", True).option("inferSchema", False).option("multiLine", multi_line)
             .option("quote", '"').option("escape", '"').option("sep", sep).option("encoding", charset)
             .options(**options).csv(path)
         )
-        return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns])
 
     if encoding:
-        return read(encoding)
-    utf8 = read("UTF-8")
-    # bytes that are not UTF-8 show up as the replacement character
-    broken = F.lit(False)
-    for c in utf8.columns:
-        broken = broken | F.contains(F.col(f"`{c}`"), F.lit("�"))
-    bad_names = any("�" in c for c in utf8.columns)
-    if bad_names or utf8.where(broken).limit(1).count():
-        return read("ISO-8859-1")
-    return utf8
+        df = read(encoding)
+        columns = [F.coalesce(col(c), F.lit("")).alias(c) for c in df.columns]
+        return with_file_row_index(df).select(ROW, *columns) if row_index else df.select(*columns)
+    # Latin-1 keeps every byte, so each file's bytes can still be read as UTF-8 where all of them are valid
+    df = read("ISO-8859-1")
+    names = [_header(c) for c in df.columns]
+    utf8 = {c: F.encode(F.coalesce(col(c), F.lit("")), "ISO-8859-1").cast("string") for c in df.columns}
+    valid = F.lit(True)
+    for c in df.columns:
+        valid = valid & F.is_valid_utf8(utf8[c])
+    placed = df.select("*", F.col("_metadata.file_path").alias(FILE))
+    number = [ROW] if row_index else []
+    if row_index:
+        placed = with_file_row_index(placed)
+    broken = placed.groupBy(FILE).agg(F.bool_and(valid).alias("valid")).where("not valid").select(F.col(FILE).alias("_latin_file"))
+    if broken.isEmpty():
+        return placed.select(*number, *[utf8[c].alias(n) for c, n in zip(df.columns, names, strict=True)])
+    # one row per file that isn't UTF-8
+    known = placed.join(broken, F.col(FILE) == F.col("_latin_file"), "left")
+    latin = F.col("_latin_file").isNotNull()
+    return known.select(
+        *number,
+        *[F.when(latin, F.coalesce(col(c), F.lit(""))).otherwise(utf8[c]).alias(n) for c, n in zip(df.columns, names, strict=True)],
+    )
+
+
+def _header(name: str) -> str:
+    try:
+        return name.encode("latin-1").decode("utf-8")
+    except UnicodeError:
+        return name
 
 
 def load_sql(

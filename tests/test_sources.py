@@ -22,6 +22,9 @@ def test_text_files(spark, tmp_path):
     old = tmp_path / "old.csv"
     old.write_bytes("n\nJosé\n".encode("latin-1"))
     assert load_file(spark, str(old)).first()["n"] == "José"
+    quoted = tmp_path / "quoted.csv"
+    quoted.write_text('a,b\n"two\nlines",1\n')
+    assert load_file(spark, str(quoted), multi_line=True).first()["a"] == "two\nlines"
     with pytest.raises(ValueError):
         load_file(spark, "x.doc")
     with pytest.raises(FileNotFoundError):
@@ -52,6 +55,20 @@ def test_file_rows_are_numbered_in_file_order(spark, tmp_path):
     assert [(r["_row"], r["id"]) for r in rows] == [(i, i) for i in range(30)]
 
 
+def test_each_file_has_its_own_encoding_and_rows_their_file_order(spark, tmp_path):
+    folder = tmp_path / "many.csv"
+    folder.mkdir()
+    texts = [["café", "\ufffd"], ["x"] * 50, ["José", "Łódź"], ["last"]]
+    for i, rows in enumerate(texts):
+        (folder / f"{'abcd'[i]}.csv").write_bytes(("größe\n" + "".join(f"{r}\n" for r in rows)).encode())
+    want = [r for rows in texts for r in rows]
+    df = load_file(spark, str(folder), row_index=True)
+    assert df.columns == ["_row", "größe"]
+    assert [r["größe"] for r in df.orderBy("_row").collect()] == want and df.agg({"_row": "max"}).first()[0] == len(want) - 1
+    (folder / "e.csv").write_bytes("größe\nJosé\n".encode("latin-1"))
+    assert sorted(r["größe"] for r in load_file(spark, str(folder)).collect()) == sorted([*want, "José"])
+
+
 def test_benchmark_pairs(spark, tmp_path):
     (tmp_path / "one_dirty.csv").write_text("name,age\n" + "".join(f"n{i},{20 + i}\n" for i in range(9)) + "n9,\n")
     (tmp_path / "one_ground_truth.json").write_text(json.dumps([{"row": 9, "column": "age", "expected_value": "24.0"}]))
