@@ -12,7 +12,7 @@ from ..session import cut
 #: White space of every contract of this package: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]"
 
-__all__ = ["SPACE", "bytes_of", "cut", "documents", "normalised", "pieces", "table", "texts_of", "with_key", "without"]
+__all__ = ["SPACE", "bytes_of", "cut", "documents", "free_name", "normalised", "pieces", "table", "texts_of", "with_key", "without"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,12 +37,22 @@ def without(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     marks = verdicts.groupBy("doc_id", "text_key").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     marks = marks.where("not kept or n > 1").select(F.col("doc_id").alias("marked_id"), F.col("text_key").alias("marked_key"), "kept")
     marks = cut(marks.withColumnRenamed("kept", "marked_kept"), "marks")
-    same = docs["doc_id"].eqNullSafe(F.col("marked_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("marked_key"))
+    key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    same = docs["doc_id"].eqNullSafe(marks["marked_id"]) & (key == marks["marked_key"])
     single = docs.join(marks, same, "left_anti")
     repeated = marks.where("marked_kept")
     if repeated.isEmpty():
         return single
-    return single.unionByName(docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    own = free_name(docs, "key")
+    one = docs.join(repeated, same, "left_semi").withColumn(own, key).dropDuplicates(["doc_id", own]).drop(own)
+    return single.unionByName(one)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
 
 
 def normalised(text: Column) -> tuple[Column, Column]:

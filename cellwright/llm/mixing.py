@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import SPACE, cut, documents
+from .common import SPACE, cut, free_name
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
@@ -120,9 +120,10 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
     )
     times = cut(times.where("turns > 0"), "turns")
     same = (
-        docs["doc_id"].eqNullSafe(F.col("mixed_id"))
-        & docs["source"].eqNullSafe(F.col("mixed_source"))
-        & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("mixed_key"))
+        docs["doc_id"].eqNullSafe(times["mixed_id"])
+        & docs["source"].eqNullSafe(times["mixed_source"])
+        & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == times["mixed_key"])
     )
-    turns = docs.join(times, same).withColumn("mixed_id", F.explode(F.sequence(F.lit(1), "turns")))
-    return turns.select(*[docs[c] for c in docs.columns])
+    own = free_name(docs, "turn")
+    turns = docs.join(times, same).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), times["turns"])).alias(own))
+    return turns.drop(own)
