@@ -174,5 +174,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, settings: Settings = Sett
 def keep_good(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
     """The rows of ``docs`` that are predicted to be good, with all their columns; rows equal in id and text share their fate."""
     bad = cut(quality_scores(docs, labels, settings).where("predicted = 0").select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_key")), "bad")
+    bad = bad.hint("merge")  # it grows with the documents: one plan at every size
     same = docs["doc_id"].eqNullSafe(bad["bad_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad["bad_key"])
     return docs.join(bad, same, "left_anti")

@@ -36,7 +36,8 @@ def without(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """
     marks = verdicts.groupBy("doc_id", "text_key").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     marks = marks.where("not kept or n > 1").select(F.col("doc_id").alias("marked_id"), F.col("text_key").alias("marked_key"), "kept")
-    marks = cut(marks.withColumnRenamed("kept", "marked_kept"), "marks")
+    # the marks grow with the documents: one plan at every size
+    marks = cut(marks.withColumnRenamed("kept", "marked_kept"), "marks").hint("merge")
     key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     same = docs["doc_id"].eqNullSafe(marks["marked_id"]) & (key == marks["marked_key"])
     single = docs.join(marks, same, "left_anti")

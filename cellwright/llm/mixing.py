@@ -118,7 +118,8 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
         F.col("doc_id").alias("mixed_id"), F.col("source").alias("mixed_source"), F.col("text_key").alias("mixed_key"),
         F.ceil(F.col("turns") / F.col("rows")).cast("int").alias("turns"),
     )
-    times = cut(times.where("turns > 0"), "turns")
+    # the turns grow with the documents: one plan at every size
+    times = cut(times.where("turns > 0"), "turns").hint("merge")
     same = (
         docs["doc_id"].eqNullSafe(times["mixed_id"])
         & docs["source"].eqNullSafe(times["mixed_source"])
