@@ -44,7 +44,7 @@ class WordHashes:
     known: dict[bytes, tuple[int, int]] = field(default_factory=dict)
 
     def __call__(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.known) > 300_000:
+        if len(self.known) > 150_000:
             self.known = {}
         known, words = self.known, text.split()
         for w in set(words):

@@ -13,7 +13,7 @@ from .common import documents, pieces, texts_of
 
 MARK = "▁"
 #: A table is emptied when it holds this many words; longer words are segmented where they stand.
-TABLE_WORDS, WORD_CHARS = 500_000, 200
+TABLE_WORDS, WORD_CHARS = 200_000, 200
 _CHUNK = re.compile(" +[^ ]*")
 
 
