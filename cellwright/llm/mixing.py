@@ -8,7 +8,7 @@ from .common import SPACE, cut, free_name
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
-ROWS_PER_SLICE = 50_000
+ROWS_PER_SLICE = 5_000
 
 
 def size_in_words() -> Column:
