@@ -14,8 +14,12 @@ from .substrings import _as_id, ordered
 from .suffixes import suffix_array
 
 WINDOW, GRAM = 400, 32
-#: Keys with up to this many different super-windows get a suffix array, larger ones are counted window by window.
-BUCKET = 400
+#: Keys with more different super-windows than this are split by what their windows have in common.
+CROWD = 400
+#: Parts of such a key with up to this many strings get a suffix array, larger ones are counted window by window.
+BUCKET = 4000
+#: Intervals of a window's place around the minimiser, by which a crowded key is split.
+INTERVALS = 8
 
 _ROW = "doc bigint, text_key bigint, key bigint, digest bigint, first int, place int, n int"
 
@@ -154,6 +158,39 @@ def _packed(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     return made.dropDuplicates(["key", "doc", "text_key", "first"])
 
 
+def _split(packed: DataFrame, window: int, gram: int) -> DataFrame:
+    """Crowded keys in parts: equal windows have equal places around the minimiser, and all windows whose place lies in one of
+    ``INTERVALS`` intervals share a core of almost a window. A super-window goes to the part of each core it holds, cut to the
+    windows of that interval, so it makes ``INTERVALS`` rows at most.
+    """
+    edges = np.linspace(0, window - gram + 1, INTERVALS + 1).astype(int).tolist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in pieces(batches, 1_000_000):
+            rows = []
+            columns = [batch.column(c).to_pylist() for c in ("key", "doc", "text_key", "first", "place", "copies", "packed")]
+            for key, doc, text_key, first, place, copies, text in zip(*columns, strict=True):
+                most = place - first
+                least = most - (len(text) - window)
+                for i in range(INTERVALS):
+                    low, high = max(edges[i], least), min(edges[i + 1] - 1, most)
+                    if low <= high:
+                        core = text[most - edges[i] : most - (edges[i + 1] - 1) + window]
+                        part = xxhash.xxh3_64_intdigest(core, (key * INTERVALS + i) % (1 << 64))
+                        at = most - high
+                        rows.append((part - (1 << 63), doc, text_key, first + at, place, copies, text[at : most - low + window]))
+            if rows:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(v, t) for v, t in zip(zip(*rows, strict=True), kinds, strict=True)],
+                    ["key", "doc", "text_key", "first", "place", "copies", "packed"],
+                )
+
+    return packed.mapInArrow(run, "key bigint, doc bigint, text_key bigint, first int, place int, copies bigint, packed binary")
+
+
 def _in_buckets(packed: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flushed(found: list) -> pa.RecordBatch:
@@ -208,8 +245,9 @@ def repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     Equal windows have equal minimisers (the smallest hash of ``gram`` bytes), so they lie in super-windows, runs of windows with
     one minimiser, of one key. Super-windows first travel as key and digest. One that occurs twice repeats as a whole. Where
     a key has different ones, each travels once, as bytes, to its key's bucket, where a suffix array finds the windows
-    they share. Keys with more than ``BUCKET`` different super-windows are counted window by window in a shuffle, with
-    the same result; so no key, however common, gathers in one task.
+    they share. Keys with more than ``CROWD`` different super-windows are first split by the cores that their windows share,
+    and parts of more than ``BUCKET`` strings are counted window by window in a shuffle, with the same result; so no
+    key, however common, gathers in one task.
 
     Matches never cross rows. Null texts are empty; texts under ``window`` bytes have no window; repeated rows repeat each other.
     The digest of a super-window has 64 bits beside the 64 bits of its key.
@@ -230,9 +268,13 @@ def repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     sizes = cut(varied.groupBy("key").agg(F.count("*").alias("variants"), F.min("copies").alias("least")).where("least = 1").drop("least"), "sizes")
     wanted = varied.join(sizes, "key").select("key", "one.*", "copies", "variants")
     packed = cut(_packed(docs, wanted, window), "packed")
-    small = _in_buckets(packed.where(F.col("variants") <= BUCKET), window)
-    large = _window_by_window(packed.where(F.col("variants") > BUCKET), window)
-    spans = whole.unionByName(small).unionByName(large)
+    small = _in_buckets(packed.where(F.col("variants") <= CROWD), window)
+    parts = cut(_split(packed.where(F.col("variants") > CROWD), window, gram), "parts")
+    crowds = parts.groupBy("key").agg(F.count("*").alias("variants"), F.min("copies").alias("least")).where("variants > 1 and least = 1")
+    parts = cut(parts.join(cut(crowds.drop("least"), "crowds"), "key"), "crowded")
+    medium = _in_buckets(parts.where(F.col("variants") <= BUCKET), window)
+    large = _window_by_window(parts.where(F.col("variants") > BUCKET), window)
+    spans = whole.unionByName(small).unionByName(medium).unionByName(large)
     return spans.groupBy("doc", "text_key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
 
