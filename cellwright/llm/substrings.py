@@ -65,68 +65,71 @@ def ordered(docs: DataFrame) -> DataFrame:
 
 
 def _packed(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """The words of the ``wanted`` super-windows ``(key, doc, text_key, first, n)``, each as one string."""
+    """The words of the ``wanted`` super-windows ``(key, digest, doc, text_key, first, n)``, each as one string."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            out: dict[str, list] = {c: [] for c in ("key", "doc", "text_key", "first", "packed")}
+            out: dict[str, list] = {c: [] for c in ("key", "digest", "doc", "text_key", "first", "packed")}
             spans = batch.column("spans").to_pylist()
             for doc, text_key, text, parts in zip(
                 batch.column("doc").to_pylist(), batch.column("text_key").to_pylist(), bytes_of(batch), spans, strict=True
             ):
                 words = text.split()
                 for p in parts:
-                    for c, v in zip(out, (p["key"], doc, text_key, p["first"], b" ".join(words[p["first"] : p["first"] + p["n"] + window - 1])), strict=True):
+                    for c, v in zip(out, (p["key"], p["digest"], doc, text_key, p["first"], b" ".join(words[p["first"] : p["first"] + p["n"] + window - 1])), strict=True):
                         out[c].append(v)
             if out["key"]:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], list(out))
 
-    spans = wanted.groupBy("doc", "text_key").agg(F.collect_list(F.struct("key", "first", "n")).alias("spans"))
+    spans = wanted.groupBy("doc", "text_key").agg(F.collect_list(F.struct("key", "digest", "first", "n")).alias("spans"))
     # both sides grow with the corpus; one plan at every size
     held = ordered(docs).join(spans.hint("merge"), ["doc", "text_key"])
-    return held.mapInArrow(run, "key bigint, doc bigint, text_key bigint, first int, packed binary")
+    return held.mapInArrow(run, "key bigint, digest bigint, doc bigint, text_key bigint, first int, packed binary")
 
 
 def _in_buckets(packed: DataFrame, window: int) -> DataFrame:
-    """``(doc, text_key, start, stop)``: words covered by windows that start in an earlier document of the same bucket."""
+    """``(key, digest, doc, text_key, start, stop)``: words covered by windows that start in an earlier document of the same bucket."""
 
-    def settle(bucket: list[tuple[int, int, int, list[bytes]]]) -> list[tuple[int, int, int, int]]:
+    def settle(key: int, bucket: list[tuple[int, int, int, int, list[bytes]]]) -> list[tuple[int, ...]]:
         windows = []
-        for doc, text_key, first, words in bucket:
+        for digest, doc, text_key, first, words in bucket:
             for i in range(len(words) - window + 1):
-                windows.append((words[i : i + window], doc, text_key, first + i))
+                windows.append((words[i : i + window], doc, text_key, first + i, digest))
         windows.sort()
         found, earliest, before = [], None, None
-        for words, doc, text_key, at in windows:
+        for words, doc, text_key, at, digest in windows:
             if words != before:
                 before, earliest = words, doc  # the first of equal windows has the smallest document
             elif doc > earliest:
-                found.append((doc, text_key, at, at + window))
+                found.append((key, digest, doc, text_key, at, at + window))
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flushed(found: list) -> pa.RecordBatch:
             columns = list(zip(*found, strict=True))
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds, strict=True)], ["doc", "text_key", "start", "stop"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            return pa.RecordBatch.from_arrays(
+                [pa.array(v, t) for v, t in zip(columns, kinds, strict=True)], ["key", "digest", "doc", "text_key", "start", "stop"]
+            )
 
         key, bucket, found = None, [], []
         for batch in pieces(batches):
-            for k, doc, text_key, first, text in zip(*[batch.column(c).to_pylist() for c in ("key", "doc", "text_key", "first", "packed")], strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("key", "digest", "doc", "text_key", "first", "packed")]
+            for k, digest, doc, text_key, first, text in zip(*columns, strict=True):
                 if k != key:
                     if len(bucket) > 1:
-                        found += settle(bucket)
+                        found += settle(key, bucket)
                     key, bucket = k, []
-                bucket.append((doc, text_key, first, text.split()))
+                bucket.append((digest, doc, text_key, first, text.split()))
             if found:
                 yield flushed(found)
                 found = []
-        if len(bucket) > 1 and (found := settle(bucket)):
+        if len(bucket) > 1 and (found := settle(key, bucket)):
             yield flushed(found)
 
     # the words of a bucket: at most BUCKET strings
-    return packed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc bigint, text_key bigint, start int, stop int")
+    return packed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key bigint, digest bigint, doc bigint, text_key bigint, start int, stop int")
 
 
 def _window_by_window(packed: DataFrame, window: int) -> DataFrame:
@@ -147,14 +150,17 @@ def _window_by_window(packed: DataFrame, window: int) -> DataFrame:
                     places.append(first + at)
             take = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc").take(take), batch.column("text_key").take(take), pa.array(highs, pa.int64()), pa.array(lows, pa.int64()), pa.array(places, pa.int32())],
-                ["doc", "text_key", "high", "low", "start"],
+                [
+                    *[batch.column(c).take(take) for c in ("key", "digest", "doc", "text_key")],
+                    *[pa.array(v, t) for v, t in ((highs, pa.int64()), (lows, pa.int64()), (places, pa.int32()))],
+                ],
+                ["key", "digest", "doc", "text_key", "high", "low", "start"],
             )
 
-    windows = cut(packed.mapInArrow(run, "doc bigint, text_key bigint, high bigint, low bigint, start int"), "windows")
+    windows = cut(packed.mapInArrow(run, "key bigint, digest bigint, doc bigint, text_key bigint, high bigint, low bigint, start int"), "windows")
     least = windows.groupBy("high", "low").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
     later = windows.join(cut(least.select("high", "low", "least"), "least"), ["high", "low"]).where("doc > least")
-    return later.select("doc", "text_key", "start", (F.col("start") + window).alias("stop"))
+    return later.select("key", "digest", "doc", "text_key", "start", (F.col("start") + window).alias("stop"))
 
 
 def repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -164,7 +170,8 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     equal minimisers, so they lie in super-windows of one key. Super-windows first travel as key and digest. Those equal to one
     of an earlier document are repeats as a whole; of the others with a shared key, one for each digest travels as a packed
     string to the key's bucket, where sorting its windows finds the first document of each. Buckets with more than ``BUCKET``
-    different strings are counted window by window in a shuffle, with the same result.
+    different strings are counted window by window in a shuffle, with the same result. What is found for a string holds at every
+    other place of its digest in the same document too.
 
     Null texts have no words. Rows that share an id are no repeats of each other; a null id comes after all others. Texts under
     ``window`` words have no window. The digest of a super-window has 64 bits beside the 64 bits of its key.
@@ -179,16 +186,26 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
         F.min(F.struct("doc", "text_key", "first", "n")).alias("one"), F.count("*").alias("copies"), F.first("varied").alias("varied")
     )
     one = cut(one, "variants")
-    later = met.join(one.where("copies > 1").select("key", "digest", F.col("one.doc").alias("least")), ["key", "digest"]).where("doc > least")
-    whole = later.select("doc", "text_key", F.col("first").alias("start"), (F.col("first") + F.col("n") + (window - 1)).alias("stop"))
+    several = one.where("copies > 1").select(
+        "key", "digest", F.col("one.doc").alias("least"), F.col("one.text_key").alias("one_key"), F.col("one.first").alias("one_first")
+    )
+    again = met.join(several, ["key", "digest"]).where("doc > least or varied and (text_key != one_key or first != one_first)")
+    again = cut(again.drop("varied"), "again")
+    whole = again.where("doc > least").select("doc", "text_key", F.col("first").alias("start"), (F.col("first") + F.col("n") + (window - 1)).alias("stop"))
 
     varied = one.where("varied")
     sizes = cut(varied.groupBy("key").agg(F.count("*").alias("variants")), "sizes")
-    wanted = varied.join(sizes, "key").select("key", "one.*", "variants")
+    wanted = varied.join(sizes, "key").select("key", "digest", "one.*", "variants")
     packed = cut(_packed(docs, wanted, window).join(sizes, "key").dropDuplicates(["key", "doc", "text_key", "first"]), "packed")
-    small = _in_buckets(packed.where(F.col("variants") <= BUCKET).select("key", "doc", "text_key", "first", "packed"), window)
+    small = _in_buckets(packed.where(F.col("variants") <= BUCKET).select("key", "digest", "doc", "text_key", "first", "packed"), window)
     large = _window_by_window(packed.where(F.col("variants") > BUCKET), window)
-    spans = whole.unionByName(small).unionByName(large)
+    found = cut(small.unionByName(large), "found")
+    # the windows of a super-window overlap, so what is found in it is one span
+    joined = found.groupBy("key", "digest").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    moved = F.col("first") - F.col("one_first")
+    twins = again.where("doc = least").join(joined, ["key", "digest"])
+    twins = twins.select("doc", "text_key", (F.col("start") + moved).alias("start"), (F.col("stop") + moved).alias("stop"))
+    spans = whole.unionByName(found.select("doc", "text_key", "start", "stop")).unionByName(twins)
     return spans.groupBy("doc", "text_key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
 

@@ -120,6 +120,27 @@ def test_large_windows_equal_small_ones(spark, monkeypatch):
         assert sorted(map(repr, repeats.without_repeats(df).collect())) == small[1]
 
 
+@pytest.mark.parametrize("bucket", [500, 1])
+def test_repeated_sections_of_one_document(spark, monkeypatch, bucket):
+    """A passage of an earlier document goes at every place of a later one, also where a section or an id comes twice."""
+    import brute
+
+    from cellwright.llm import substrings
+
+    monkeypatch.setattr(substrings, "BUCKET", bucket)
+    rnd = random.Random(17)
+    text = lambda n: " ".join(f"{rnd.choice('abcdefgh')}{rnd.randint(0, 9999)}" for _ in range(n))
+    rows = []
+    for i in range(0, 40, 4):
+        passage, before, after = text(rnd.randint(50, 120)), text(60), text(60)
+        section = f"{before} {passage} {after}"
+        rows += [(i, f"{text(60)} {passage} {text(60)}", None), (i + 1, f"{section} {text(30)} {section}", None)]
+        rows += [(i + 2, section + " " + text(20), None), (i + 3, f"{text(9)} {passage}", None), (i + 3, f"{text(5)} {passage}", None), (i + 1, text(3) + " " + section, None)]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    got = [(r.doc_id, r.n_words, r.n_removed, brute.sha(r.kept)) for r in substrings.without_repeats(df).collect()]
+    assert sorted(got) == sorted(brute.word_repeats(rows))
+
+
 def test_filters_above_the_rules(spark):
     docs = spark.createDataFrame([(1, "the of " * 40), (2, " ".join(f"word{i} the" for i in range(60)))], "doc_id bigint, text string")
     assert [r.doc_id for r in rules.quality_rules(docs).where("kept and n_words > 50").collect()] == [2]
