@@ -28,6 +28,8 @@ _CUE_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 # Fixed values of HTML: elements without content, with raw content, of their own line, and those that a start tag closes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math select xmp noembed noframes".split())
+#: Of these, the ones that reach to the page's end when they are never closed, and those that may close themselves.
+TO_THE_END, SELF_CLOSING = frozenset("script style textarea title".split()), frozenset(["svg", "math"])
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td "
@@ -84,6 +86,7 @@ def parse(page: str, read: Callable[[str], str] = decoded) -> Page:
     """
     out, stack, words = Page(), [Node("", "", False, False, False)], []
     at, end = 0, len(page)
+    unclosed: set[str] = set()
 
     def flush() -> None:
         if words:
@@ -131,8 +134,14 @@ def parse(page: str, read: Callable[[str], str] = decoded) -> Page:
                 elif stack[depth].tag in SCOPES:
                     break
         if tag in RAW:
-            closing = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(page, at)
-            at = closing.end() if closing else end
+            if tag in unclosed or tag in SELF_CLOSING and m["attributes"].endswith("/"):
+                continue
+            if closing := re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(page, at):
+                at = closing.end()
+            elif tag in TO_THE_END:
+                at = end
+            else:
+                unclosed.add(tag)
             continue
         if tag in VOID:
             words.append(" ")

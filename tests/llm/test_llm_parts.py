@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from cellwright.llm import graph, minimisers, pii, repeats, rules, simhash, suffixes, tokens
+from cellwright.llm import graph, html, minimisers, pii, repeats, rules, simhash, suffixes, tokens
 
 
 @pytest.mark.parametrize("letters", [1, 2, 3, 8])
@@ -150,3 +150,18 @@ def test_marked_words():
     assert tokens.WordTable.words("") == []
     assert tokens.WordTable.words("a b") == ["a", "b"]
     assert tokens.WordTable.words(" a  b ") == [" a", " b", ""]
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<p>a <svg width='1'/> b</p><p>c <svg><text>drawn</text></svg> d</p>", ["a b", "c d"]),
+        ("<p>a <math/> b</p>", ["a b"]),
+        ("<p>a <select name=x> b</p><p>c <noscript> d <select> e</p>", ["a b", "c d e"]),
+        ("<p>a <svg width='1'> b</p>", ["a b"]),
+        ("<p>a <script>b</p>", ["a"]),
+        ("<p>a <select><option>b</select> c <textarea>d", ["a c"]),
+    ],
+)
+def test_raw_elements_without_an_end(page, want):
+    assert [b[1] for b in html.parse(page).blocks] == want
