@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import classifier, exact, html, mixing, pii, repeats, rules, simhash, substrings, tokens
+from . import classifier, collocations, exact, html, licenses, mixing, pii, repeats, rules, search, simhash, substrings, tokens
 from .common import table
 
 
@@ -66,6 +66,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents")).drop("found")
+
+
 _WORD, _SPACES = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
 _DOCS = f"docs AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS words FROM documents)"
 
@@ -145,11 +157,50 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce
 FROM docs LEFT JOIN kept USING (doc_id)
 """
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+OP11_SQL = f"""
+WITH found AS (SELECT row_number() OVER () AS doc, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '{_TERM}') AS terms FROM documents),
+sizes AS (SELECT CAST(count(*) FILTER (len(terms) > 0) AS BIGINT) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS total FROM found),
+wanted AS (SELECT DISTINCT item_id, text, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '{_TERM}')) AS term FROM benchmark),
+tfs AS (SELECT doc, doc_id, n, term, count(*) AS tf
+  FROM (SELECT doc, doc_id, CAST(len(terms) AS BIGINT) AS n, unnest(terms) AS term FROM found) WHERE term IN (SELECT term FROM wanted) GROUP BY ALL),
+dfs AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tfs, sizes GROUP BY term),
+scored AS (SELECT item_id, wanted.text, doc, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // total)))) AS BIGINT) AS score
+  FROM wanted JOIN tfs USING (term) JOIN dfs USING (term), sizes GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank FROM scored WHERE score > 0) WHERE rank <= {search.TOP}
+"""
+
+_ENDS = r"[.,;:!?\x0A-\x0D]"
+
+OP12_SQL = f"""
+WITH pieces AS (SELECT row_number() OVER () AS piece, lang, part FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '{_ENDS}')) AS part FROM documents)),
+worded AS (SELECT lang, piece, regexp_extract_all(part, '[^\\x20\\x09]+') AS words FROM pieces),
+spots AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM worded),
+spelled AS (SELECT lang, k AS n_words, array_to_string(words[i:i + k - 1], ' ') AS phrase FROM spots, (VALUES (1), (2), (3)) x(k) WHERE i + k - 1 <= len(words)),
+counts AS (SELECT lang, n_words, phrase, count(*) AS f FROM spelled GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE n_words = 1 GROUP BY lang),
+found AS (SELECT lang, phrase, n_words, f AS a, string_split(phrase, ' ') AS words FROM counts WHERE n_words > 1 AND f >= {collocations.LEAST}),
+longer AS (SELECT lang, array_to_string(words[i:i + 1], ' ') AS phrase, max(a) AS most FROM found, (VALUES (1), (2)) x(i) WHERE n_words = 3 GROUP BY ALL),
+kept AS (SELECT found.* FROM found LEFT JOIN longer USING (lang, phrase) WHERE n_words = 3 OR most IS NULL OR 100 * most < 50 * a),
+cuts AS (SELECT kept.lang, kept.phrase, a, k, h.f AS l, t.f AS r, CAST((1000000 * CAST(a AS HUGEINT) * a) // (CAST(h.f AS HUGEINT) * t.f) AS BIGINT) AS score
+  FROM kept, (VALUES (1), (2)) x(k), counts h, counts t
+  WHERE k < kept.n_words AND h.lang = kept.lang AND t.lang = kept.lang AND h.phrase = array_to_string(words[1:k], ' ') AND t.phrase = array_to_string(words[k + 1:], ' ')),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest) JOIN totals USING (lang) WHERE rank <= {collocations.TOP}
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_mixing, op3_pii, op4_exact_dedup, op5_simhash, op6_quality_rules, op7_quality_classifier, op8_html_extraction, op9_suffix_dedup, op10_substring_dedup)
+    for f in (op1_sentencepiece, op2_mixing, op3_pii, op4_exact_dedup, op5_simhash, op6_quality_rules, op7_quality_classifier, op8_html_extraction, op9_suffix_dedup, op10_substring_dedup,
+        op11_lexical_search, op12_collocations, op13_licenses)
 }
-ORACLE_SQL: dict[str, str] = {"op2_mixing": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op6_quality_rules": OP6_SQL, "op10_substring_dedup": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_mixing": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op6_quality_rules": OP6_SQL, "op10_substring_dedup": OP10_SQL, "op11_lexical_search": OP11_SQL, "op12_collocations": OP12_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

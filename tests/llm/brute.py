@@ -1,6 +1,7 @@
 """The contracts of the operators in plain Python, over a list of (doc_id, text, source)."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -146,3 +147,64 @@ def targets(sizes):
         if not more:
             return {s: 3.0 * sizes[s] if s in full else weight[s] * level for s in names}
         full |= more
+
+
+def terms(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", lowered(text))
+
+
+def lowered(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def ranked(rows, items, top=10):
+    """``(item_id, rank, doc_id, score)`` of every distinct (item_id, text), over all rows."""
+    docs = [(d, terms(t)) for d, t, _ in rows]
+    n_docs, total = sum(bool(t) for _, t in docs), sum(len(t) for _, t in docs)
+    df = Counter(w for _, t in docs for w in set(t))
+    counted = [(d, len(t), Counter(t)) for d, t in docs]
+    out = []
+    for item, text in set(items):
+        scores = []
+        for d, n, tf in counted:
+            m = 100 - 90 + (90 * n * n_docs) // total
+            score = 0
+            for w in set(terms(text)):
+                if tf[w]:
+                    score += math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[w] + 1))) * ((1000000000 * tf[w]) // (1000 * tf[w] + 8 * m))
+            if score > 0:
+                scores.append((-score, d is None, d))
+        for rank, (score, _, d) in enumerate(sorted(scores, key=lambda x: (x[0], x[1], x[2] or 0))[:top], 1):
+            out.append((item, rank, d, -score))
+    return out
+
+
+def phrases(rows, top=2000, least=10):
+    """``(lang, rank, phrase, a, l, r, n, score)`` over rows ``(doc_id, text, source, lang)``."""
+    f, n = Counter(), Counter()
+    for _, t, _, lang in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lowered(t)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            f.update((lang, tuple(w[i : i + k])) for k in (1, 2, 3) for i in range(len(w) - k + 1))
+    found = {p: a for p, a in f.items() if len(p[1]) > 1 and a >= least}
+    by_lang = defaultdict(list)
+    for (lang, p), a in found.items():
+        if any(len(q) > len(p) and lg == lang and p in (q[:2], q[1:]) and 100 * b >= 50 * a for (lg, q), b in found.items() if len(q) == 3):
+            continue
+        cuts = [(1000000 * a * a // (f[lang, p[:k]] * f[lang, p[k:]]), k) for k in range(1, len(p))]
+        score, k = min(cuts)
+        by_lang[lang].append((-score, -a, " ".join(p).encode(), f[lang, p[:k]], f[lang, p[k:]]))
+    return [
+        (lang, rank, p.decode(), -a, left, right, n[lang], -score)
+        for lang, xs in by_lang.items()
+        for rank, (score, a, p, left, right) in enumerate(sorted(xs)[:top], 1)
+    ]
+
+
+def license_base(text, base):
+    w = terms(text)
+    spots = [(i, label) for p, label in base.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+    starts = [i for i, _ in spots]
+    return len(w), len(spots), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in spots}))

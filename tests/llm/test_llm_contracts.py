@@ -10,7 +10,7 @@ import pytest
 
 from cellwright.llm import queries as q
 
-CLASHING = "text_key, key, doc, spans, size, rank, digest, n, count, first, packed, source_size, target, fp, root, label, host, low, chars, prefix, marked_id, marked_key, bad_id, bad_key, mixed_id, mixed_source, turns, turn, kept"
+CLASHING = "text_key, key, doc, spans, size, rank, digest, n, count, first, packed, source_size, target, fp, root, label, host, low, chars, prefix, marked_id, marked_key, bad_id, bad_key, mixed_id, mixed_source, turns, turn, kept, shard, f, phrase, n_words, doc, terms, tfs, score, item, block, item_id, words"
 
 
 def made_rows():
@@ -46,6 +46,10 @@ PAGES = [
 PAGE_TEXT = {1: "Head &lt; A\nOne two three\nopen\nlast one", 2: "", 3: "", 4: "plain é text after it"}
 
 
+ITEMS = [(1, "same text here"), (1, "same text here"), (1, "another TEXT, of this id"), (2, None), (3, ""), (None, "no id"), (4, "zzzz unknown"), (5, "the of and é 日本 here")]
+ITEMS += [(10 + i, " ".join((ROWS[i][1] or "").split()[:40])) for i in range(0, len(ROWS), 5)]
+
+
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     return write(spark, str(tmp_path_factory.mktemp("edge")), ROWS, PAGES)
@@ -59,9 +63,10 @@ def nothing(spark, tmp_path_factory):
 def write(spark, path, rows, pages):
     extra = [c.strip() for c in CLASHING.split(",")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
-    docs = docs.selectExpr("*", "'en' as lang", *[f"'clash' as `{c}`" for c in extra])
+    docs = docs.selectExpr("*", "nullif(element_at(array('en', 'de', ''), cast(1 + coalesce(doc_id, 0) % 3 as int)), '') as lang", *[f"'clash' as `{c}`" for c in extra])
     docs.repartition(3).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(pages, "page_id bigint, url string, html string").selectExpr("*", "1 as host", "2 as low").write.parquet(f"{path}/pages.parquet")
+    spark.createDataFrame(ITEMS if rows else [], "item_id bigint, text string").selectExpr("*", *[f"'clash' as `{c}`" for c in extra if c != "item_id"]).write.parquet(f"{path}/benchmark.parquet")
     labels = [(d, int("###" not in (t or "")), 0) for d, t, _ in rows if d] + ([(None, 1, 0), (4, None, 0)] if rows else [])
     spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     return path
@@ -157,6 +162,75 @@ def test_word_repeats(spark, folder):
     assert result(spark, folder, "op10", "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(brute.word_repeats(ROWS), key=repr)
 
 
+def test_search(spark, folder):
+    want = sorted(brute.ranked(ROWS, ITEMS), key=repr)
+    assert result(spark, folder, "op11", "item_id", "rank", "doc_id", "score") == want
+
+
+def test_search_in_blocks_and_steps(spark, folder, monkeypatch):
+    """Many blocks of items, small steps and few accumulators: the same ranks."""
+    from cellwright.llm import search
+    from cellwright.llm.common import table
+
+    monkeypatch.setattr(search, "STEP", 4)
+    monkeypatch.setattr(search, "SHORT_SHARE", 0.02)
+    found = search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), top=3, block_bytes=600)
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(brute.ranked(ROWS, ITEMS, 3), key=repr)
+
+
+def with_lang(rows):
+    return [(*r, ("en", "de", None)[(r[0] or 0) % 3]) for r in rows]
+
+
+def test_collocations(spark, folder):
+    columns = ("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    assert result(spark, folder, "op12", *columns) == sorted(brute.phrases(with_lang(ROWS)), key=repr)
+
+
+@pytest.mark.parametrize("shards,bits", [(1, 64), (3, 64), (7, 1 << 12)])
+def test_collocations_in_shards(spark, shards, bits):
+    """Whatever the shards and however full the map of phrases: the counts are those of all documents."""
+    from cellwright.llm import collocations
+
+    rnd = random.Random(shards)
+    rows = [(i, " ".join(rnd.choice("abcdefg") + rnd.choice(["", ".", ",", "\t"]) for _ in range(rnd.randint(0, 30))), "s", rnd.choice(["x", None])) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
+    got = {(r.lang, r.phrase): r.f for r in collocations.candidates(docs, 10, shards, bits).collect()}
+    want = {(lang, p): a for lang, _, p, a, *_ in brute.phrases(rows, 10**9)}
+    assert want.items() <= got.items()
+    assert sorted(map(tuple, collocations.collocations(docs, 5, 10, shards, 1).collect())) == sorted(brute.phrases(rows, 5))
+
+
+def test_licenses(spark, folder):
+    from cellwright.llm import licenses
+
+    columns = ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+    assert result(spark, folder, "op13", *columns) == sorted(((d, *brute.license_base(t, licenses.BASE)) for d, t, _ in ROWS), key=repr)
+
+
+LICENSED = [
+    ("w1 w2 w3 Released under the MIT License. w4", "mit", None),
+    ("Licensed under the Apache License, Version 2.0.", "apache-2.0", None),
+    ("x " * 500 + "This work is licensed under the GNU General Public License, version 3." + " y" * 500, "gpl,gpl-3", 1.0),
+    ("All rights reserved. CC BY all rights reserved, all rights", "cc-by,reserved", 1.0),
+    ("Redistribution and use in source and binary forms, with or without any modification, are permitted provided that the following conditions are met", "bsd", None),
+    ("the license of an apache under the sun; mit of the license", "", 0.0),
+    ("mit license", "", 0.0), ("software without restriction, permission to any person", "", 0.0), ("the of license " * 5000, "", 0.0), (None, "", 0.0), ("", "", 0.0),
+]
+
+
+def test_license_notices(spark):
+    """Notices with small changes get their label, loose words of them none."""
+    from cellwright.llm import licenses
+
+    rows = [(i, t) for i, (t, _, _) in enumerate(LICENSED)] + [(100 + i, "plain words of some text the and of") for i in range(40)]
+    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {i: got[i].labels for i in range(len(LICENSED))} == {i: labels for i, (_, labels, _) in enumerate(LICENSED)}
+    for i, (_, labels, score) in enumerate(LICENSED):
+        assert got[i].score == score if score is not None else licenses.LEAST_SHARE <= got[i].score <= 1
+    assert all(got[100 + i].labels == "" for i in range(40))
+
+
 @pytest.mark.parametrize("name", sorted(q.queries()))
 def test_empty_tables(spark, nothing, name):
     assert q.queries()[name](spark, nothing).count() == 0
