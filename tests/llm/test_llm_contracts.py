@@ -10,7 +10,7 @@ import pytest
 
 from cellwright.llm import queries as q
 
-CLASHING = "text_key, key, doc, spans, size, rank, digest, n, count, first, packed, source_size, target, fp, root, label, host, low, chars, prefix, marked_id, marked_key, bad_id, bad_key, mixed_id, mixed_source, turns, turn, kept, shard, f, phrase, n_words, doc, terms, tfs, score, item, block, item_id, words"
+CLASHING = "text_key, key, doc, spans, size, rank, digest, n, count, first, packed, source_size, target, fp, root, label, host, low, chars, prefix, marked_id, marked_key, bad_id, bad_key, mixed_id, mixed_source, turns, turn, kept, shard, f, phrase, n_words, terms, tfs, score, item, block, item_id, words"
 
 
 def made_rows():
