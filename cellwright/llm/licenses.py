@@ -85,6 +85,7 @@ class NoticeIndex:
         ids = lambda seq: [self.number[w] for w in seq]
         self.notices = [ids(t) for t in texts]
         self.phrases = [[ids(p) for p in ps] for ps in phrases]
+        self.needed = [{w for p in ps for w in p} for ps in self.phrases]
         self.base = [(ids(p), label) for p, label in zip(told, base.values(), strict=True)]
         self.places: dict[int, list[tuple[int, int]]] = {}
         for t, notice in enumerate(self.notices):
@@ -119,9 +120,12 @@ def notices_found(at: dict[int, np.ndarray], index: NoticeIndex, idf: list[float
     """
     rare = sorted(at, key=lambda w: (-idf[w], w))[:RARE_WORDS]
     starts: dict[int, list[tuple[np.ndarray, int]]] = {}
-    for w in rare:
+    # a file without a word of a mandatory phrase can't hold the phrase
+    possible = {t for t, needed in enumerate(index.needed) if needed <= at.keys()}
+    for w in rare if possible else ():
         for t, position in index.places.get(w, ()):
-            starts.setdefault(t, []).append((at[w] - position, w))
+            if t in possible:
+                starts.setdefault(t, []).append((at[w] - position, w))
     found: dict[str, float] = {}
     for t, votes in starts.items():
         if len({w for _, w in votes}) < min(AGREEING, len(set(index.notices[t]))):
