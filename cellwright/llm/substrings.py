@@ -12,8 +12,10 @@ from .common import bytes_of, cut, pieces, with_key
 from .minimisers import super_windows
 
 WINDOW, GRAM = 50, 8
-#: Buckets with up to this many different super-windows are sorted in one task, larger ones window by window in a shuffle.
+#: Buckets with up to this many strings are sorted in one task, larger ones are split by the words that their windows share.
 BUCKET = 500
+#: Parts of the places of a minimiser in a window, by which a bucket is split first; each is halved from then on.
+INTERVALS = 8
 LAST = (1 << 63) - 1
 
 
@@ -88,17 +90,24 @@ def _packed(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     return held.mapInArrow(run, "key bigint, digest bigint, doc bigint, text_key bigint, first int, packed binary")
 
 
-def _in_buckets(packed: DataFrame, window: int) -> DataFrame:
-    """``(key, digest, doc, text_key, start, stop)``: words covered by windows that start in an earlier document of the same bucket."""
+_FOUND = "key bigint, digest bigint, doc bigint, text_key bigint, start int, stop int"
+_STRING = "bucket bigint, key bigint, digest bigint, doc bigint, text_key bigint, first int, packed binary"
 
-    def settle(key: int, bucket: list[tuple[int, int, int, int, list[bytes]]]) -> list[tuple[int, ...]]:
+
+def _in_buckets(strings: DataFrame, window: int) -> DataFrame:
+    """``(key, digest, doc, text_key, start, stop)``: words covered by windows that start in an earlier document of the same bucket.
+
+    ``key`` and ``digest`` tell which super-window a string was cut from.
+    """
+
+    def settle(bucket: list[tuple[int, int, int, int, int, list[bytes]]]) -> list[tuple[int, ...]]:
         windows = []
-        for digest, doc, text_key, first, words in bucket:
+        for key, digest, doc, text_key, first, words in bucket:
             for i in range(len(words) - window + 1):
-                windows.append((words[i : i + window], doc, text_key, first + i, digest))
+                windows.append((words[i : i + window], doc, text_key, first + i, key, digest))
         windows.sort()
         found, earliest, before = [], None, None
-        for words, doc, text_key, at, digest in windows:
+        for words, doc, text_key, at, key, digest in windows:
             if words != before:
                 before, earliest = words, doc  # the first of equal windows has the smallest document
             elif doc > earliest:
@@ -113,54 +122,96 @@ def _in_buckets(packed: DataFrame, window: int) -> DataFrame:
                 [pa.array(v, t) for v, t in zip(columns, kinds, strict=True)], ["key", "digest", "doc", "text_key", "start", "stop"]
             )
 
-        key, bucket, found = None, [], []
+        at, bucket, found = None, [], []
         for batch in pieces(batches):
-            columns = [batch.column(c).to_pylist() for c in ("key", "digest", "doc", "text_key", "first", "packed")]
-            for k, digest, doc, text_key, first, text in zip(*columns, strict=True):
-                if k != key:
+            columns = [batch.column(c).to_pylist() for c in ("bucket", "key", "digest", "doc", "text_key", "first", "packed")]
+            for place, *row, text in zip(*columns, strict=True):
+                if place != at:
                     if len(bucket) > 1:
-                        found += settle(key, bucket)
-                    key, bucket = k, []
-                bucket.append((digest, doc, text_key, first, text.split()))
+                        found += settle(bucket)
+                    at, bucket = place, []
+                bucket.append((*row, text.split()))
             if found:
                 yield flushed(found)
                 found = []
-        if len(bucket) > 1 and (found := settle(key, bucket)):
+        if len(bucket) > 1 and (found := settle(bucket)):
             yield flushed(found)
 
     # the words of a bucket: at most BUCKET strings
-    return packed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key bigint, digest bigint, doc bigint, text_key bigint, start int, stop int")
+    return strings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _FOUND)
 
 
-def _window_by_window(packed: DataFrame, window: int) -> DataFrame:
-    """The same for buckets of any size: digests of their windows meet in a shuffle that keeps the smallest document."""
+def _by_cores(strings: DataFrame, window: int, gram: int) -> DataFrame:
+    """The strings cut to the windows whose minimiser lies in one part of the window, in a bucket for each core of such windows.
+
+    ``low`` and ``high`` bound the place of the minimiser in a window. They are split in two (in ``INTERVALS`` at the start), and all windows
+    of a half share the words from the start of its last window to the end of its first one. Equal windows have
+    equal places and equal cores, so they meet again. ``part`` is a digest of what is left of a string.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in pieces(batches, 500_000):
-            rows, highs, lows, places = [], [], [], []
-            for i, (first, text) in enumerate(zip(batch.column("first").to_pylist(), batch.column("packed").to_pylist(), strict=True)):
+        for batch in pieces(batches, 1_000_000):
+            rows = []
+            columns = [batch.column(c).to_pylist() for c in ("bucket", "low", "high", "key", "digest", "doc", "text_key", "first", "packed")]
+            for bucket, low, high, key, digest, doc, text_key, first, text in zip(*columns, strict=True):
                 words = text.split()
-                for at in range(len(words) - window + 1):
-                    digest = xxhash.xxh3_128_digest(b" ".join(words[at : at + window]))
-                    highs.append(int.from_bytes(digest[:8], "big", signed=True))
-                    lows.append(int.from_bytes(digest[8:], "big", signed=True))
-                    rows.append(i)
-                    places.append(first + at)
-            take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *[batch.column(c).take(take) for c in ("key", "digest", "doc", "text_key")],
-                    *[pa.array(v, t) for v, t in ((highs, pa.int64()), (lows, pa.int64()), (places, pa.int32()))],
-                ],
-                ["key", "digest", "doc", "text_key", "high", "low", "start"],
-            )
+                most = int(super_windows(word_symbols(words), window, gram)[1][0])
+                least = most - (len(words) - window)
+                steps = INTERVALS if (low, high) == (0, window - gram + 1) else 2
+                edges = np.unique(np.linspace(low, high, steps + 1).astype(int)).tolist()
+                for a, b in zip(edges, edges[1:], strict=False):
+                    near, far = max(a, least), min(b - 1, most)
+                    if near <= far:
+                        core = b" ".join(words[most - a : most - b + 1 + window])
+                        place = xxhash.xxh3_64_intdigest(core, (bucket * 64 + a) % (1 << 64))
+                        cut_out = b" ".join(words[most - far : most - near + window])
+                        part = xxhash.xxh3_64_intdigest(cut_out, 1)
+                        rows.append((place - (1 << 63), part - (1 << 63), a, b, key, digest, doc, text_key, first + most - far, far - near + window, cut_out))
+            if rows:
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(v, t) for v, t in zip(zip(*rows, strict=True), kinds, strict=True)],
+                    ["bucket", "part", "low", "high", "key", "digest", "doc", "text_key", "first", "words", "packed"],
+                )
+
+    return strings.mapInArrow(
+        run, "bucket bigint, part bigint, low int, high int, key bigint, digest bigint, doc bigint, text_key bigint, first int, words int, packed binary"
+    )
 
-    windows = cut(packed.mapInArrow(run, "key bigint, digest bigint, doc bigint, text_key bigint, high bigint, low bigint, start int"), "windows")
-    least = windows.groupBy("high", "low").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
-    later = windows.join(cut(least.select("high", "low", "least"), "least"), ["high", "low"]).where("doc > least")
-    return later.select("key", "digest", "doc", "text_key", "start", (F.col("start") + window).alias("stop"))
+
+def _in_crowds(strings: DataFrame, window: int, gram: int) -> DataFrame:
+    """The same as ``_in_buckets`` for buckets of any size: they are split by longer and longer cores until each holds ``BUCKET`` strings.
+
+    Of the strings of a bucket that have become equal, those of later documents are repeats as a whole and go; a bucket
+    whose strings are all equal is settled. A core of a whole window leaves no others, so the splitting ends, after the
+    halvings of a window at most. A string makes ``INTERVALS`` rows in the first split and one for each half that
+    still shares its core with others in those that follow.
+    """
+    columns = [c.split()[0] for c in _STRING.split(", ")]
+    found = []
+    open_ones = strings.withColumn("low", F.lit(0)).withColumn("high", F.lit(window - gram + 1))
+    while not open_ones.isEmpty():
+        rows = cut(_by_cores(open_ones, window, gram), "cores")
+        parts = cut(rows.groupBy("bucket", "part").agg(F.min("doc").alias("least"), F.count("*").alias("n")), "parts")
+        sizes = parts.groupBy("bucket").agg(F.count("*").alias("variants"), F.sum("n").alias("strings"))
+        sizes = cut(sizes.where("strings > 1"), "part-sizes")
+        held = rows.join(parts.drop("n"), ["bucket", "part"]).join(sizes, "bucket")
+        held = cut(held, "held")
+        whole = held.where("doc > least")
+        found.append(whole.select("key", "digest", "doc", "text_key", F.col("first").alias("start"), (F.col("first") + F.col("words")).alias("stop")))
+        rest = held.where("doc = least and variants > 1").drop("strings")
+        left = cut(rest.groupBy("bucket").agg(F.count("*").alias("strings")), "left")
+        # only equal digests of different cores leave strings that differ in a bucket of whole windows
+        crowded = (F.col("strings") > BUCKET) & (F.col("high") - F.col("low") > 1)
+        rest = rest.join(left, "bucket")
+        found.append(_in_buckets(rest.where(~crowded).select(*columns), window))
+        open_ones = cut(rest.where(crowded).select(*columns, "low", "high"), "open")
+    out = found[0] if found else None
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out if out is not None else strings.sparkSession.createDataFrame([], _FOUND)
 
 
 def repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -170,7 +221,7 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     equal minimisers, so they lie in super-windows of one key. Super-windows first travel as key and digest. Those equal to one
     of an earlier document are repeats as a whole; of the others with a shared key, one for each digest travels as a packed
     string to the key's bucket, where sorting its windows finds the first document of each. Buckets with more than ``BUCKET``
-    different strings are counted window by window in a shuffle, with the same result. What is found for a string holds at every
+    different strings are first split by the words that their windows share. What is found for a string holds at every
     other place of its digest in the same document too.
 
     Null texts have no words. Rows that share an id are no repeats of each other; a null id comes after all others. Texts under
@@ -197,8 +248,10 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     sizes = cut(varied.groupBy("key").agg(F.count("*").alias("variants")), "sizes")
     wanted = varied.join(sizes, "key").select("key", "digest", "one.*", "variants")
     packed = cut(_packed(docs, wanted, window).join(sizes, "key").dropDuplicates(["key", "doc", "text_key", "first"]), "packed")
-    small = _in_buckets(packed.where(F.col("variants") <= BUCKET).select("key", "digest", "doc", "text_key", "first", "packed"), window)
-    large = _window_by_window(packed.where(F.col("variants") > BUCKET), window)
+    strings = packed.withColumn("bucket", F.col("key"))
+    columns = [c.split()[0] for c in _STRING.split(", ")]
+    small = _in_buckets(strings.where(F.col("variants") <= BUCKET).select(*columns), window)
+    large = _in_crowds(strings.where(F.col("variants") > BUCKET).select(*columns), window, gram)
     found = cut(small.unionByName(large), "found")
     # the windows of a super-window overlap, so what is found in it is one span
     joined = found.groupBy("key", "digest").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
