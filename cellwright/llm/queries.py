@@ -21,8 +21,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixed.groupBy("doc_id", "size", "source_size", "target").agg(F.sum("taken").alias("taken"))
+    return mixing.words_taken(mixing.mix(table(spark, sf_dir, "documents")))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +82,7 @@ _DOCS = f"docs AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_ext
 
 OP2_SQL = f"""
 WITH RECURSIVE {_DOCS},
-sized AS (SELECT doc_id, source, CAST(len(words) AS BIGINT) AS size, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS ord FROM docs),
+sized AS (SELECT doc_id, source, CAST(len(words) AS BIGINT) AS size, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(text))) AS ord FROM docs),
 sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 weighed AS (SELECT *, 1 + (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 AS w, 3 * source_size AS cap FROM sums),
 total AS (SELECT sum(source_size) AS t FROM sums),
