@@ -16,10 +16,11 @@ from .common import bytes_of, cut, documents, pieces
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample_rows`` bounds the labelled rows that a fit uses: beyond it, rows are drawn by a hash of their id."""
+    """``sample_rows`` and ``sample_bytes`` bound the labelled rows that a fit uses: beyond them, rows are drawn by a hash of their id."""
 
     bits: int = 18
     sample_rows: int = 30_000
+    sample_bytes: int = 256_000_000
     shards: int = 6
     passes: int = 3
     alpha: float = 1.0
@@ -106,16 +107,18 @@ def _train(rows: list[tuple[bytes, int]], s: Settings) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", settings: Settings = Settings()) -> np.ndarray:  # noqa: B008
     """Weights learned from ``labels`` (``doc_id``, ``label``); rows without id or label teach nothing.
 
-    The labelled rows, at most about ``sample_rows``, are dealt to ``shards`` by a hash of their id. Each shard is
+    The labelled rows, at most about ``sample_rows`` with ``sample_bytes`` of text, are dealt to ``shards`` by a hash of their id. Each shard is
     trained alone and the weights are averaged, so what reaches the driver is one vector of ``2**bits + 1`` numbers a shard,
     whatever the corpus. Texts repeat when ids do. Without labelled rows all weights are 0.
     """
     s = settings
     known = labels.select(F.col("doc_id").alias("label_id"), F.col(label).cast("int").alias("label")).dropna()
     drawn = F.pmod(F.xxhash64("label_id"), F.lit(1 << 30))
-    n = known.count()
-    if n > s.sample_rows:
-        known = known.where(drawn < int((1 << 30) * s.sample_rows / n))
+    sizes = documents(docs).select(F.col("doc_id").alias("label_id"), F.octet_length("text").alias("size")).join(known.select("label_id"), "label_id")
+    n, size = known.count(), sizes.agg(F.sum("size")).first()[0] or 0
+    part = min(1.0, s.sample_rows / max(n, 1), s.sample_bytes / max(size, 1))
+    if part < 1:
+        known = known.where(drawn < int((1 << 30) * part))
     # at most about sample_rows rows of two numbers
     rows = documents(docs).join(F.broadcast(known), F.col("doc_id") == F.col("label_id"))
     shard = F.pmod(F.xxhash64("label_id", F.lit(1)), F.lit(s.shards))
