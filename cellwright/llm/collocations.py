@@ -16,55 +16,83 @@ LEAST, SHARDS, TOP = 10, 4, 2000
 SALTS = 8
 #: Bits of the map of locally frequent phrases, 16 MB; where it fills up, more phrases are counted than needed.
 FILTER_BITS = 1 << 27
-BATCH_BYTES = 8_000_000
-
-# piece ends become line feeds of their own, tabs blanks, A-Z lower case
-_BREAKS = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d\x09", b"\n" * 10 + b" ")
+BATCH_BYTES = 6_000_000
+#: Longer words are hashed one by one.
+LONG_WORD = 64
+#: Hashes with counts that a task gathers before it hands them on.
+GATHERED = 1_500_000
+
+# every piece end becomes a full stop, tabs become blanks
+_BREAKS = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d\x09", b"." * 10 + b" ")
 _TURN, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
-
-
-def words_of(text: bytes) -> list[bytes]:
-    r"""Lower-cased words of a text; ``\n`` stands between pieces."""
-    words = text.lower().translate(_BREAKS).replace(b"\n", b" \n ").split(b" ")
-    return [w for w in words if w]
+_BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * _TURN)
+_BYTES[[0x20, 0x2E]] = 0
+_POWERS = np.cumprod(np.full(LONG_WORD, _STEP))
+
+
+def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray, chunk: int = 100_000) -> np.ndarray:
+    """A hash for each word: its bytes' numbers times powers by place, summed; ``chunk`` words at a time bound the memory."""
+    import xxhash
+
+    buffer = np.frombuffer(data, np.uint8)
+    sums = [np.empty(0, np.uint64)]
+    for at in range(0, len(starts), chunk):
+        first = starts[at : at + chunk]
+        stop = ends[min(at + chunk, len(starts)) - 1]
+        here = first - first[0]
+        place = np.arange(stop - first[0]) - np.repeat(here, np.diff(here, append=stop - first[0]))
+        sums.append(np.add.reduceat(_BYTES[buffer[first[0] : stop]] * _POWERS[np.minimum(place, LONG_WORD - 1)], here))
+    lengths = ends - starts
+    h = mixed(np.concatenate(sums) + lengths.astype(np.uint64) * _TURN)
+    for i in np.flatnonzero(lengths > LONG_WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]])
+    return h
 
 
 class Batch:
-    """The words of a batch of documents in a row, as hashes, with language and shard of each place."""
+    """The words of a batch of documents in a row: their places and hashes, with language and shard."""
 
     def __init__(self, batch: pa.RecordBatch) -> None:
         import xxhash
 
-        self.words: list[bytes] = []
-        lengths = []
-        for text in bytes_of(batch):
-            words = words_of(text)
-            words.append(b"\n")
-            self.words += words
-            lengths.append(len(words))
-        known = {w: xxhash.xxh3_64_intdigest(w) for w in set(self.words)}
-        self.symbols = np.fromiter(map(known.__getitem__, self.words), np.uint64, len(self.words))
-        self.is_word = self.symbols != np.uint64(known.get(b"\n", 0))
-        self.langs = [x or "" for x in batch.column("lang").to_pylist()]
-        codes = {x: i for i, x in enumerate(sorted(set(self.langs)))}
-        self.lang_names = list(codes)
-        self.lang = np.repeat(np.array([codes[x] for x in self.langs], np.int64), lengths)
-        seeds = np.array([xxhash.xxh3_64_intdigest(x.encode(), 7) for x in self.lang_names], np.uint64)
-        self.seeds = seeds[self.lang] if len(seeds) else np.empty(0, np.uint64)
-        self.shard = np.repeat(batch.column("shard").to_numpy().astype(np.uint64), lengths)
+        texts = bytes_of(batch)
+        self.data = b".".join([*texts, b""]).lower().translate(_BREAKS)
+        buffer = np.frombuffer(self.data, np.uint8)
+        stop = buffer == 0x2E
+        gap = stop | (buffer == 0x20)
+        edges = np.flatnonzero(np.diff(gap, prepend=True))
+        self.starts, self.ends = edges[::2], edges[1::2]
+        self.size = len(self.starts)
+        pieces_before = np.cumsum(stop, dtype=np.int32)
+        self.joined = pieces_before[self.starts[1:]] == pieces_before[self.ends[:-1]]
+        self.joined &= ~stop[self.ends[:-1]]
+        self.symbols = word_hashes(self.data, self.starts, self.ends)
+        doc = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), self.starts, "right")
+        langs = batch.column("lang").to_pylist()
+        self.lang_names = sorted(set(langs))
+        code = {x: i for i, x in enumerate(self.lang_names)}
+        self.lang = np.array([code[x] for x in langs], np.int32)[doc]
+        self.seeds = np.array([xxhash.xxh3_64_intdigest(x.encode(), 7) for x in self.lang_names], np.uint64)[self.lang]
+        self.shard = batch.column("shard").to_numpy().astype(np.uint64)[doc]
 
     def phrases(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of all phrases of ``n`` words, and a hash of language and words for each."""
-        size = len(self.symbols) - n + 1
+        """First words of all phrases of ``n`` words, and a hash of language and words for each."""
+        size = self.size - n + 1
         if size <= 0:
             return np.empty(0, np.int64), np.empty(0, np.uint64)
-        inside = self.is_word[:size].copy()
-        h = self.seeds[:size].copy()
+        inside = np.ones(size, bool)
+        for k in range(n - 1):
+            inside &= self.joined[k : k + size]
+        first = np.flatnonzero(inside)
+        h = self.seeds[first]
         for k in range(n):
-            inside &= self.is_word[k : k + size]
-            h = mixed((h ^ self.symbols[k : k + size]) * _TURN + np.uint64(n))
-        starts = np.flatnonzero(inside)
-        return starts, h[starts]
+            h = mixed((h ^ self.symbols[first + k]) * _TURN + np.uint64(n))
+        return first, h
+
+    def spelled(self, first: int, n: int) -> bytes:
+        """The words from ``first`` on, joined by single blanks."""
+        text = self.data[self.starts[first] : self.ends[first + n - 1]]
+        return text if n == 1 else b" ".join(text.split())
 
 
 def in_shard(h: np.ndarray, shard: np.ndarray | int) -> np.ndarray:
@@ -93,14 +121,28 @@ def _mined(texts: DataFrame, n: int, support: int, allowed: Callable[[Batch, np.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flushed() -> pa.RecordBatch:
+            h, f = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = np.argsort(h)
+            h, f = h[order], f[order]
+            first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            return pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(np.add.reduceat(f, first))], ["h", "f"])
+
         for part in pieces(batches, BATCH_BYTES):
             batch = Batch(part)
-            starts, h = batch.phrases(n)
+            first, h = batch.phrases(n)
             if allowed is not None:
-                keep = allowed(batch, starts)
-                starts, h = starts[keep], h[keep]
-            found, counts = np.unique(in_shard(h, batch.shard[starts]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts)], ["h", "f"])
+                keep = allowed(batch, first)
+                first, h = first[keep], h[keep]
+            if len(h):
+                held.append(np.unique(in_shard(h, batch.shard[first]), return_counts=True))
+            if sum(len(x) for x, _ in held) > GATHERED:
+                yield flushed()
+        if held:
+            yield flushed()
 
     counted = texts.mapInArrow(run, "h bigint, f bigint").groupBy("h").agg(F.sum("f").alias("f"))
     return counted.where(F.col("f") >= support).select("h")
@@ -116,7 +158,7 @@ def _bitmap(hashes: DataFrame, filter_bits: int) -> np.ndarray:
     return bits
 
 
-def _counted(texts: DataFrame, wanted: Callable[[Batch, int, np.ndarray], np.ndarray], sizes: tuple[int, ...]) -> DataFrame:
+def _counted(texts: DataFrame, wanted: Callable[[int, np.ndarray], np.ndarray], sizes: tuple[int, ...]) -> DataFrame:
     """``(lang, phrase, n_words, f)``: exact counts of all wanted phrases, by their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,18 +167,17 @@ def _counted(texts: DataFrame, wanted: Callable[[Batch, int, np.ndarray], np.nda
             langs, phrases, lengths, counts = [], [], [], []
             for n in sizes:
                 starts, h = batch.phrases(n)
-                keep = wanted(batch, n, h)
+                keep = wanted(n, h)
                 starts, h = starts[keep], h[keep]
-                found, first, f = np.unique(h, return_index=True, return_counts=True)
-                spots = starts[first].tolist()
-                langs.append(batch.lang[starts[first]])
-                phrases += [b" ".join(batch.words[a : a + n]) for a in spots]
-                lengths.append(np.full(len(found), n, np.int32))
+                _, first, f = np.unique(h, return_index=True, return_counts=True)
+                starts = starts[first]
+                langs.append(batch.lang[starts])
+                phrases.append(pa.array([batch.spelled(i, n) for i in starts.tolist()], pa.binary()).cast(pa.string()))
+                lengths.append(np.full(len(starts), n, np.int32))
                 counts.append(f)
             names = pa.array(batch.lang_names, pa.string()).take(pa.array(np.concatenate(langs)))
             yield pa.RecordBatch.from_arrays(
-                [names, pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(np.concatenate(lengths)), pa.array(np.concatenate(counts))],
-                ["lang", "phrase", "n_words", "f"],
+                [names, pa.concat_arrays(phrases), pa.array(np.concatenate(lengths)), pa.array(np.concatenate(counts))], ["lang", "phrase", "n_words", "f"]
             )
 
     found = texts.mapInArrow(run, "lang string, phrase string, n_words int, f bigint")
@@ -156,15 +197,15 @@ def candidates(docs: DataFrame, least: int = LEAST, shards: int = SHARDS, filter
     support = -(-least // shards)
     pairs = spark.sparkContext.broadcast(_bitmap(_mined(texts, 2, support, None), filter_bits))
 
-    def both_pairs(batch: Batch, starts: np.ndarray) -> np.ndarray:
+    def both_pairs(batch: Batch, first: np.ndarray) -> np.ndarray:
         at, h = batch.phrases(2)
-        frequent = np.zeros(len(batch.symbols) + 1, bool)
+        frequent = np.zeros(batch.size + 1, bool)
         frequent[at] = marked(pairs.value, in_shard(h, batch.shard[at]))
-        return frequent[starts] & frequent[starts + 1]
+        return frequent[first] & frequent[first + 1]
 
     triples = spark.sparkContext.broadcast(_bitmap(_mined(texts, 3, support, both_pairs), filter_bits))
 
-    def in_any_shard(batch: Batch, n: int, h: np.ndarray) -> np.ndarray:
+    def in_any_shard(n: int, h: np.ndarray) -> np.ndarray:
         if n == 1:
             return np.ones(len(h), bool)
         bits = (pairs if n == 2 else triples).value
