@@ -89,22 +89,40 @@ def test_encoding(spark, folder):
 
 
 def test_mixing(spark, folder):
+    """A row for every document, repeated rows and null ids too, none above three times its size; sources meet their targets."""
     sizes = defaultdict(int)
     for _, t, s in ROWS:
         sizes[s] += len(brute.words(t))
     want = brute.targets(sizes)
     got = q.op2_mixing(spark, folder).collect()
+    assert sorted(((r.doc_id, r["size"]) for r in got), key=repr) == sorted(((d, len(brute.words(t))) for d, t, _ in ROWS), key=repr)
     by_source = defaultdict(int)
     sources = {(d, len(brute.words(t))): s for d, t, s in ROWS}
     for r in got:
-        source = sources[r.doc_id, r.size]
+        source = sources[r.doc_id, r["size"]]
         assert r.source_size == sizes[source] and r.target == pytest.approx(want[source])
-        assert 0 <= r.taken <= 3 * r.size * sum((d, len(brute.words(t))) == (r.doc_id, r.size) for d, t, _ in ROWS)
+        assert 0 <= r.taken <= 3 * r["size"]
         by_source[source] += r.taken
     assert {s: by_source[s] for s in want} == {s: pytest.approx(t, abs=1) for s, t in want.items()}
     assert sorted(map(repr, got)) == sorted(map(repr, q.op2_mixing(spark, folder).collect()))
 
 
+def test_queue_decides(spark):
+    """The queue is in the order of finish times and is cut once, at the budget; repeated rows keep their own words."""
+    from cellwright.llm import mixing
+
+    rows = [(1, "a b c", "s"), (1, "a b c", "s"), (None, "x y", "s"), (None, "x y", "t"), (2, "d " * 50, "t"), (3, None, "u")]
+    rows += [(10 + i, "w " * (i % 7), ("s", "t", None)[i % 3]) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    line = sorted(mixing.mix(docs).collect(), key=lambda r: (r.before, r.finish, r.words))
+    assert [r.finish for r in line if r.words] == sorted(r.finish for r in line if r.words)
+    running = budget = sum(r.taken for r in line)
+    for r in line:
+        assert r.taken == max(0, min(r.words, budget - r.before))
+        running -= r.taken
+    assert running == 0 and mixing.words_taken(mixing.mix(docs)).count() == len(rows)
+
+
 def test_personal_data(spark, folder):
     for d, *counts, digest, spans in result(spark, folder, "op3", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"):
         fitting = [brute.base_spans(t) for i, t, _ in ROWS if i == d]
