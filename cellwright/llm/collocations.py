@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import bytes_of, cut, pieces
 from .minimisers import mixed
 
-LEAST, SHARDS, TOP = 10, 4, 2000
+LEAST, SHARDS, TOP = 10, 2, 2000
 #: Copies of a part's count, over which the candidates that share the part are spread.
 SALTS = 8
-#: Bits of the map of locally frequent phrases, 16 MB; where it fills up, more phrases are counted than needed.
-FILTER_BITS = 1 << 27
+#: Most bits of the map of locally frequent phrases, 32 MB; where it fills up, more phrases are counted than needed.
+FILTER_BITS = 1 << 28
 BATCH_BYTES = 6_000_000
 #: Longer words are hashed one by one.
 LONG_WORD = 64
@@ -52,7 +52,7 @@ def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray, chunk: int =
 class Batch:
     """The words of a batch of documents in a row: their places and hashes, with language and shard."""
 
-    def __init__(self, batch: pa.RecordBatch) -> None:
+    def __init__(self, batch: pa.RecordBatch, hashed: bool = True) -> None:
         import xxhash
 
         texts = bytes_of(batch)
@@ -66,7 +66,7 @@ class Batch:
         pieces_before = np.cumsum(stop, dtype=np.int32)
         self.joined = pieces_before[self.starts[1:]] == pieces_before[self.ends[:-1]]
         self.joined &= ~stop[self.ends[:-1]]
-        self.symbols = word_hashes(self.data, self.starts, self.ends)
+        self.symbols = word_hashes(self.data, self.starts, self.ends) if hashed else np.empty(0, np.uint64)
         doc = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), self.starts, "right")
         langs = batch.column("lang").to_pylist()
         self.lang_names = sorted(set(langs))
@@ -101,9 +101,12 @@ def in_shard(h: np.ndarray, shard: np.ndarray | int) -> np.ndarray:
 
 
 def marked(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Whether the bits of the hashes are set; the number of bits is a power of two."""
-    spot = h & np.uint64(len(bits) * 64 - 1)
-    return (bits[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63)) & np.uint64(1)).astype(bool)
+    """Whether both bits of the hashes are set; the number of bits is a power of two."""
+    mask = np.uint64(len(bits) * 64 - 1)
+    found = np.ones(len(h), bool)
+    for spot in (h & mask, h >> np.uint64(32) & mask):
+        found &= (bits[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return found
 
 
 def shard_texts(docs: DataFrame, shards: int) -> DataFrame:
@@ -114,8 +117,8 @@ def shard_texts(docs: DataFrame, shards: int) -> DataFrame:
     )
 
 
-def _mined(texts: DataFrame, n: int, support: int, allowed: Callable[[Batch, np.ndarray], np.ndarray] | None) -> DataFrame:
-    """``h``: hashes of the phrases of ``n`` words that occur ``support`` times in one shard, as hashed by ``in_shard``.
+def _mined(texts: DataFrame, sizes: tuple[int, ...], support: int, allowed: Callable[[Batch, np.ndarray], np.ndarray] | None) -> DataFrame:
+    """``h``: hashes of the phrases of ``sizes`` words that occur ``support`` times in one shard, as hashed by ``in_shard``.
 
     A shard is spread over as many tasks as its texts need; its counts meet by hash in a shuffle after a count per batch.
     """
@@ -133,12 +136,13 @@ def _mined(texts: DataFrame, n: int, support: int, allowed: Callable[[Batch, np.
 
         for part in pieces(batches, BATCH_BYTES):
             batch = Batch(part)
-            first, h = batch.phrases(n)
-            if allowed is not None:
-                keep = allowed(batch, first)
-                first, h = first[keep], h[keep]
-            if len(h):
-                held.append(np.unique(in_shard(h, batch.shard[first]), return_counts=True))
+            for n in sizes:
+                first, h = batch.phrases(n)
+                if allowed is not None:
+                    keep = allowed(batch, first)
+                    first, h = first[keep], h[keep]
+                if len(h):
+                    held.append(np.unique(in_shard(h, batch.shard[first]), return_counts=True))
             if sum(len(x) for x, _ in held) > GATHERED:
                 yield flushed()
         if held:
@@ -148,12 +152,14 @@ def _mined(texts: DataFrame, n: int, support: int, allowed: Callable[[Batch, np.
     return counted.where(F.col("f") >= support).select("h")
 
 
-def _bitmap(hashes: DataFrame, filter_bits: int) -> np.ndarray:
-    """A map with the bit of every hash set; at most ``filter_bits`` / 64 numbers reach the driver."""
-    spot = hashes.select(F.col("h").bitwiseAND(F.lit(filter_bits - 1)).alias("spot"))
-    words = spot.groupBy(F.shiftright("spot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 as int))")).alias("bits"))
+def _bitmap(hashes: DataFrame, most_bits: int) -> np.ndarray:
+    """A map with two bits of every hash set, 16 bits a hash and ``most_bits`` at most; a number for each 64 bits reaches the driver."""
+    hashes = cut(hashes, "frequent")
+    n_bits = min(most_bits, 1 << max(6, (16 * hashes.count()).bit_length()))
+    spots = hashes.select(F.explode(F.array(F.col("h"), F.shiftrightunsigned("h", 32))).alias("h")).select(F.col("h").bitwiseAND(F.lit(n_bits - 1)).alias("spot"))
+    words = spots.groupBy(F.shiftright("spot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 as int))")).alias("bits"))
     rows = words.toArrow()
-    bits = np.zeros(filter_bits // 64, np.uint64)
+    bits = np.zeros(n_bits // 64, np.uint64)
     bits[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
     return bits
 
@@ -185,37 +191,49 @@ def _counted(texts: DataFrame, wanted: Callable[[int, np.ndarray], np.ndarray],
 
 
 def candidates(docs: DataFrame, least: int = LEAST, shards: int = SHARDS, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """``(lang, phrase, n_words, f)``: all words, and the phrases of 2 and 3 words that occur ``least`` times in their language.
+    """``(lang, phrase, n_words, f)``: the words and phrases of 2 and 3 words that occur ``least`` times in their language.
 
     SON: the documents are dealt to ``shards`` shards, and a phrase with ``least`` occurrences has at least ``least / shards``, rounded up, in
-    one of them. Every shard is mined completely at that support, level by level: pairs first, then those triples
+    one of them. Every shard is mined completely at that support, level by level: words and pairs first, then those triples
     whose two pairs are frequent in the same shard. What any shard found is counted over all documents by its words.
     The shards' findings are kept as bits of hashes, which can only let more phrases into the exact count.
+
+    The support is a count, not a share, so more shards would lower it to where nothing is pruned: there are few of them, and each
+    is mined by as many tasks as it needs.
     """
     spark = docs.sparkSession
     texts = shard_texts(docs, shards)
     support = -(-least // shards)
-    pairs = spark.sparkContext.broadcast(_bitmap(_mined(texts, 2, support, None), filter_bits))
+    short = spark.sparkContext.broadcast(_bitmap(_mined(texts, (1, 2), support, None), filter_bits))
 
     def both_pairs(batch: Batch, first: np.ndarray) -> np.ndarray:
         at, h = batch.phrases(2)
         frequent = np.zeros(batch.size + 1, bool)
-        frequent[at] = marked(pairs.value, in_shard(h, batch.shard[at]))
+        frequent[at] = marked(short.value, in_shard(h, batch.shard[at]))
         return frequent[first] & frequent[first + 1]
 
-    triples = spark.sparkContext.broadcast(_bitmap(_mined(texts, 3, support, both_pairs), filter_bits))
+    triples = spark.sparkContext.broadcast(_bitmap(_mined(texts, (3,), support, both_pairs), filter_bits))
 
     def in_any_shard(n: int, h: np.ndarray) -> np.ndarray:
-        if n == 1:
-            return np.ones(len(h), bool)
-        bits = (pairs if n == 2 else triples).value
+        bits = (triples if n == 3 else short).value
         found = np.zeros(len(h), bool)
         for shard in range(shards):
             found |= marked(bits, in_shard(h, shard))
         return found
 
-    counted = _counted(texts, in_any_shard, (1, 2, 3))
-    return counted.where((F.col("n_words") == 1) | (F.col("f") >= least))
+    return _counted(texts, in_any_shard, (1, 2, 3)).where(F.col("f") >= least)
+
+
+def word_totals(docs: DataFrame) -> DataFrame:
+    """``(lang, n)``: all words of each language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, BATCH_BYTES):
+            batch = Batch(part, hashed=False)
+            n = np.bincount(batch.lang, minlength=len(batch.lang_names))
+            yield pa.RecordBatch.from_arrays([pa.array(batch.lang_names, pa.string()), pa.array(n, pa.int64())], ["lang", "n"])
+
+    return shard_texts(docs, 1).mapInArrow(run, "lang string, n bigint").groupBy("lang").agg(F.sum("n").alias("n"))
 
 
 def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, shards: int = SHARDS, salts: int = SALTS) -> DataFrame:
@@ -226,10 +244,9 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, shards: in
     Null texts are empty, null languages ``und``; repeated rows count each time; texts of any length are read whole. An empty
     table gives no rows; other columns than doc_id, text and lang are never read.
     """
-    counts = cut(candidates(docs, least, shards), "phrases")
-    totals = counts.where("n_words = 1").groupBy("lang").agg(F.sum("f").alias("n"))
     # parts of a candidate occur at least as often as it does
-    frequent = counts.where(F.col("f") >= least).select("lang", "phrase", "n_words", "f")
+    frequent = cut(candidates(docs, least, shards), "phrases")
+    totals = cut(word_totals(docs), "totals")
     found = frequent.where("n_words > 1").withColumn("words", F.split("phrase", " "))
 
     triples = found.where("n_words = 3").select("lang", "f", F.explode(F.array(*[F.array_join(F.slice("words", i, 2), " ") for i in (1, 2)])).alias("phrase"))
