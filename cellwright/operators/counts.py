@@ -12,8 +12,9 @@ from ..functions.text import to_num
 from ..session import cut
 from .rows import ROW, all_cells, data_columns
 
-# Buckets per power of two in the order-preserving number grid.
-GRID = 4096
+# Bits of one digit of a number's order image: no group of a refinement has more members than a digit has values.
+DIGIT = 16
+LEVELS = 64 // DIGIT
 
 
 def cell_counts(df: DataFrame, columns: list[str] | None = None, row_col: str = ROW) -> DataFrame:
@@ -42,79 +43,65 @@ def numbers(counts: DataFrame) -> DataFrame:
     )
 
 
-def grid_bucket(x: Column) -> Column:
-    """Order-preserving bucket of a double: 4096 buckets per power of two, no bounds to compute.
+def order_image(x: Column) -> Column:
+    """A bigint for each double, in the same order and different for different numbers: exponent and mantissa side by side.
 
-    Being a fixed function of the value it is the same on every evaluation and every executor.
+    Powers of two and divisions by them are exact, so the exponent, guessed from the logarithm, is put right by comparison.
     """
-    size = F.floor(F.log2(F.abs(x)) * GRID) + F.lit(1100 * GRID)
-    inf = float("inf")
-    return (
-        F.when(x == 0, F.lit(0))
-        .when(x == inf, F.lit(3000 * GRID))
-        .when(x == -inf, F.lit(-3000 * GRID))
-        .otherwise(F.signum(x).cast("bigint") * size)
-        .cast("bigint")
+    a = F.abs(x)
+    guess = F.floor(F.log2(a))
+    power = guess + F.when(a >= F.pow(F.lit(2.0), guess + 1), 1).when(a < F.pow(F.lit(2.0), guess), -1).otherwise(0)
+    mantissa = ((a / F.pow(F.lit(2.0), power) - 1) * F.lit(2.0**52)).cast("bigint")
+    size = (
+        F.when(a == float("inf"), F.lit(2047 << 52))
+        .when(a < F.lit(2.0**-1022), (a * F.lit(2.0**537) * F.lit(2.0**537)).cast("bigint"))
+        .otherwise((power + 1023) * F.lit(1 << 52) + mantissa)
     )
+    return F.when(x == 0, F.lit(0).cast("bigint")).when(x < 0, -size).otherwise(size).cast("bigint")
+
+
+def digits(image: Column, level: int) -> Column:
+    """The first ``level`` digits of an order image."""
+    return F.shiftright(image, 64 - DIGIT * level)
 
 
 def exact_quantiles(nums: DataFrame, probs: dict[str, float]) -> DataFrame:
     """Exact linear-interpolated quantiles per column, one output column per name in ``probs``.
 
-    A histogram over the fixed grid finds the buckets that hold the wanted ranks; only the
-    distinct values of those buckets are then ordered. No column is sorted as a whole, and no
-    sketch is merged in a single task.
+    Radix refinement: a histogram over the first digit of the numbers' order images finds the groups that hold the wanted
+    ranks; only their members go on to the next digit, until all digits are known. A group is ordered by a digit of
+    ``DIGIT`` bits, so none has more than 2 ** ``DIGIT`` members, however close the numbers lie. No column is sorted as a
+    whole, and no sketch is merged in a single task.
     """
-    gridded = nums.withColumn("k", grid_bucket(F.col("x")))
-    hist = gridded.groupBy("column", "k").agg(F.sum("n").alias("n"))
-    run = Window.partitionBy("column").orderBy("k")
-    cum = hist.select(
-        "column", "k", "n",
-        F.sum("n").over(run).alias("upto"),
-        F.sum("n").over(Window.partitionBy("column")).alias("total"),
-    )
+    imaged = nums.select("column", order_image(F.col("x")).alias("image"), "x", "n")
     wanted = F.array(
         *[
-            F.struct(
-                F.lit(name).alias("name"), F.lit(part).alias("part"),
-                rounder((F.col("total") - 1) * F.lit(float(p))).cast("bigint").alias("rank"),
-                ((F.col("total") - 1) * F.lit(float(p))).alias("pos"),
-            )
+            F.struct(F.lit(name).alias("name"), F.lit(part).alias("part"), rounder(pos).cast("bigint").alias("rank"), pos.alias("pos"))
             for name, p in probs.items()
+            for pos in [(F.col("total") - 1) * F.lit(float(p))]
             for part, rounder in (("lo", F.floor), ("hi", F.ceil))
         ]
     )
-    # At most two ranks per name and column: a table bounded by the number of columns.
-    targets = (
-        cum.withColumn("below", F.col("upto") - F.col("n"))
-        .withColumn("hits", F.filter(wanted, lambda w: (w["rank"] >= F.col("below")) & (w["rank"] < F.col("upto"))))
-        .where(F.size("hits") > 0)
-        .select("column", "k", "below", "hits")
-    )
-    inside = gridded.join(F.broadcast(targets.select("column", "k")), ["column", "k"])
-    order = Window.partitionBy("column", "k").orderBy("x")
-    ranked = inside.select("column", "k", "x", "n", F.sum("n").over(order).alias("in_upto"))
-    picked = (
-        ranked.join(F.broadcast(targets), ["column", "k"])
-        .select(
-            "column", "x",
-            F.explode(
-                F.filter(
-                    "hits",
-                    lambda h: (h["rank"] >= F.col("below") + F.col("in_upto") - F.col("n"))
-                    & (h["rank"] < F.col("below") + F.col("in_upto")),
-                )
-            ).alias("h"),
-        )
-    )
+    totals = nums.groupBy("column").agg(F.sum("n").alias("total"))
+    targets = totals.select("column", F.lit(0).cast("bigint").alias("prefix"), F.explode(wanted).alias("w")).select("column", "prefix", "w.*")
+    for level in range(1, LEVELS + 1):
+        # two ranks per name and column: a table bounded by the number of columns
+        targets = cut(targets.select("column", "prefix", "name", "part", "rank", "pos"), "ranks")
+        above = digits(F.col("image"), level - 1) if level > 1 else F.lit(0).cast("bigint")
+        held = imaged.withColumn("prefix", above).join(F.broadcast(targets.select("column", "prefix").distinct()), ["column", "prefix"])
+        hist = held.groupBy("column", "prefix", digits(F.col("image"), level).alias("digit")).agg(F.sum("n").alias("n"), F.max("x").alias("x"))
+        upto = F.sum("n").over(Window.partitionBy("column", "prefix").orderBy("digit"))
+        found = hist.withColumn("below", upto - F.col("n")).join(F.broadcast(targets), ["column", "prefix"])
+        found = found.where((F.col("rank") >= F.col("below")) & (F.col("rank") < F.col("below") + F.col("n")))
+        targets = found.select("column", F.col("digit").alias("prefix"), "name", "part", (F.col("rank") - F.col("below")).alias("rank"), "pos", "x")
     out = []
     for name in probs:
-        lo = F.max(F.when((F.col("h.name") == name) & (F.col("h.part") == "lo"), F.col("x")))
-        hi = F.max(F.when((F.col("h.name") == name) & (F.col("h.part") == "hi"), F.col("x")))
-        pos = F.max(F.when(F.col("h.name") == name, F.col("h.pos")))
+        lo = F.max(F.when((F.col("name") == name) & (F.col("part") == "lo"), F.col("x")))
+        hi = F.max(F.when((F.col("name") == name) & (F.col("part") == "hi"), F.col("x")))
+        pos = F.max(F.when(F.col("name") == name, F.col("pos")))
         # lo == hi covers infinities, where the difference is not a number
         out.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
-    return picked.groupBy("column").agg(*out)
+    return targets.groupBy("column").agg(*out)
 
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import cut
-from .counts import grid_bucket, numbers
+from .counts import DIGIT, LEVELS, numbers, order_image
 
 EXACT_LIMIT = 10_000  # fixed value
 
@@ -16,32 +16,34 @@ EXACT_LIMIT = 10_000  # fixed value
 def ks_statistics(before: DataFrame, after: DataFrame) -> DataFrame:
     """``(column, n_before, n_after, d)`` from two count tables; ``d`` is NULL where one side has no numbers.
 
-    Values collapse to distinct numbers first. Running shares are then taken inside buckets of the
-    fixed number grid, on top of the totals of the buckets below, so no column is ordered in one task.
+    Values collapse to distinct numbers first. Running shares are prefix sums over the digits of the numbers' order images: within
+    each group of equal leading digits the groups of the next digit are added up, and a number's share is the sum over
+    its digits. No group has more than 2 ** ``DIGIT`` members, so no column is ordered in one task.
     """
     a = numbers(before).select("column", "x", F.col("n").alias("a"), F.lit(0).cast("bigint").alias("b"))
     b = numbers(after).select("column", "x", F.lit(0).cast("bigint").alias("a"), F.col("n").alias("b"))
-    merged = cut(a.unionByName(b).groupBy("column", "x").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "merged")
-    gridded = merged.withColumn("k", grid_bucket(F.col("x")))
-    hist = gridded.groupBy("column", "k").agg(F.sum("a").alias("ka"), F.sum("b").alias("kb"))
-    run, whole = Window.partitionBy("column").orderBy("k"), Window.partitionBy("column")
-    below = hist.select(
-        "column", "k",
-        (F.sum("ka").over(run) - F.col("ka")).alias("before_a"),
-        (F.sum("kb").over(run) - F.col("kb")).alias("before_b"),
-        F.sum("ka").over(whole).alias("n_before"),
-        F.sum("kb").over(whole).alias("n_after"),
-    )
-    inner = Window.partitionBy("column", "k").orderBy("x")
-    shares = gridded.select(
-        "column", "k", F.sum("a").over(inner).alias("upto_a"), F.sum("b").over(inner).alias("upto_b")
-    ).join(below, ["column", "k"])
-    gap = F.abs(
-        F.try_divide(F.col("before_a") + F.col("upto_a"), "n_before") - F.try_divide(F.col("before_b") + F.col("upto_b"), "n_after")
-    )
-    return shares.groupBy("column").agg(
-        F.first("n_before").alias("n_before"), F.first("n_after").alias("n_after"), F.max(gap).alias("d")
-    )
+    sums = [F.sum("a").alias("a"), F.sum("b").alias("b")]
+    merged = a.unionByName(b).groupBy("column", "x").agg(*sums)
+    groups = {LEVELS: cut(merged.select("column", order_image(F.col("x")).alias(f"d{LEVELS}"), "a", "b"), "merged")}
+    for level in range(LEVELS - 1, 0, -1):
+        finer = groups[level + 1].withColumn(f"d{level}", F.shiftright(f"d{level + 1}", DIGIT))
+        groups[level] = cut(finer.groupBy("column", f"d{level}").agg(*sums), "digits")
+    sizes = groups[1].groupBy("column").agg(F.sum("a").alias("n_before"), F.sum("b").alias("n_after"))
+    shares = None
+    for level in range(1, LEVELS + 1):
+        inside = ["column"] if level == 1 else ["column", f"d{level - 1}"]
+        held = groups[level] if level == 1 else groups[level].withColumn(f"d{level - 1}", F.shiftright(f"d{level}", DIGIT))
+        run = Window.partitionBy(*inside).orderBy(f"d{level}")
+        # the last digit counts the number itself, those before it only what lies below
+        below = [(F.sum(c).over(run) - (F.lit(0) if level == LEVELS else F.col(c))).alias(f"{c}{level}") for c in ("a", "b")]
+        placed = held.select(*inside, f"d{level}", *below)
+        if shares is not None:
+            placed = placed.join(shares, inside).withColumn(f"a{level}", F.col(f"a{level}") + F.col("upto_a")).withColumn(f"b{level}", F.col(f"b{level}") + F.col("upto_b"))
+        shares = placed.select("column", f"d{level}", F.col(f"a{level}").alias("upto_a"), F.col(f"b{level}").alias("upto_b"))
+    # a row per column
+    shares = shares.join(F.broadcast(sizes), "column")
+    gap = F.abs(F.try_divide("upto_a", "n_before") - F.try_divide("upto_b", "n_after"))
+    return shares.groupBy("column").agg(F.first("n_before").alias("n_before"), F.first("n_after").alias("n_after"), F.max(gap).alias("d"))
 
 
 def ks_p_value(d: float, n: int, m: int, method: str = "auto") -> float:
@@ -68,33 +70,25 @@ def ks_p_value(d: float, n: int, m: int, method: str = "auto") -> float:
 def _exact_p(d: float, n: int, m: int) -> float:
     """Share of lattice paths from (0, 0) to (n, m) that leave the band |i/n - j/m| < d.
 
-    Inside paths are counted one row at a time: a running sum of the row before, cut to the band.
-    Counts are rescaled when they grow large, with the factor kept as a logarithm.
+    Goes through the points (i, j) of each i + j inside the band, with the share of the paths to a point that never left it: the last step
+    to (i, j) comes from (i - 1, j) for i in i + j of them. Shares stay between 0 and 1, and the time is that of the band.
     """
     lcm = math.lcm(n, m)
-    reach = round(d * lcm)
-    per_i, per_j = lcm // n, lcm // m
-    j = np.arange(m + 1)
-    inside = np.where(j * per_j < reach, 1.0, 0.0)
-    row = np.cumprod(inside)
-    scale = 0.0  # log of the factor removed so far
-    for i in range(1, n + 1):
-        band = np.flatnonzero(np.abs(i * per_i - j * per_j) < reach)
-        if band.size == 0:
+    reach, per_i, per_j = round(d * lcm), lcm // n, lcm // m
+    both = per_i + per_j
+    low, high, inside = 0, 0, np.ones(1)
+    for t in range(1, n + m + 1):
+        # |i * per_i - (t - i) * per_j| < reach
+        lo, hi = max(0, t - m, (t * per_j - reach) // both + 1), min(n, t, -((-t * per_j - reach) // both) - 1)
+        if lo > hi:
             return 1.0
-        lo, hi = band[0], band[-1] + 1
-        row[:lo] = row[hi:] = 0.0
-        row[lo:hi] = np.cumsum(row[lo:hi])
-        top = row.max()
-        if top == 0.0:
-            return 1.0
-        if top > 1e200:
-            row /= top
-            scale += math.log(top)
-    if row[m] == 0.0:
-        return 1.0
-    paths = math.lgamma(n + m + 1) - math.lgamma(n + 1) - math.lgamma(m + 1)
-    return min(1.0, max(0.0, -math.expm1(min(0.0, math.log(row[m]) + scale - paths))))
+        before = np.zeros(hi - lo + 2)  # at lo - 1 to hi
+        a, b = max(low, lo - 1), min(high, hi)
+        if a <= b:
+            before[a - lo + 1 : b - lo + 2] = inside[a - low : b - low + 1]
+        i = np.arange(lo, hi + 1)
+        low, high, inside = lo, hi, (i * before[:-1] + (t - i) * before[1:]) / t
+    return min(1.0, max(0.0, 1.0 - float(inside[-1]))) if high == n else 1.0
 
 
 def ks_test(before: DataFrame, after: DataFrame, alpha: float = 0.05, at_least: int = 2, method: str = "auto") -> DataFrame:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.rules import python_title
@@ -67,40 +64,34 @@ def escape_regex(c: Column) -> Column:
     return F.regexp_replace(c, r"([\\.^$|?*+()\[\]{}\-\s#&~])", r"\\$1")
 
 
-def _compiles(pattern: str) -> bool:
-    try:
-        re.compile(pattern)
-        return True
-    except re.error:
-        return False
-
-
-def _valid():
-    """Vectorised check that expressions compile; Spark would fail the job on a broken one."""
-
-    @F.pandas_udf("boolean")
-    def valid(patterns: pd.Series) -> pd.Series:
-        return patterns.map(_compiles)
+def _expression(pattern: str) -> Column:
+    """A pattern anchored at the start, case and character classes by Unicode, in the spelling of Spark's dialect.
 
-    return valid
+    Group names may hold underscores where patterns come from, not in the dialect that runs them; ``\\Z`` is the very end.
+    """
+    out = F.col(pattern)
+    for opening, closing in (("<", ">"), ("=", r"\)")):
+        out = F.regexp_replace(out, rf"(?<=\(\?P{opening}\w{{0,64}})_(?=\w*{closing})", "U95U")
+    out = F.regexp_replace(F.regexp_replace(out, r"\(\?P<", "(?<"), r"\(\?P=(\w+)\)", r"\\k<$1>")
+    out = F.regexp_replace(out, r"(?<!\\)((?:\\\\)*)\\Z", r"$1\\z")
+    return F.concat(F.lit("(?iU)^(?:"), out, F.lit(")"))
 
 
-def _expression(pattern: str) -> Column:
-    """A pattern anchored at the start, case and character classes by Unicode; named groups in the spelling of Spark."""
-    named = F.regexp_replace(F.regexp_replace(F.col(pattern), r"\(\?P<", "(?<"), r"\(\?P=(\w+)\)", r"\\k<$1>")
-    return F.concat(F.lit("(?iU)^(?:"), named, F.lit(")"))
+def _valid(pattern: str) -> Column:
+    """Whether the dialect that runs an expression compiles it; a broken one would fail the whole job."""
+    return F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), _expression(pattern)).isNotNull()
 
 
 def match_patterns(values: DataFrame, patterns: DataFrame, columns: list[str], domain: str = GENERIC) -> DataFrame:
     """Best pattern for each distinct ``(column, value)``, by a join that grows with neither side's cap.
 
     ``columns`` are the table's columns. Column names are matched first on the distinct names, which makes
-    the rest an equi-join on the column with the value expression as its filter.
+    the rest an equi-join on the column with the value expression as its filter. Patterns that the dialect can't compile are skipped.
     """
     spark = values.sparkSession
     names = spark.createDataFrame([(c,) for c in columns], "column string")
     live = patterns.where(F.col("domain").isin(domain, GENERIC))
-    live = live.where(_valid()("column_pattern") & _valid()("value_pattern"))
+    live = live.where(_valid("column_pattern") & _valid("value_pattern"))
     # the names of one table's columns: a driver-held list
     per_column = live.join(F.broadcast(names), F.rlike(F.col("column"), _expression("column_pattern"))).select(
         "column", "id", "column_pattern", "value_pattern", "fix_template", "success_count", "fail_count"

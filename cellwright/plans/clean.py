@@ -131,7 +131,8 @@ def clean(
     before = quality_score(profiles).first()["quality_score"]
     stages.done("data_profiling", profile_columns=len(columns), data_quality_score=before)
 
-    anomalies = detect(raw, facts, config)
+    # read twice: counted here and handed to the caller
+    anomalies = cut(detect(raw, facts, config), "anomalies")
     found = anomalies.count()
     stages.done("anomaly_detection", anomaly_count=found)
 
@@ -142,6 +143,8 @@ def clean(
     logs: list[DataFrame] = []
     changed: set[str] = set()
     now, pass_facts, passed, errors, done = counts, facts, False, None, 0
+    # What a pass does to a column follows from the column's cells, its first findings and its facts. From the second pass on, which
+    # adds the type errors, a column without a change is at its fixed point: only those that moved are tested again.
     while done < config.max_passes:
         fixed = repair(
             current, pass_facts, patterns, proposals, config, original=first, original_facts=facts, revisit=done > 0,
@@ -164,10 +167,9 @@ def clean(
         if passed or (not config.replay and not per_column):
             break
         if done < config.max_passes:
-            pass_facts = collect_facts(now, config, with_rare=False)
-            pass_facts = {
-                c: _with_type(pass_facts.get(c, ColumnFacts(c, "empty")), facts[c]) for c in columns
-            }
+            moved = columns if done == 1 or config.replay else [c for c in columns if c in per_column]
+            pass_facts = collect_facts(now.where(F.col("column").isin(moved)), config, with_rare=False)
+            pass_facts = {c: _with_type(pass_facts.get(c, ColumnFacts(c, "empty")), facts[c]) for c in moved}
 
     actions = reduce(DataFrame.unionByName, logs)
     report = cut(

@@ -228,6 +228,18 @@ def _statistics(spark, sf):
     return out.select(*[F.round(c, 4).alias(c) if c in shown else c for c in out.columns])
 
 
+@query(
+    "column_statistics_micros",
+    f"""{with_views('event_clock')}, {_profile_cte(cells_sql('event_clock', row=False))}
+    SELECT base.col AS "column", base.total AS "count", coalesce(nums.n, 0) AS numeric_count, round(mean, 1) AS mean, median, lo AS min, hi AS max, q1, q3
+    FROM base LEFT JOIN nums USING (col)""",
+)
+def _statistics_micros(spark, sf):
+    """Quantiles of times in microseconds, which agree in all their leading bits."""
+    out = pr.column_statistics(view(spark, sf, "event_clock"), COLUMNS["event_clock"]).withColumn("mean", F.round("mean", 1))
+    return out.select("column", "count", "numeric_count", "mean", "median", "min", "max", "q1", "q3")
+
+
 @query("value_counts", "SELECT p_name AS value, count(*) AS count FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
 def _value_counts(spark, sf):
     return pr.value_counts(table(spark, sf, "part"), "p_name", 20)
@@ -832,6 +844,41 @@ def _ks(spark, sf):
     return drift.ks_statistics(before, after).withColumn("d", F.round("d", 6))
 
 
+_KS = """g AS (SELECT col, x, sum(a) AS a, sum(b) AS b FROM sides WHERE x IS NOT NULL GROUP BY col, x),
+    r AS (SELECT col, sum(a) OVER (PARTITION BY col ORDER BY x) AS ca, sum(b) OVER (PARTITION BY col ORDER BY x) AS cb,
+                 sum(a) OVER (PARTITION BY col) AS n, sum(b) OVER (PARTITION BY col) AS m FROM g),
+    d AS (SELECT col, any_value(n) AS n, any_value(m) AS m, max(abs(ca / nullif(n, 0) - cb / nullif(m, 0))) AS d FROM r GROUP BY col),
+    l AS (SELECT *, n * m / (n + m) AS size, sqrt(n * m / (n + m)) * d AS y FROM d),
+    law AS (SELECT *, y + 1 / (6 * sqrt(size)) + (y - 1) / (4 * size) AS x FROM l),
+    p AS (SELECT col, n, m, d, CASE WHEN d <= 0 OR x <= 0.2 THEN 1.0 ELSE least(1.0, greatest(0.0,
+        2 * (SELECT sum(CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2 * k * k * x * x)) FROM (SELECT unnest(range(1, 101)) AS k)))) END AS p FROM law)"""
+
+
+@query(
+    "ks_test",
+    f"""{with_views('drift_before', 'drift_after')},
+    sides AS (SELECT 'value' AS col, TRY_CAST(value AS DOUBLE) AS x, 1 AS a, 0 AS b FROM drift_before
+              UNION ALL SELECT 'value', TRY_CAST(value AS DOUBLE), 0, 1 FROM drift_after
+              UNION ALL SELECT 'small', TRY_CAST(value AS DOUBLE) + row_no % 7, 1, 0 FROM drift_before
+              UNION ALL SELECT 'small', TRY_CAST(value AS DOUBLE) + (row_no + 1) % 7, 0, 1 FROM drift_before
+              UNION ALL SELECT 'gone', TRY_CAST(value AS DOUBLE), 1, 0 FROM drift_before), {_KS}
+    SELECT col AS "column", CASE WHEN least(n, m) >= 2 THEN round(d, 6) END AS ks_statistic, CASE WHEN least(n, m) >= 2 THEN round(p, 6) END AS p_value,
+           CASE WHEN least(n, m) >= 2 THEN p < 0.05 END AS significant_drift,
+           CASE WHEN least(n, m) < 2 THEN 'Not enough numeric values for comparison' END AS error FROM p""",
+)
+def _ks_test(spark, sf):
+    """The whole test by the limiting law: statistic, p-value, flag, and a column that has numbers on one side only."""
+    before, after = (view(spark, sf, n) for n in ("drift_before", "drift_after"))
+    number = F.col("value").cast("double")
+    moved = lambda t, by: t.select(R, (number + by % 7).cast("string").alias("small"))
+    sides = [
+        before.join(moved(before, F.col(R)), R).withColumn("gone", F.col("value")),
+        after.join(moved(before, F.col(R) + 1), R).withColumn("gone", F.lit("none")),
+    ]
+    counts = [cell_counts(t, ["value", "small", "gone"], R) for t in sides]
+    return drift.ks_test(*counts, method="series")
+
+
 @query(
     "counts_after_repair",
     f"""{_actions_cte('dirty_customer')}, fixed AS (SELECT cells.col, coalesce(new_value, cells.v) AS v FROM cells LEFT JOIN actions USING (row_no, col))
@@ -1211,3 +1258,50 @@ def _clean_report(spark, sf):
 def _clean_table(spark, sf):
     result = clean(view(spark, sf, "dirty_customer"), row_col=R, config=CleanConfig(max_passes=1))
     return result.cleaned.withColumnRenamed(rows.ROW, "row_id")
+
+
+_METER = f"""{_actions_cte('dirty_meter')},
+    once AS (SELECT cells.row_no, cells.col, cells.v AS v0, coalesce(a.new_value, cells.v) AS v
+             FROM ({cells_sql('dirty_meter')}) cells LEFT JOIN actions a ON a.row_no = cells.row_no AND a.col = cells.col),
+    again AS (SELECT row_no, col, v, 'type_mismatch' AS kind, {_NEW} AS new_value, {_NAME} AS rule, {_CONF} AS confidence
+              FROM once JOIN schema_of USING (col) WHERE dtype IN ('integer', 'float') AND {PRESENT} AND {NUM} IS NULL AND ({_FIRES})),
+    twice AS (SELECT once.row_no, once.col, v0, coalesce(again.new_value, once.v) AS v FROM once LEFT JOIN again ON again.row_no = once.row_no AND again.col = once.col),
+    logged AS (SELECT row_no, col, v, new_value, rule, confidence, kind FROM actions UNION ALL SELECT row_no, col, v, new_value, rule, confidence, kind FROM again),
+    sides AS (SELECT col, TRY_CAST(v0 AS DOUBLE) AS x, 1 AS a, 0 AS b FROM twice UNION ALL SELECT col, TRY_CAST(v AS DOUBLE), 0, 1 FROM twice), {_KS},
+    verdict AS (SELECT coalesce(bool_or(least(n, m) >= 10 AND p < 0.01), false) AS drifted FROM p)"""
+
+
+def _meter_run(spark, sf):
+    """A run whose imputed readings drift, so that the loop goes on until a pass changes nothing."""
+    return clean(view(spark, sf, "dirty_meter"), row_col=R, dataset_id="meter")
+
+
+@query(
+    "clean_loop_report",
+    f"""{_METER}
+    SELECT 'meter' AS dataset_id, (SELECT count(*) FROM dirty_meter) AS total_rows, 2 AS total_columns, (SELECT count(*) FROM findings) AS issues_detected,
+           count(*) AS issues_fixed, count(*) FILTER (WHERE confidence < 0.7) AS issues_skipped, round(avg(confidence), 4) AS overall_confidence,
+           (SELECT string_agg(kind || ':' || n, ',' ORDER BY kind) FROM (SELECT kind, count(*) AS n FROM logged GROUP BY kind)) AS fix_breakdown,
+           CASE WHEN (SELECT drifted FROM verdict) THEN 3 ELSE 1 END AS iterations, NOT (SELECT drifted FROM verdict) AS validation_passed,
+           count(*) AS total_fixes, (SELECT greatest(1, (count(*) + 49999) // 50000) FROM dirty_meter) AS chunks_processed FROM logged""",
+)
+def _loop_report(spark, sf):
+    report = _meter_run(spark, sf).report.drop("duration_seconds", "data_quality_score_before")
+    entries = F.transform(F.array_sort(F.map_entries("fix_breakdown")), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")))
+    return report.withColumn("fix_breakdown", F.array_join(entries, ","))
+
+
+@query(
+    "clean_loop_table",
+    f"""{_METER} SELECT row_no AS row_id, max(v) FILTER (WHERE col = 'reading') AS reading, max(v) FILTER (WHERE col = 'kind') AS kind FROM twice GROUP BY row_no""",
+)
+def _loop_table(spark, sf):
+    return _meter_run(spark, sf).cleaned.withColumnRenamed(rows.ROW, "row_id")
+
+
+@query(
+    "clean_loop_actions",
+    f"""{_METER} SELECT row_no AS "row", col AS "column", v AS old_value, new_value, rule, cast(confidence AS double) AS confidence, kind AS issue_type FROM logged""",
+)
+def _loop_actions(spark, sf):
+    return _action_cols(_meter_run(spark, sf).actions)

@@ -69,6 +69,16 @@ VIEWS: dict[str, str] = {
                CASE WHEN o_orderkey % 6 = 1 THEN concat(cast(o_orderkey AS string), ' | JOHN | Smith | ',
                     cast(cast(o_orderdate AS date) AS string), ' | $', {MONEY.format('o_totalprice')}) ELSE '' END
         FROM orders""",
+    "dirty_meter": f"""
+        SELECT event_id AS row_no,
+               CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 40 = 1 THEN concat('  $', {MONEY.format('value')})
+                    WHEN event_id % 40 = 2 THEN concat({MONEY.format('value')}, '  %') ELSE {MONEY.format('value')} END AS reading,
+               CASE WHEN event_id % 50 = 7 THEN ' ' ELSE event_type END AS kind
+        FROM events""",
+    "event_clock": """
+        SELECT event_id AS row_no, cast(unix_micros AS string) AS micros, cast(unix_micros % 1000003 AS string) AS rest,
+               CASE WHEN event_id % 2 = 0 THEN 'none' ELSE NULL END AS nothing
+        FROM (SELECT event_id, {MICROS} AS unix_micros FROM events) e""",
     "drift_before": f"SELECT event_id AS row_no, {MONEY.format('value')} AS value FROM events",
     "drift_after": f"""
         SELECT event_id AS row_no, CASE WHEN event_id % 10 = 0 THEN {MONEY.format('value * 10')} ELSE {MONEY.format('value')} END AS value
@@ -92,9 +102,11 @@ VIEWS: dict[str, str] = {
 BASES = {
     "customer_text": ["customer"], "events_text": ["events"], "lineitem_text": ["lineitem"], "dirty_customer": ["customer"],
     "dirty_contacts": ["customer"], "dirty_periods": ["orders"], "squeezed_orders": ["orders"], "drift_before": ["events"],
-    "drift_after": ["events"], "applied_fixes": ["customer"], "truth_fixes": ["customer"], "part_typos": ["part"],
+    "drift_after": ["events"], "dirty_meter": ["events"], "event_clock": ["events"], "applied_fixes": ["customer"], "truth_fixes": ["customer"], "part_typos": ["part"],
 }
 COLUMNS = {
+    "dirty_meter": ["reading", "kind"],
+    "event_clock": ["micros", "rest", "nothing"],
     "customer_text": ["id", "name", "nation", "balance", "segment"],
     "events_text": ["day", "user_id", "event_type", "value"],
     "lineitem_text": [
@@ -112,7 +124,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived input as a DataFrame; nothing is registered in the catalog."""
-    sql = VIEWS[name]
+    sql = VIEWS[name].replace("{MICROS}", "unix_micros(cast(ts AS timestamp))")
     for base in BASES[name]:
         sql = sql.replace(f"FROM {base}", f"FROM {{{base}}}")
     return spark.sql(sql, **{base: table(spark, sf_dir, base) for base in BASES[name]})
@@ -120,7 +132,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_views(*names: str) -> str:
     """The same inputs as a WITH clause."""
-    return "WITH " + ", ".join(f"{n} AS ({VIEWS[n]})" for n in names)
+    return "WITH " + ", ".join(f"{n} AS ({VIEWS[n].replace('{MICROS}', 'epoch_us(CAST(ts AS TIMESTAMP))')})" for n in names)
 
 
 def cells_sql(name: str, columns: list[str] | None = None, row: bool = True) -> str:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellwright.operators.anomalies import detect, domain_violations, iqr_outliers, missing_required, zscore_outliers
-from cellwright.operators.counts import cell_counts, exact_quantiles, grid_bucket, numbers
+from cellwright.operators.counts import cell_counts, exact_quantiles, numbers, order_image
 from cellwright.operators.profile import column_info, duplicate_count, duplicate_rows, null_cells, profile, quality_score, value_counts
 from cellwright.operators.rows import carry_forward, with_row_index
 from cellwright.operators.schema import facts_of, infer_schema
@@ -97,9 +97,59 @@ def test_quantiles_are_exact_on_odd_values(spark):
             pos = (len(xs) - 1) * p
             lo, hi = xs[int(pos)], xs[min(int(pos) + 1, len(xs) - 1)]
             assert got[g][name] == pytest.approx(lo + (hi - lo) * (pos - int(pos)), rel=1e-12)
-    xs = sorted(groups["wide"])
-    ks = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").coalesce(1).select(grid_bucket(F.col("x"))).collect()]
-    assert ks == sorted(ks)
+
+
+def test_order_image_is_one_to_one(spark):
+    """The image of a double is its bits, negated below zero."""
+    import struct
+
+    rng = random.Random(8)
+    xs = [0.0, 5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, float("inf"), 1.0, 0.1, 3.0, 2.0**53 + 2, 1.6e15 + 1]
+    xs += [2.0**k for k in range(-1074, 1024, 7)] + [2.0**k * (1 - 2**-53) for k in range(-1000, 1024, 9)] + [10 ** rng.uniform(-310, 308) for _ in range(3000)]
+    xs += [-x for x in xs]
+    bits = [struct.unpack("<q", struct.pack("<d", abs(x)))[0] * (-1 if x < 0 else 1) for x in xs]
+    got = spark.createDataFrame(list(enumerate(xs)), "i int, x double").select("i", order_image(F.col("x"))).collect()
+    assert [r[1] for r in sorted(got)] == bits
+
+
+def test_close_numbers_do_not_gather(spark, monkeypatch):
+    """A million times of day in microseconds: quantiles and drift are right, and no group of a digit is larger than a digit."""
+    from cellwright.operators import counts, drift
+
+    start = 1_700_000_000_000_000
+    nums = spark.range(300_000).select(F.lit("ts").alias("column"), (F.lit(start) + F.col("id") * 7).cast("double").alias("x"), F.lit(1).cast("bigint").alias("n"))
+    assert exact_quantiles(nums, {"q": 0.25, "m": 0.5}).first()[1:] == (start + 7 * 74999.75, start + 7 * 149999.5)
+    image = counts.order_image(F.col("x"))
+    for level in range(1, counts.LEVELS + 1):
+        above = counts.digits(image, level - 1) if level > 1 else F.lit(0)
+        assert nums.withColumn("above", above).groupBy("above").agg(F.countDistinct(counts.digits(image, level)).alias("n")).agg(F.max("n")).first()[0] <= 1 << counts.DIGIT
+    texts = nums.select("column", F.format_string("%.0f", "x").alias("value"), "n")
+    later = texts.where("value >= '1700000000600000'")
+    d = drift.ks_statistics(texts, later).first()
+    assert (d["n_before"], d["n_after"]) == (300_000, 300_000 - 85_715) and d["d"] == pytest.approx(85_715 / 300_000)
+
+
+def test_exact_p_value_follows_the_band():
+    """Against the count of all lattice paths, and in time for sizes whose product is large."""
+    from itertools import combinations
+
+    from cellwright.operators.drift import ks_p_value
+
+    for n, m in ((3, 3), (4, 6), (5, 3), (2, 7)):
+        gaps = []
+        for up in combinations(range(n + m), n):
+            i = j = 0
+            worst = 0.0
+            for step in range(n + m):
+                i, j = (i + 1, j) if step in up else (i, j + 1)
+                worst = max(worst, abs(i * m - j * n))
+            gaps.append(worst)
+        for reach in sorted(set(gaps)):
+            assert ks_p_value(reach / (n * m), n, m, "exact") == pytest.approx(sum(g >= reach for g in gaps) / len(gaps))
+    # wide bands hold counts of very different sizes
+    assert max(ks_p_value(0.165, n, 10_000, "exact") for n in (6334, 9999, 10_000)) < 1e-9
+    assert ks_p_value(0.05, 6334, 10_000, "exact") == pytest.approx(ks_p_value(0.05, 6334, 10_000, "series"), rel=0.02)
+    assert ks_p_value(0.02, 9_000, 10_000, "exact") == pytest.approx(ks_p_value(0.02, 9_000, 10_000, "series"), abs=2e-4)
 
 
 def test_row_index_is_dense_under_a_hot_key(spark):

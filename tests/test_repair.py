@@ -224,3 +224,15 @@ def test_patterns_use_one_dialect(spark, table):
 
     hits = match_patterns(spark.createDataFrame([("code", "٣٤"), ("code", "77x"), ("code", "5")], "column string, value string"), patterns, ["code"])
     assert {r["value"] for r in hits.collect()} == {"٣٤", "5"}
+
+
+def test_patterns_of_any_spelling(spark):
+    r"""Names with underscores, back references and \Z work, what the dialect can't compile is skipped, and nothing fails the job."""
+    from cellwright.operators.patterns import PATTERN_SCHEMA, match_patterns
+
+    spelled = [r"(?P<a_b>x)\d", r"(?P<_c>y+)-(?P=_c)\Z", r"(?P<ab>q)(?P<a_b>r)", r"(open", r"[", r"z{,3}w", r"(?(1)a|b)", r"v\\Z", r"é+\Z"]
+    patterns = spark.createDataFrame([(i, ".*", p, "{value}.upper()", "generic", 0, 0) for i, p in enumerate(spelled)], PATTERN_SCHEMA)
+    patterns = patterns.union(spark.createDataFrame([(90, "c(", "x", "no", "generic", 9, 0)], PATTERN_SCHEMA))
+    texts = ["x1", "yy-yy", "yy-yyy", "qr", "open", "zzw", "a", "v\\Z", "ÉÉ"]
+    got = match_patterns(spark.createDataFrame([("col", t) for t in texts], "column string, value string"), patterns, ["col"])
+    assert {r.value: r.pattern_id for r in got.collect()} == {"x1": 0, "yy-yy": 1, "qr": 2, "v\\Z": 7, "ÉÉ": 8}
