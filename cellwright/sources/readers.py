@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import as_text
 from ..operators.rows import ROW, col, with_file_row_index
+from ..session import cut
+from . import delimited
+from .delimited import FILE
 
-FILE = "_source_file"
 EXTENSIONS = (".csv", ".tsv", ".parquet")  # fixed values
 
 
@@ -19,13 +21,15 @@ def extension(path: str) -> str:
 
 
 def load_file(
-    spark: SparkSession, path: str, *, sep: str | None = None, encoding: str | None = None, multi_line: bool = False,
+    spark: SparkSession, path: str, *, sep: str | None = None, encoding: str | None = None, multi_line: bool | None = None,
     row_index: bool = False, **options
 ) -> DataFrame:
     """CSV, TSV or Parquet as text. Blank cells of a text file are ``""``, never NULL.
 
-    Without ``encoding`` each file is UTF-8 if all its bytes are, else Latin-1. ``multi_line`` allows line feeds in quoted cells;
-    a file is then read by one task. ``row_index`` adds the row number in file order, as ``_row``.
+    Without ``encoding`` each file is UTF-8 if all its bytes are, else Latin-1. Quoted cells may hold line feeds: one scan tells
+    whether any does, and then records are put together across lines and file ranges, in many tasks. ``multi_line=False`` takes
+    every line for a record. With an ``encoding``, ``multi_line=True`` reads a file in one task. ``row_index`` adds the row
+    number in file order, as ``_row``.
     """
     ext = extension(path)
     if ext not in EXTENSIONS:
@@ -44,7 +48,7 @@ def load_file(
 def _load_delimited(spark, path, sep, encoding, multi_line, row_index, options) -> DataFrame:
     def read(charset: str) -> DataFrame:
         return (
-            spark.read.option("header", True).option("inferSchema", False).option("multiLine", multi_line)
+            spark.read.option("header", True).option("inferSchema", False).option("multiLine", bool(multi_line))
             .option("quote", '"').option("escape", '"').option("sep", sep).option("encoding", charset)
             .options(**options).csv(path)
         )
@@ -53,22 +57,24 @@ def _load_delimited(spark, path, sep, encoding, multi_line, row_index, options)
         df = read(encoding)
         columns = [F.coalesce(col(c), F.lit("")).alias(c) for c in df.columns]
         return with_file_row_index(df).select(ROW, *columns) if row_index else df.select(*columns)
+    # one scan decides: the encoding of each file, and whether a quoted cell goes over a line's end
+    lines = delimited.text_lines(spark, path)
+    facts = cut(delimited.file_facts(lines, sep), "files")
+    latin_files, spanning = facts.agg(F.count_if(~F.col("utf8")), F.count_if("spans")).first()
+    if spanning and multi_line is not False:
+        return delimited.read_records(lines, facts, sep, row_index, options)
     # Latin-1 keeps every byte, so each file's bytes can still be read as UTF-8 where all of them are valid
     df = read("ISO-8859-1")
     names = [_header(c) for c in df.columns]
     utf8 = {c: F.encode(F.coalesce(col(c), F.lit("")), "ISO-8859-1").cast("string") for c in df.columns}
-    valid = F.lit(True)
-    for c in df.columns:
-        valid = valid & F.is_valid_utf8(utf8[c])
     placed = df.select("*", F.col("_metadata.file_path").alias(FILE))
     number = [ROW] if row_index else []
     if row_index:
         placed = with_file_row_index(placed)
-    broken = placed.groupBy(FILE).agg(F.bool_and(valid).alias("valid")).where("not valid").select(F.col(FILE).alias("_latin_file"))
-    if broken.isEmpty():
+    if not latin_files:
         return placed.select(*number, *[utf8[c].alias(n) for c, n in zip(df.columns, names, strict=True)])
     # one row per file that isn't UTF-8
-    known = placed.join(broken, F.col(FILE) == F.col("_latin_file"), "left")
+    known = placed.join(facts.where("not utf8").select(F.col(FILE).alias("_latin_file")), F.col(FILE) == F.col("_latin_file"), "left")
     latin = F.col("_latin_file").isNotNull()
     return known.select(
         *number,

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def save_csv(df: DataFrame, path: str) -> str:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """CSV that reads back as it was: quotes doubled, white space at the ends of cells kept."""
+    writer = df.write.mode("overwrite").option("header", True).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return path
 
 

@@ -137,3 +137,46 @@ def test_fuzzy_finds_all_a_nested_loop_finds(spark, metric, threshold):
     assert {r["value"]: r["canonical"] for r in mapping.collect()} == want
     applied = {r["t"] for r in apply_canonical(vd, "t", mapping).collect()}
     assert applied == {want.get(v, v) for v in values}
+
+
+def odd_table(seed, n):
+    rng = random.Random(seed)
+    cells = ["", "plain", "two\nlines", 'say ""x""', "a,b", "\n", "ends\n", '"', "é", " blank ", "x" * 50, 'odd " one', "\n\n,\n"]
+    return [[str(i), *[rng.choice(cells) for _ in range(3)]] for i in range(n)]
+
+
+@pytest.mark.parametrize("ending", ["\n", "\r\n"])
+def test_quoted_line_feeds_in_many_tasks(spark, tmp_path, ending):
+    """A file cut into ranges of 700 bytes, in the middle of cells, gives the rows that one task reads."""
+    import csv
+
+    rows, path = odd_table(len(ending), 400), str(tmp_path / "odd.csv")
+    with open(path, "w", newline="") as f:
+        csv.writer(f, lineterminator=ending).writerows([["id", "a", "b\nb", "a"], *rows])
+    was = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in was:
+            spark.conf.set(k, "700")
+        df = load_file(spark, path, row_index=True)
+        got = sorted(map(tuple, df.collect()))
+        assert spark.read.text(path).rdd.getNumPartitions() > 20
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert df.columns == ["_row", "id", "a1", "b\nb", "a3"]
+    assert got == [(i, *r) for i, r in enumerate(rows)]
+
+
+def test_stray_quotes_open_no_cell(spark, tmp_path):
+    p = tmp_path / "stray.csv"
+    p.write_text('a,b\n5" pipe,1\nx"y"z,2\n"in\nside",3\n7" rod,4\n')
+    assert sorted(map(tuple, load_file(spark, str(p)).collect())) == sorted([('5" pipe', "1"), ('x"y"z', "2"), ("in\nside", "3"), ('7" rod', "4")])
+    assert load_file(spark, str(p), multi_line=False).count() == 5
+
+
+def test_line_feeds_in_latin_files_beside_others(spark, tmp_path):
+    folder = tmp_path / "both.csv"
+    folder.mkdir()
+    (folder / "1.csv").write_bytes('n,m\n"José\nA",1\n'.encode("latin-1"))
+    (folder / "2.csv").write_bytes('n,m\nZoë,2\n"Zoë\n\nB",3\n'.encode())
+    assert [tuple(r) for r in load_file(spark, str(folder), row_index=True).orderBy("_row").collect()] == [(0, "José\nA", "1"), (1, "Zoë", "2"), (2, "Zoë\n\nB", "3")]
