@@ -15,6 +15,8 @@ class CleanConfig:
     iqr_multiplier: float = 1.5
     fuzzy_threshold: float = 0.9
     drift_alpha: float = 0.01
+    rare_max_values: int | None = 50
+    """A column with more rare values than this has none reported; None sets no limit and finds them by a join."""
 
     strict_nulls: bool = False
     """Leave NULL and the text ``None`` unimputed; only blank text is filled."""

@@ -51,6 +51,9 @@ def outlier_test(value: Column, f: ColumnFacts, config: CleanConfig) -> Column |
 
 
 def rare_test(value: Column, f: ColumnFacts) -> Column | None:
+    if f.rare_column:
+        times = col(f.rare_column)
+        return F.when(times.isNotNull(), finding(f.column, value, "rare_category", "info", F.format_string("Value '%s' appears only %d time(s)", value, times)))
     if not f.rare:
         return None
     table = F.create_map(*[F.lit(p) for kv in f.rare.items() for p in kv])

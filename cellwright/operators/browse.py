@@ -43,6 +43,15 @@ def filter_actions(actions: DataFrame, method: str | None = None) -> DataFrame:
     return actions.where(F.col("rule").startswith(method)) if method else actions
 
 
+def listing(log: DataFrame, order_by: list[str], number: int = 1, size: int = 100) -> tuple[DataFrame, DataFrame]:
+    """One page of a log in a given order, and ``page_info`` with the count of the whole log.
+
+    The page is a top-k of the rows up to its end, never a full sort.
+    """
+    number, size = max(1, number), max(1, size)
+    return log.orderBy(*order_by).offset((number - 1) * size).limit(size), page_info(log, number, size)
+
+
 def search_sort(
     df: DataFrame,
     query: str = "",

@@ -9,12 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import CleanConfig
 from ..functions.rules import FIX, chained_format_fix, fill_median, fill_mode, fill_unknown, format_fix
 from ..functions.text import is_blank
 from .anomalies import FINDING, format_test, missing_test, outlier_test, rare_test, type_test
+from .counts import cell_counts
 from .patterns import match_patterns
 from .rows import HELPERS, ROW, all_cells, check_names, col, data_columns
 from .schema import ColumnFacts
@@ -264,15 +265,24 @@ def normalize_all(df: DataFrame, columns: list[str] | None = None, row_col: str
 
 
 def repair_context(
-    issues: DataFrame, df: DataFrame, facts: dict[str, ColumnFacts], samples: int = 15, head: int = 50, row_col: str = ROW
+    issues: DataFrame, df: DataFrame, facts: dict[str, ColumnFacts], samples: int = 15, head: int | None = None, row_col: str = ROW,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
-    """What a reviewer or model needs per open issue: type, samples of the column, rest of the row."""
+    """What a reviewer or model needs per open issue: type, samples of the column, rest of the row.
+
+    Samples are the ``samples`` distinct values of a column with the smallest hashes, out of the whole table's value counts (given or
+    made here): a bottom-k, cut in every task before the columns meet. With ``head`` they are the first values by spelling
+    in the first ``head`` rows.
+    """
     cols = data_columns(df, row_col)
-    early = all_cells(df.where(col(row_col) < head), cols)
-    # at most ``head`` values per column
-    texts = early.where("value is not null and value != ''").groupBy("column").agg(
-        F.slice(F.array_sort(F.collect_set("value")), 1, samples).alias("sample_values")
-    )
+    if head is None:
+        values, order = cell_counts(df, cols, row_col) if counts is None else counts, F.md5("value")
+    else:
+        values, order = all_cells(df.where(col(row_col) < head), cols).select("column", "value").distinct(), F.col("value")
+    filled = values.where("value is not null and value != ''").withColumn("_order", order)
+    picked = filled.withColumn("_rank", F.row_number().over(Window.partitionBy("column").orderBy("_order", "value"))).where(F.col("_rank") <= samples)
+    # at most ``samples`` values per column
+    texts = picked.groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("sample_values"))
     spark = df.sparkSession
     known = spark.createDataFrame(
         [(c, f.dtype, f.format_pattern) for c, f in facts.items()],

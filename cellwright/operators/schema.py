@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -10,7 +10,7 @@ from ..config import CleanConfig
 from ..functions.text import FORMAT_PATTERNS, is_blank, is_profile_null, looks_numeric, plain_text
 from ..session import cut
 from .counts import cell_counts, numeric_summary
-from .rows import ROW, data_columns
+from .rows import ROW, check_names, col, data_columns
 
 # The share of values a type or format must exceed, in order of precedence.
 NUMERIC_SHARE = 0.8
@@ -166,7 +166,7 @@ def format_pattern(types: DataFrame) -> DataFrame:
 
 @dataclass
 class ColumnFacts:
-    """What is known about one column. A few scalars, and at most 50 rare values."""
+    """What is known about one column: a few scalars, and its rare values, or the column of the table that counts them."""
 
     column: str
     dtype: str = "string"
@@ -182,6 +182,7 @@ class ColumnFacts:
     q3: float | None = None
     mode: str | None = None
     rare: dict[str, int] = field(default_factory=dict)
+    rare_column: str | None = None
 
     @property
     def is_number(self) -> bool:
@@ -199,8 +200,8 @@ RARE_SHARE = 0.01
 RARE_MAX_VALUES = 50
 
 
-def rare_values(counts: DataFrame, types: DataFrame) -> DataFrame:
-    """``(column, value, n)`` of rare categories: at most 50 rows per column."""
+def rare_values(counts: DataFrame, types: DataFrame, most: int | None = RARE_MAX_VALUES) -> DataFrame:
+    """``(column, value, n)`` of rare categories. Columns with more than ``most`` of them have none; None keeps them all."""
     cut_off = F.greatest(F.lit(1), F.floor(F.col("present_n") * F.lit(RARE_SHARE)))
     eligible = types.where(
         (F.col("present_n") >= RARE_MIN_CELLS)
@@ -210,10 +211,30 @@ def rare_values(counts: DataFrame, types: DataFrame) -> DataFrame:
     low = counts.join(F.broadcast(eligible), "column").where(
         ~is_profile_null(F.col("value")) & (F.col("n") <= F.col("cut_off"))
     )
-    few = low.groupBy("column").count().where(F.col("count") <= RARE_MAX_VALUES).select("column")
+    if most is None:
+        return low.select("column", "value", "n")
+    few = low.groupBy("column").count().where(F.col("count") <= most).select("column")
     return low.join(F.broadcast(few), "column").select("column", "value", "n")
 
 
+def with_rare_counts(df: DataFrame, facts: dict[str, ColumnFacts], counts: DataFrame, types: DataFrame) -> tuple[DataFrame, dict[str, ColumnFacts]]:
+    """The table with a helper column for each column that has rare values: how often the row's value occurs, if it is rare.
+
+    For ``rare_max_values=None``: any number of rare values meets the rows in a join by value, and none reaches the driver. A rare
+    value holds a hundredth of a column's cells at most, so no key of the join is hot.
+    """
+    rare = cut(rare_values(counts, types, None), "rare")
+    marked, known = df, dict(facts)
+    # a name per column
+    for i, name in enumerate(sorted(r["column"] for r in rare.select("column").distinct().collect() if r["column"] in facts)):
+        helper, key = f"_rare_{i}", f"_rare_value_{i}"
+        check_names(df.columns, (helper, key))
+        part = rare.where(F.col("column") == name).select(F.col("value").alias(key), F.col("n").alias(helper))
+        marked = marked.join(part, col(name) == F.col(key), "left").drop(key)
+        known[name] = replace(facts[name], rare={}, rare_column=helper)
+    return marked, known
+
+
 def collect_facts(
     counts: DataFrame,
     config: CleanConfig = CleanConfig(),
@@ -221,7 +242,7 @@ def collect_facts(
     types: DataFrame | None = None,
     summary: DataFrame | None = None,
 ) -> dict[str, ColumnFacts]:
-    """Bring the facts to the driver: one row per column plus at most 50 rare values each.
+    """Bring the facts to the driver: one row per column, plus at most ``config.rare_max_values`` rare values each (none if that is None).
 
     ``types`` and ``summary`` are the counts' ``type_counts`` and ``numeric_summary`` where they exist already.
     """
@@ -242,12 +263,24 @@ def collect_facts(
             r["column"], r["dtype"], r["format_pattern"], r["total"], r["present_n"], r["present_distinct"],
             r["numeric_count"] or 0, r["mean"], r["std_pop"], r["q1"], r["median"], r["q3"], r["mode"],
         )
-    if with_rare:
-        for r in rare_values(counts, types).orderBy("column", F.desc("n"), "value").collect():
+    if with_rare and config.rare_max_values is not None:
+        for r in rare_values(counts, types, config.rare_max_values).orderBy("column", F.desc("n"), "value").collect():
             facts[r["column"]].rare[r["value"]] = r["n"]
     return facts
 
 
+def facts_with_rare(
+    df: DataFrame, columns: list[str] | None = None, config: CleanConfig = CleanConfig(), row_col: str = ROW
+) -> tuple[DataFrame, dict[str, ColumnFacts]]:
+    """The table and its facts, with the helper columns of ``with_rare_counts`` where ``config`` sets no limit of rare values."""
+    columns = columns or data_columns(df, row_col)
+    counts = cut(cell_counts(df, columns, row_col), "counts")
+    types = cut(type_counts(counts), "types")
+    facts = collect_facts(counts, config, types=types)
+    facts = {c: facts.get(c, ColumnFacts(c, "empty")) for c in columns}
+    return with_rare_counts(df, facts, counts, types) if config.rare_max_values is None else (df, facts)
+
+
 def facts_of(
     df: DataFrame, columns: list[str] | None = None, config: CleanConfig = CleanConfig(), row_col: str = ROW
 ) -> dict[str, ColumnFacts]:

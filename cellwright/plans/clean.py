@@ -18,7 +18,7 @@ from ..operators.profile import profile, quality_score
 from ..operators.reconstruct import RECORD_CONFIDENCE, RecordSpec, reconstruct
 from ..operators.repair import external_log, repair
 from ..operators.rows import HELPERS, ROW, check_names, col, data_columns, quoted, with_chunk_id, with_row_index
-from ..operators.schema import ColumnFacts, collect_facts, schema_issues, schema_report, type_counts
+from ..operators.schema import ColumnFacts, collect_facts, schema_issues, schema_report, type_counts, with_rare_counts
 from ..operators.validate import validate
 from ..session import cut
 
@@ -103,7 +103,7 @@ def clean(
 
     ``row_col`` names a dense row number the table already has; otherwise rows are numbered in the
     order of ``order_by``. Per table and pass only column facts and a verdict reach the driver: one
-    row per column, and up to 50 rare values each.
+    row per column, and up to ``config.rare_max_values`` rare values each.
     """
     start, stages = time.time(), _Stages()
     dataset_id = dataset_id or uuid4().hex[:8]
@@ -131,15 +131,18 @@ def clean(
     before = quality_score(profiles).first()["quality_score"]
     stages.done("data_profiling", profile_columns=len(columns), data_quality_score=before)
 
+    marked = raw
+    if config.rare_max_values is None:
+        marked, facts = with_rare_counts(raw, facts, counts, types)
     # read twice: counted here and handed to the caller
-    anomalies = cut(detect(raw, facts, config), "anomalies")
+    anomalies = cut(detect(marked, facts, config), "anomalies")
     found = anomalies.count()
     stages.done("anomaly_detection", anomaly_count=found)
 
     # each pass carries the first text along, because findings are made on it
     first = {c: f"_first_{i}" for i, c in enumerate(columns)}
     check_names(columns, tuple(first.values()))
-    current = raw.select("*", *[col(c).alias(first[c]) for c in columns])
+    current = marked.select("*", *[col(c).alias(first[c]) for c in columns])
     logs: list[DataFrame] = []
     changed: set[str] = set()
     now, pass_facts, passed, errors, done = counts, facts, False, None, 0

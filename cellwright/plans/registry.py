@@ -6,6 +6,7 @@ Queries read the given tables whole, directly or through the derived dirty views
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -15,7 +16,8 @@ from ..functions.text import DOMAIN_PATTERNS, FORMAT_PATTERNS, matches
 from ..operators import anomalies as an, browse, drift, evaluate as ev, fuzzy, patterns as pt, profile as pr
 from ..operators import reconstruct as rc, repair as rp, rows, schema as sc, scoring, validate as va
 from ..operators.counts import cell_counts, counts_after
-from ..session import cut
+from ..session import cut, shared_dir
+from ..sources import readers, writers
 from .clean import clean
 from .views import COLUMNS, cells_sql, table, view, with_views
 
@@ -773,7 +775,7 @@ def _context(spark, sf):
     v = view(spark, sf, "dirty_customer")
     facts = sc.facts_of(v, COLUMNS["dirty_customer"], row_col=R)
     issues = rp.repair(v, facts, row_col=R).unresolved
-    out = rp.repair_context(issues, v, facts, row_col=R)
+    out = rp.repair_context(issues, v, facts, head=50, row_col=R)
     return out.withColumn("sample_values", F.array_join("sample_values", "|")).drop("other_columns")
 
 
@@ -1305,3 +1307,123 @@ def _loop_table(spark, sf):
 )
 def _loop_actions(spark, sf):
     return _action_cols(_meter_run(spark, sf).actions)
+
+
+_MANY_RARE = f"""{with_views('event_users')}, cells AS ({cells_sql('event_users')}),
+    freq AS (SELECT col, v, count(*) AS n FROM cells WHERE {PRESENT} GROUP BY col, v),
+    sizes AS (SELECT col, sum(n) AS present, count(*) AS kinds FROM freq GROUP BY col),
+    low AS (SELECT freq.* FROM freq JOIN sizes USING (col) WHERE present >= 20 AND kinds / present <= 0.5 AND n <= greatest(1, floor(present * 0.01)))"""
+
+
+@query(
+    "rare_categories_all",
+    f"""{_MANY_RARE} SELECT row_no AS "row", cells.col AS "column", cells.v AS value, 'rare_category' AS anomaly_type, 'info' AS severity,
+    concat('Value ''', cells.v, ''' appears only ', n, ' time(s)') AS details FROM cells JOIN low ON low.col = cells.col AND low.v = cells.v""",
+)
+def _rare_all(spark, sf):
+    """Columns with hundreds of rare values, without the limit of fifty."""
+    config = CleanConfig(rare_max_values=None)
+    marked, facts = sc.facts_with_rare(view(spark, sf, "event_users"), COLUMNS["event_users"], config, R)
+    return an.detect(marked, facts, config, R).where("anomaly_type = 'rare_category'")
+
+
+_OTHERS = {c: ", ".join(f"'{o}', d.{o}" for o in COLUMNS["dirty_customer"] if o != c) for c in COLUMNS["dirty_customer"]}
+
+
+@query(
+    "repair_context_whole",
+    f"""{_actions_cte('dirty_customer')},
+    picked AS (SELECT col, v FROM (SELECT DISTINCT col, v FROM cells WHERE v IS NOT NULL AND v <> '') QUALIFY row_number() OVER (PARTITION BY col ORDER BY md5(v), v) <= 15),
+    samples AS (SELECT col, string_agg(v, '|' ORDER BY v) AS s FROM picked GROUP BY col)
+    SELECT f.row_no AS "row", f.col AS "column", f.v AS value, dtype, coalesce(fmt, 'none') AS format_pattern, s AS sample_values,
+           CASE f.col {' '.join(f"WHEN '{c}' THEN CAST(json_object({o}) AS VARCHAR)" for c, o in _OTHERS.items())} END AS other_columns
+    FROM fixes f JOIN schema_of ON schema_of.col = f.col JOIN dirty_customer d ON d.row_no = f.row_no LEFT JOIN samples ON samples.col = f.col WHERE rule IS NULL""",
+)
+def _context_whole(spark, sf):
+    v = view(spark, sf, "dirty_customer")
+    facts = sc.facts_of(v, COLUMNS["dirty_customer"], row_col=R)
+    out = rp.repair_context(rp.repair(v, facts, row_col=R).unresolved, v, facts, row_col=R)
+    return out.withColumn("sample_values", F.array_join("sample_values", "|"))
+
+
+_EXTERNAL = """SELECT row_no AS "row", col AS "column", 'ext' AS model, v AS old_value, new_value, cast(confidence AS double) AS confidence,
+    'source system' AS reasoning, kind AS issue_type FROM proposed"""
+
+
+@query("external_log", f"{_PROPOSED} {_EXTERNAL}")
+def _external_fixes(spark, sf):
+    return rp.external_log(_repaired(spark, sf, proposals=_proposals(spark, sf)).actions).drop("structured_output")
+
+
+@query(
+    "external_log_page",
+    f"""{_PROPOSED}, listed AS ({_EXTERNAL}) SELECT listed.*, (SELECT count(*) FROM listed) AS count FROM listed ORDER BY "row", "column" LIMIT 5 OFFSET 5""",
+)
+def _external_page(spark, sf):
+    """The second page of the log of outside fixes, beside the count of all."""
+    log = cut(rp.external_log(_repaired(spark, sf, proposals=_proposals(spark, sf)).actions).drop("structured_output"), "log")
+    listed, info = browse.listing(log, ["row", "column"], 2, 5)
+    return listed.withColumn("count", F.lit(info.first()["total_rows"]))
+
+
+# ---- sources and sinks: written, read again, compared with the table ----------------------
+
+
+def _written(spark, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/cellwright/{name}-{uuid4().hex}"
+
+
+@query(
+    "read_back",
+    "SELECT CAST(doc_id AS VARCHAR) AS doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, md5(coalesce(text, '')) AS text_md5 FROM documents",
+)
+def _read_back(spark, sf):
+    """Documents as CSV and back: their texts hold line feeds, quotes and separators in quoted cells."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    df = readers.load(spark, writers.save_csv(docs, _written(spark, "documents") + ".csv"))
+    return df.select("doc_id", "lang", "source", F.md5("text").alias("text_md5"))
+
+
+@query("read_back_tsv", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment FROM customer")
+def _read_back_tsv(spark, sf):
+    path = _written(spark, "customer") + ".tsv"
+    table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment").write.option("header", True).option("sep", "\t").csv(path)
+    return readers.load(spark, path)
+
+
+@query("read_back_latin", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang FROM documents WHERE lang IN ('fr', 'de', 'es')")
+def _read_back_latin(spark, sf):
+    """A file that isn't UTF-8: each language's name stands beside a letter of Latin-1, which has to come back."""
+    docs = table(spark, sf, "documents").where("lang in ('fr', 'de', 'es')").select("doc_id", F.concat("lang", F.lit("é")).alias("lang"))
+    path = _written(spark, "latin") + ".csv"
+    docs.write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    return readers.load(spark, path).where(F.col("lang").endswith("é")).select("doc_id", F.regexp_replace("lang", "é$", "").alias("lang"))
+
+
+@query("read_back_parquet", "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS o_orderdate FROM orders")
+def _read_back_parquet(spark, sf):
+    path = _written(spark, "orders") + ".parquet"
+    table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", F.col("o_orderdate").cast("date").alias("o_orderdate")).write.parquet(path)
+    return readers.load(spark, path)
+
+
+@query("read_back_query", "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name FROM nation WHERE n_regionkey = 1")
+def _read_back_query(spark, sf):
+    """A query over the catalog as a source."""
+    table(spark, sf, "nation").createOrReplaceTempView("cellwright_nation")
+    return readers.load_sql(spark, "SELECT n_nationkey, n_name FROM cellwright_nation WHERE n_regionkey = 1")
+
+
+@query(
+    "audit_export",
+    f"""{_actions_cte('dirty_customer')} SELECT row_no AS "row", col AS "column", v AS old_value, new_value, 2 * count(*) AS n FROM actions GROUP BY ALL""",
+)
+def _audit_export(spark, sf):
+    """The audit log, appended twice as JSON lines, exported and read again."""
+    path, out = _written(spark, "audit"), _written(spark, "export")
+    log = cut(_action_cols(_repaired(spark, sf).actions), "log")
+    for _ in range(2):
+        writers.append_audit(log, path)
+    writers.export_audit(spark.read.schema(log.schema).json(path), out)
+    back = spark.read.schema(log.schema).json(out)
+    return back.groupBy("row", "column", "old_value", "new_value").agg(F.count("*").alias("n"))

@@ -79,6 +79,9 @@ VIEWS: dict[str, str] = {
         SELECT event_id AS row_no, cast(unix_micros AS string) AS micros, cast(unix_micros % 1000003 AS string) AS rest,
                CASE WHEN event_id % 2 = 0 THEN 'none' ELSE NULL END AS nothing
         FROM (SELECT event_id, {MICROS} AS unix_micros FROM events) e""",
+    "event_users": """
+        SELECT event_id AS row_no, concat('user ', cast(user_id AS string)) AS who, concat(event_type, cast(event_id % 97 * (event_id % 89) % 400 AS string)) AS what
+        FROM events""",
     "drift_before": f"SELECT event_id AS row_no, {MONEY.format('value')} AS value FROM events",
     "drift_after": f"""
         SELECT event_id AS row_no, CASE WHEN event_id % 10 = 0 THEN {MONEY.format('value * 10')} ELSE {MONEY.format('value')} END AS value
@@ -102,10 +105,11 @@ VIEWS: dict[str, str] = {
 BASES = {
     "customer_text": ["customer"], "events_text": ["events"], "lineitem_text": ["lineitem"], "dirty_customer": ["customer"],
     "dirty_contacts": ["customer"], "dirty_periods": ["orders"], "squeezed_orders": ["orders"], "drift_before": ["events"],
-    "drift_after": ["events"], "dirty_meter": ["events"], "event_clock": ["events"], "applied_fixes": ["customer"], "truth_fixes": ["customer"], "part_typos": ["part"],
+    "drift_after": ["events"], "dirty_meter": ["events"], "event_clock": ["events"], "event_users": ["events"], "applied_fixes": ["customer"], "truth_fixes": ["customer"], "part_typos": ["part"],
 }
 COLUMNS = {
     "dirty_meter": ["reading", "kind"],
+    "event_users": ["who", "what"],
     "event_clock": ["micros", "rest", "nothing"],
     "customer_text": ["id", "name", "nation", "balance", "segment"],
     "events_text": ["day", "user_id", "event_type", "value"],
