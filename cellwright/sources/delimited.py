@@ -10,14 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..session import cut
 from ..operators.rows import ROW, with_row_index
 
-FILE, BLOCK, AT = "_source_file", "_range", "_place"
+FILE, RANGE, PLACE = "_source_file", "_range", "_place"
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """``(_source_file, _range, _place, value)``: the lines of text files as bytes, with file, range and place in the range."""
     lines = spark.read.option("lineSep", "\n").text(path)
     return lines.select(
-        F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_block_start").alias(BLOCK), F.monotonically_increasing_id().alias(AT), "value"
+        F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_block_start").alias(RANGE), F.monotonically_increasing_id().alias(PLACE), "value"
     )
 
 
@@ -67,44 +67,69 @@ def _states(rows: DataFrame, by: list[str], order: str, fixed: Column, swaps: Co
     return out.drop("_last", "_turns")
 
 
-def records(lines: DataFrame, sep: str) -> DataFrame:
-    """``(_source_file, _range, _place, record)``: lines put together where a quoted cell goes on in the next one.
-
-    What a line does to the state "inside a quoted cell" is one of four functions. Their composition is a prefix scan: within the ranges
-    of the files, then over one row a range, so that a file is read by as many tasks as it has ranges and a range learns
-    from the ranges before it whether it starts inside a cell. Only lines of records of several lines meet in a second
-    shuffle. A cell that is never closed goes on to the end of its file, in one row.
-    """
+def marked_lines(lines: DataFrame, sep: str) -> DataFrame:
+    """The lines, written once so that their places hold, with the state behind them for both states in front, and whether they are blank."""
     q, value = Quotes(sep), F.col("value")
-    steps = lines.withColumn("_c", q.after_closed(value)).withColumn("_o", q.after_open(value))
+    blank = F.trim(F.regexp_replace(value, "\r$", "")) == ""
+    return cut(lines.select("*", q.after_closed(value).alias("_c"), q.after_open(value).alias("_o"), blank.alias("_blank")), "lines")
+
+
+def _placed(marked: DataFrame) -> DataFrame:
+    """The steps of the lines within their ranges: see ``_states``."""
     fixed, swaps = F.when(F.col("_c") == F.col("_o"), F.col("_c")), F.when(F.col("_c") > F.col("_o"), 1).otherwise(0)
-    inside = cut(_states(steps, [FILE, BLOCK], AT, fixed, swaps), "lines")
-    behind = F.when(F.col("_fixed").isNotNull(), F.struct(F.lit(True).alias("known"), F.col("_fixed").cast("bigint").alias("parity"))).otherwise(
-        F.struct("known", ((F.col("parity") + F.col("_swaps")) % 2).alias("parity"))
+    return _states(marked, [FILE, RANGE], PLACE, fixed, swaps)
+
+
+def _state() -> Column:
+    return F.when(F.col("known"), F.col("parity")).otherwise((F.col("parity") + F.col("entry")) % 2)
+
+
+def range_states(marked: DataFrame) -> DataFrame:
+    """``(_source_file, _range, entry, goes_on, last, held, first)``, a row a range: the states in front of it and behind it, its last
+    record's place, the record that it starts in (NULL: none), and the place of the file's header.
+
+    What a line does to the state "inside a quoted cell" is one of four functions. Their composition is a prefix scan: within the
+    ranges, then over one row a range, so a range learns from those before it whether it starts inside a cell. Texts don't
+    take part.
+    """
+    steps = cut(_placed(marked.drop("value")), "steps")
+    fixed_end = F.struct(F.lit(True).alias("known"), F.col("_fixed").cast("bigint").alias("parity"))
+    behind = F.when(F.col("_fixed").isNotNull(), fixed_end).otherwise(F.struct("known", ((F.col("parity") + F.col("_swaps")) % 2).alias("parity")))
+    ends = steps.groupBy(FILE, RANGE).agg(F.max_by(behind, PLACE).alias("end"))
+    fixed, swaps = F.when(F.col("end.known"), F.col("end.parity")), F.when(F.col("end.known"), 0).otherwise(F.col("end.parity"))
+    ranges = _states(ends, [FILE], RANGE, fixed, swaps, F.lit(0))
+    behind_all = F.when(F.col("end.known"), F.col("end.parity")).otherwise((F.col("before") + F.col("end.parity")) % 2)
+    ranges = cut(ranges.select(FILE, RANGE, F.col("before").alias("entry"), (behind_all == 1).alias("goes_on")), "ranges")
+    opening = F.when(_state() == 0, F.col(PLACE))
+    found = steps.join(ranges.select(FILE, RANGE, "entry"), [FILE, RANGE]).groupBy(FILE, RANGE).agg(
+        F.max(opening).alias("last"), F.min(F.when(~F.col("_blank"), opening)).alias("_first")
+    )
+    earlier = Window.partitionBy(FILE).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    held = F.last(F.when(F.col("last").isNotNull(), F.struct(RANGE, F.col("last").alias(PLACE))), ignorenulls=True).over(earlier)
+    first = F.min(F.when(F.col("_first").isNotNull(), F.struct(RANGE, F.col("_first").alias(PLACE)))).over(Window.partitionBy(FILE))
+    return cut(ranges.join(found, [FILE, RANGE]).withColumn("held", held).withColumn("first", first).drop("_first"), "range-states")
+
+
+def records(marked: DataFrame, ranges: DataFrame) -> DataFrame:
+    """``(_source_file, _range, _place, record, header)``: lines put together where a quoted cell goes on in the next one.
+
+    One shuffle brings the lines of a range together; only records that cross a range's end meet in a second one. A cell that is never
+    closed goes on to the end of its file, in one row.
+    """
+    placed = _placed(marked.join(ranges, [FILE, RANGE]).repartition(FILE, RANGE))
+    opener = F.last(F.when(_state() == 0, F.col(PLACE)), ignorenulls=True).over(Window.partitionBy(FILE, RANGE).orderBy(PLACE))
+    owned = placed.withColumn("_own", opener)
+    kept = [F.first(c).alias(c) for c in ("held", "first", "last", "goes_on")]
+    pieces = owned.groupBy(FILE, RANGE, "_own").agg(F.sort_array(F.collect_list(F.struct(PLACE, "value"))).alias("_lines"), *kept)
+    pieces = pieces.withColumn("record", F.array_join("_lines.value", "\n")).drop("_lines")
+    key = F.when(F.col("_own").isNotNull(), F.struct(F.col(RANGE), F.col("_own").alias(PLACE))).otherwise(F.col("held"))
+    pieces = pieces.withColumn("_key", key).withColumn("_cross", F.col("_own").isNull() | (F.col("goes_on") & (F.col("_own") == F.col("last"))))
+    whole = pieces.where("not _cross").select(FILE, "_key", "record", "first")
+    crossing = pieces.where("_cross").groupBy(FILE, "_key").agg(
+        F.array_join(F.sort_array(F.collect_list(F.struct(RANGE, "record")))["record"], "\n").alias("record"), F.first("first").alias("first")
     )
-    ends = inside.groupBy(FILE, BLOCK).agg(F.max_by(behind, AT).alias("end"))
-    ranges = _states(ends, [FILE], BLOCK, F.when(F.col("end.known"), F.col("end.parity")), F.when(F.col("end.known"), 0).otherwise(F.col("end.parity")), F.lit(0))
-    # a row a range of a file
-    entry = cut(ranges.select(FILE, BLOCK, F.col("before").alias("entry")), "ranges")
-    state = F.when(F.col("known"), F.col("parity")).otherwise((F.col("parity") + F.col("entry")) % 2)
-    placed = inside.join(entry, [FILE, BLOCK]).withColumn("_from", state)
-    placed = placed.withColumn("_to", F.when(F.col("_from") == 0, F.col("_c")).otherwise(F.col("_o")))
-    single = placed.where("_from = 0 and _to = 0").select(FILE, BLOCK, AT, F.col("value").alias("record"))
-    parts = cut(placed.where("_from = 1 or _to = 1").select(FILE, BLOCK, AT, "_from", "value"), "parts")
-    # the record of a part: that of the last opening line up to it, in this range or one before
-    upto = Window.partitionBy(FILE, BLOCK).orderBy(AT)
-    opener = F.when(F.col("_from") == 0, F.col(AT))
-    parts = parts.withColumn("_own", F.last(opener, ignorenulls=True).over(upto))
-    lasts = entry.join(parts.groupBy(FILE, BLOCK).agg(F.max(opener).alias("_last")), [FILE, BLOCK], "left")
-    earlier = Window.partitionBy(FILE).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    held = F.last(F.when(F.col("_last").isNotNull(), F.struct(BLOCK, F.col("_last").alias(AT))), ignorenulls=True).over(earlier)
-    lasts = lasts.select(FILE, BLOCK, held.alias("_held"))
-    parts = parts.join(lasts, [FILE, BLOCK])
-    key = F.when(F.col("_own").isNotNull(), F.struct(F.col(BLOCK), F.col("_own").alias(AT))).otherwise(F.col("_held"))
-    piece = F.struct(BLOCK, AT, "value")
-    several = parts.groupBy(FILE, key.alias("_key")).agg(F.sort_array(F.collect_list(piece)).alias("_pieces"))
-    several = several.select(FILE, F.col(f"_key.{BLOCK}").alias(BLOCK), F.col(f"_key.{AT}").alias(AT), F.array_join("_pieces.value", "\n").alias("record"))
-    return single.unionByName(several)
+    both = whole.unionByName(crossing)
+    return both.select(FILE, f"_key.{RANGE}", f"_key.{PLACE}", "record", (F.col("_key") == F.col("first")).alias("header"))
 
 
 def header_names(cells: list[str]) -> list[str]:
@@ -119,21 +144,26 @@ def read_records(lines: DataFrame, facts: DataFrame, sep: str, row_index: bool =
     Files are UTF-8 or, where ``facts`` says they aren't, Latin-1.
     """
     spark = lines.sparkSession
+    marked = marked_lines(lines, sep)
+    ranges = range_states(marked)
+    # patterns would replace bytes that aren't UTF-8, so they come after the decoding
     text = F.when(F.col("utf8"), F.col("record")).otherwise(F.decode(F.col("record").cast("binary"), "ISO-8859-1"))
-    found = records(lines, sep).join(facts.select(FILE, "utf8"), FILE)
-    found = found.select(FILE, BLOCK, AT, F.regexp_replace(text, "\r$", "").alias("record")).where(F.trim("record") != "")
-    found = cut(found, "records")
-    firsts = cut(found.groupBy(FILE).agg(F.min(F.struct(BLOCK, AT)).alias("first")), "headers")
-    head = found.join(firsts, FILE).where((F.col(BLOCK) == F.col("first")[BLOCK]) & (F.col(AT) == F.col("first")[AT]))
-    top = head.agg(F.min_by("record", FILE)).first()[0]
-    if top is None:
+    text = F.regexp_replace(text, "\r$", "").alias("record")
+    texts = lambda found: found.join(facts.select(FILE, "utf8"), FILE).select(FILE, RANGE, PLACE, text, "header")
+    start = ranges.where("first is not null").agg(F.min(F.struct(FILE, F.col(f"first.{RANGE}").alias(RANGE), F.col(f"first.{PLACE}").alias(PLACE))).alias("s")).first()["s"]
+    if start is None:
         return spark.createDataFrame([], f"{ROW} bigint" if row_index else "_c0 string")
-    names = header_names(next(csv.reader([top], delimiter=sep, strict=False)) if "\n" not in top else next(csv.reader(top.splitlines(keepends=True), delimiter=sep)))
-    body = found.join(firsts, FILE).where((F.col(BLOCK) != F.col("first")[BLOCK]) | (F.col(AT) != F.col("first")[AT]))
+    # the first file's header, out of the range it starts in, or of all if it goes on in the next one
+    here = (F.col(FILE) == start[FILE]) & (F.col(RANGE) == start[RANGE])
+    inside = ranges.where(here & (~F.col("goes_on") | (F.col("last") > start[PLACE])))
+    near = marked if inside.isEmpty() else marked.where(here)
+    top = texts(records(near, ranges)).where(F.col("header") & (F.col(FILE) == start[FILE])).first()["record"]
+    names = header_names(next(csv.reader(top.splitlines(keepends=True), delimiter=sep)))
+    body = texts(records(marked, ranges)).where(~F.col("header") & (F.trim("record") != ""))
     schema = ", ".join(f"c{i} string" for i in range(len(names)))
     parsed = F.from_csv("record", schema, {"sep": sep, "quote": '"', "escape": '"', "maxCharsPerColumn": "-1", **(options or {})})
-    rows = body.select(FILE, BLOCK, AT, parsed.alias("cells"))
+    rows = body.select(FILE, RANGE, PLACE, parsed.alias("cells"))
     cells = [F.coalesce(F.col(f"cells.c{i}"), F.lit("")).alias(n) for i, n in enumerate(names)]
     if not row_index:
         return rows.select(*cells)
-    return with_row_index(rows, [FILE, BLOCK, AT]).select(ROW, *cells)
+    return with_row_index(rows, [FILE, RANGE, PLACE]).select(ROW, *cells)
