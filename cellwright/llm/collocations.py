@@ -16,11 +16,11 @@ LEAST, SHARDS, TOP = 10, 2, 2000
 SALTS = 8
 #: Most bits of the map of locally frequent phrases, 32 MB; where it fills up, more phrases are counted than needed.
 FILTER_BITS = 1 << 28
-BATCH_BYTES = 6_000_000
+BATCH_BYTES = 4_000_000
 #: Longer words are hashed one by one.
 LONG_WORD = 64
 #: Hashes with counts that a task gathers before it hands them on.
-GATHERED = 1_500_000
+GATHERED = 1_000_000
 
 # every piece end becomes a full stop, tabs become blanks
 _BREAKS = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d\x09", b"." * 10 + b" ")
@@ -52,7 +52,7 @@ def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray, chunk: int =
 class Batch:
     """The words of a batch of documents in a row: their places and hashes, with language and shard."""
 
-    def __init__(self, batch: pa.RecordBatch, hashed: bool = True) -> None:
+    def __init__(self, batch: pa.RecordBatch) -> None:
         import xxhash
 
         texts = bytes_of(batch)
@@ -66,7 +66,7 @@ class Batch:
         pieces_before = np.cumsum(stop, dtype=np.int32)
         self.joined = pieces_before[self.starts[1:]] == pieces_before[self.ends[:-1]]
         self.joined &= ~stop[self.ends[:-1]]
-        self.symbols = word_hashes(self.data, self.starts, self.ends) if hashed else np.empty(0, np.uint64)
+        self.symbols = word_hashes(self.data, self.starts, self.ends)
         doc = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), self.starts, "right")
         langs = batch.column("lang").to_pylist()
         self.lang_names = sorted(set(langs))
@@ -89,10 +89,14 @@ class Batch:
             h = mixed((h ^ self.symbols[first + k]) * _TURN + np.uint64(n))
         return first, h
 
-    def spelled(self, first: int, n: int) -> bytes:
-        """The words from ``first`` on, joined by single blanks."""
-        text = self.data[self.starts[first] : self.ends[first + n - 1]]
-        return text if n == 1 else b" ".join(text.split())
+    def spelled(self, first: np.ndarray, n: int) -> list[bytes]:
+        """The ``n`` words from each of ``first`` on, joined by single blanks."""
+        starts, ends = self.starts[first], self.ends[first + n - 1]
+        lengths = sum((self.ends[first + k] - self.starts[first + k] for k in range(n)), np.full(len(first), n - 1))
+        out = [self.data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        for i in np.flatnonzero(ends - starts != lengths).tolist():  # more than a blank between words
+            out[i] = b" ".join(out[i].split())
+        return out
 
 
 def in_shard(h: np.ndarray, shard: np.ndarray | int) -> np.ndarray:
@@ -165,12 +169,15 @@ def _bitmap(hashes: DataFrame, most_bits: int) -> np.ndarray:
 
 
 def _counted(texts: DataFrame, wanted: Callable[[int, np.ndarray], np.ndarray], sizes: tuple[int, ...]) -> DataFrame:
-    """``(lang, phrase, n_words, f)``: exact counts of all wanted phrases, by their words."""
+    """``(lang, phrase, n_words, f)``: exact counts of all wanted phrases, by their words, and of all words as a phrase of none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, BATCH_BYTES):
             batch = Batch(part)
-            langs, phrases, lengths, counts = [], [], [], []
+            # all words of each language, as a phrase of none
+            totals = np.bincount(batch.lang, minlength=len(batch.lang_names))
+            langs, lengths, counts = [np.arange(len(totals))], [np.zeros(len(totals), np.int32)], [totals]
+            phrases = [pa.array([""] * len(totals), pa.string())]
             for n in sizes:
                 starts, h = batch.phrases(n)
                 keep = wanted(n, h)
@@ -178,7 +185,7 @@ def _counted(texts: DataFrame, wanted: Callable[[int, np.ndarray], np.ndarray],
                 _, first, f = np.unique(h, return_index=True, return_counts=True)
                 starts = starts[first]
                 langs.append(batch.lang[starts])
-                phrases.append(pa.array([batch.spelled(i, n) for i in starts.tolist()], pa.binary()).cast(pa.string()))
+                phrases.append(pa.array(batch.spelled(starts, n), pa.binary()).cast(pa.string()))
                 lengths.append(np.full(len(starts), n, np.int32))
                 counts.append(f)
             names = pa.array(batch.lang_names, pa.string()).take(pa.array(np.concatenate(langs)))
@@ -193,6 +200,8 @@ def _counted(texts: DataFrame, wanted: Callable[[int, np.ndarray], np.ndarray],
 def candidates(docs: DataFrame, least: int = LEAST, shards: int = SHARDS, filter_bits: int = FILTER_BITS) -> DataFrame:
     """``(lang, phrase, n_words, f)``: the words and phrases of 2 and 3 words that occur ``least`` times in their language.
 
+    All words of a language are counted as an empty phrase of 0 words.
+
     SON: the documents are dealt to ``shards`` shards, and a phrase with ``least`` occurrences has at least ``least / shards``, rounded up, in
     one of them. Every shard is mined completely at that support, level by level: words and pairs first, then those triples
     whose two pairs are frequent in the same shard. What any shard found is counted over all documents by its words.
@@ -221,19 +230,7 @@ def candidates(docs: DataFrame, least: int = LEAST, shards: int = SHARDS, filter
             found |= marked(bits, in_shard(h, shard))
         return found
 
-    return _counted(texts, in_any_shard, (1, 2, 3)).where(F.col("f") >= least)
-
-
-def word_totals(docs: DataFrame) -> DataFrame:
-    """``(lang, n)``: all words of each language."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches, BATCH_BYTES):
-            batch = Batch(part, hashed=False)
-            n = np.bincount(batch.lang, minlength=len(batch.lang_names))
-            yield pa.RecordBatch.from_arrays([pa.array(batch.lang_names, pa.string()), pa.array(n, pa.int64())], ["lang", "n"])
-
-    return shard_texts(docs, 1).mapInArrow(run, "lang string, n bigint").groupBy("lang").agg(F.sum("n").alias("n"))
+    return _counted(texts, in_any_shard, (1, 2, 3)).where((F.col("f") >= least) | (F.col("n_words") == 0))
 
 
 def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, shards: int = SHARDS, salts: int = SALTS) -> DataFrame:
@@ -245,8 +242,9 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, shards: in
     table gives no rows; other columns than doc_id, text and lang are never read.
     """
     # parts of a candidate occur at least as often as it does
-    frequent = cut(candidates(docs, least, shards), "phrases")
-    totals = cut(word_totals(docs), "totals")
+    counts = cut(candidates(docs, least, shards), "phrases")
+    totals = counts.where("n_words = 0").select("lang", F.col("f").alias("n"))
+    frequent = counts.where("n_words > 0")
     found = frequent.where("n_words > 1").withColumn("words", F.split("phrase", " "))
 
     triples = found.where("n_words = 3").select("lang", "f", F.explode(F.array(*[F.array_join(F.slice("words", i, 2), " ") for i in (1, 2)])).alias("phrase"))
