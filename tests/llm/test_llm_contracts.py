@@ -215,7 +215,7 @@ def test_collocations_in_shards(spark, shards, bits):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
     got = {(r.lang, r.phrase): r.f for r in collocations.candidates(docs, 10, shards, bits).collect()}
     want = {(lang, p): a for lang, _, p, a, *_ in brute.phrases(rows, 10**9)}
-    assert min(got.values(), default=10) >= 10
+    assert min((f for (_, p), f in got.items() if p), default=10) >= 10
     assert want.items() <= got.items()
     assert sorted(map(tuple, collocations.collocations(docs, 5, 10, shards, 1).collect())) == sorted(brute.phrases(rows, 5))
 
