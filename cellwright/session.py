@@ -40,13 +40,13 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame, label: str = "table") -> DataFrame:
-    """Write ``df`` once to the shared folder and go on from the written table.
+def cut(df: DataFrame, label: str = "table", codec: str | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and go on from the written table; ``codec`` for texts that are worth a closer packing.
 
     The result survives lost executors without recomputing its inputs, freezes values that
     depend on task placement, and is read back column-pruned with filters pushed down.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cellwright/{label}-{uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)

@@ -236,3 +236,34 @@ def test_patterns_of_any_spelling(spark):
     texts = ["x1", "yy-yy", "yy-yyy", "qr", "open", "zzw", "a", "v\\Z", "ÉÉ"]
     got = match_patterns(spark.createDataFrame([("col", t) for t in texts], "column string, value string"), patterns, ["col"])
     assert {r.value: r.pattern_id for r in got.collect()} == {"x1": 0, "yy-yy": 1, "qr": 2, "v\\Z": 7, "ÉÉ": 8}
+
+
+def test_any_number_of_rare_values(spark, table):
+    """Sixty rare values: none is reported under the limit, all without it, in the findings as in the repair of the whole run."""
+    from cellwright.operators.anomalies import detect
+    from cellwright.operators.schema import facts_with_rare
+    from cellwright.plans.clean import clean
+
+    rows = [("common",)] * 6000 + [(f"  rare  {i}",) for i in range(60)]
+    t = table(["kind"], rows)
+    found = {}
+    for most in (50, None):
+        config = CleanConfig(rare_max_values=most)
+        marked, facts = facts_with_rare(t, config=config)
+        found[most] = detect(marked, facts, config).where("anomaly_type = 'rare_category'").count()
+        result = clean(t, config=config, row_col="_row")
+        assert result.cleaned.columns == ["_row", "kind"]
+        assert result.actions.count() == found[most] == result.anomalies.count()
+    assert found == {50: 0, None: 60}
+
+
+def test_later_passes_stop_at_columns_that_stay(spark, table):
+    """Readings drift when a third is filled in: the loop goes on, changes what the first pass uncovered, and ends at its fixed point."""
+    from cellwright.plans.clean import clean
+
+    rows = [("" if i % 3 == 0 else f"  ${i}.5" if i % 40 == 1 else f"{i}.25", "x") for i in range(1200)]
+    result = clean(table(["reading", "kind"], rows), row_col="_row")
+    assert (result.iterations, result.validation_passed) == (3, False)
+    assert result.cleaned.where("reading rlike '[^0-9.]'").count() == 0
+    assert result.actions.where("issue_type = 'type_mismatch'").count() == sum(i % 3 != 0 and i % 40 == 1 for i in range(1200))
+    assert clean(table(["reading", "kind"], rows), row_col="_row", config=CleanConfig(max_passes=1)).iterations == 1
