@@ -71,7 +71,7 @@ def marked_lines(lines: DataFrame, sep: str) -> DataFrame:
     """The lines, written once so that their places hold, with the state behind them for both states in front, and whether they are blank."""
     q, value = Quotes(sep), F.col("value")
     blank = F.trim(F.regexp_replace(value, "\r$", "")) == ""
-    return cut(lines.select("*", q.after_closed(value).alias("_c"), q.after_open(value).alias("_o"), blank.alias("_blank")), "lines", "zstd")
+    return cut(lines.select("*", q.after_closed(value).alias("_c"), q.after_open(value).alias("_o"), blank.alias("_blank")), "lines", "gzip")
 
 
 def _placed(marked: DataFrame) -> DataFrame:
