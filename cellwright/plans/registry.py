@@ -793,7 +793,20 @@ def _fuzzy_lev(spark, sf):
     return _fuzzy(spark, sf, 0.8, "levenshtein")
 
 
-@query("fuzzy_ratio")
+# common subsequences by rows of lengths: each character of the shorter list moves the row of all prefixes on
+@query(
+    "fuzzy_ratio",
+    f"""{with_views('part_typos').replace('WITH', 'WITH RECURSIVE', 1)}, v AS (SELECT DISTINCT name FROM part_typos), c AS (SELECT DISTINCT p_name FROM part),
+    pairs AS (SELECT name, p_name, string_split(lower(name), '') AS a, string_split(lower(p_name), '') AS b FROM v, c),
+    lcs AS (SELECT name, p_name, a, b, 0 AS j, list_transform(a, lambda x: 0) AS lengths FROM pairs
+            UNION ALL
+            SELECT name, p_name, a, b, j + 1, list_transform(range(1, len(a) + 1), lambda i: list_max(list_transform(range(1, i + 1),
+                   lambda q: greatest(lengths[q], (CASE WHEN q > 1 THEN lengths[q - 1] ELSE 0 END) + (CASE WHEN a[q] = b[j + 1] THEN 1 ELSE 0 END)))))
+            FROM lcs WHERE j < len(b)),
+    s AS (SELECT name, p_name, round_even(200.0::DOUBLE * list_max(lengths) / (len(a) + len(b)), 0) / 100 AS score FROM lcs WHERE j = len(b)),
+    best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY name ORDER BY score DESC, p_name) = 1)
+    SELECT name AS value, p_name AS canonical, round(score, 6) AS score FROM best WHERE score >= 0.9 AND name <> p_name""",
+)
 def _fuzzy_ratio(spark, sf):
     return _fuzzy(spark, sf, 0.9, "ratio")
 

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cellwright.operators.fuzzy import _lcs, apply_canonical, fuzzy_canonical
+from cellwright.operators.fuzzy import _lcs, apply_canonical, canonical_keys, fuzzy_canonical, fuzzy_pairs, value_keys
 from cellwright.operators.rows import with_file_row_index
 from cellwright.sources.benchmarks import run_benchmarks
 from cellwright.sources.readers import from_records, load, load_file, nan_to_null
@@ -107,7 +107,7 @@ def _levenshtein(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize("metric,threshold", [("ratio", 0.9), ("ratio", 0.7), ("levenshtein", 0.8)])
+@pytest.mark.parametrize("metric,threshold", [("ratio", 0.9), ("ratio", 0.7), ("ratio", 0.5), ("levenshtein", 0.8), ("levenshtein", 0.6), ("levenshtein", 0.4)])
 def test_fuzzy_finds_all_a_nested_loop_finds(spark, metric, threshold):
     rng = random.Random(4)
     canon = list(dict.fromkeys("".join(rng.choice("abc ") for _ in range(rng.randint(3, 14))).strip() or "z" for _ in range(50)))
@@ -180,3 +180,31 @@ def test_line_feeds_in_latin_files_beside_others(spark, tmp_path):
     (folder / "1.csv").write_bytes('n,m\n"José\nA",1\n'.encode("latin-1"))
     (folder / "2.csv").write_bytes('n,m\nZoë,2\n"Zoë\n\nB",3\n'.encode())
     assert [tuple(r) for r in load_file(spark, str(folder), row_index=True).orderBy("_row").collect()] == [(0, "José\nA", "1"), (1, "Zoë", "2"), (2, "Zoë\n\nB", "3")]
+
+
+def test_fuzzy_long_texts_and_keys(spark):
+    """Edits anywhere in long texts are found; keys grow with the length of a text, and none is empty."""
+    rng = random.Random(8)
+    canon = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (40, 41, 90, 200, 200)]
+    canon.append(canon[3][:100] + canon[4][100:])
+    values = set()
+    for c in canon * 12:
+        w = list(c)
+        for _ in range(rng.randint(1, len(w) // 12)):
+            at = rng.choice([0, len(w) - 1, rng.randrange(len(w))])
+            rng.choice([lambda: w.insert(at, "x"), lambda: w.pop(at), lambda: w.__setitem__(at, "y")])()
+        values.add("".join(w))
+    vd = spark.createDataFrame([(v,) for v in values], "v string")
+    cd = spark.createDataFrame([(c,) for c in canon], "c string")
+    for metric, score in (
+        ("ratio", lambda a, b: round(200 * _lcs(a, b) / (len(a) + len(b))) / 100),
+        ("levenshtein", lambda a, b: 1 - _levenshtein(a, b) / max(len(a), len(b))),
+    ):
+        want = {(v, c) for v in values for c in canon if score(v, c) >= 0.9 - 1e-12}
+        assert len(want) > 20 and {(r["v"], r["c"]) for r in fuzzy_pairs(vd, cd, metric, 0.9).collect()} == want
+        keys = value_keys(vd, metric, 0.9).groupBy("v").count().collect()
+        assert max(r["count"] / len(r["v"]) for r in keys) < 10
+        taken = canonical_keys(cd, metric, 0.9)
+        assert taken.where("length(piece) < 3").count() == 0
+        # 0.235 of a length is the most that partners can differ, and one piece more
+        assert all(r["count"] <= 0.235 * len(r["c"]) + 1 for r in taken.groupBy("c").count().collect())
