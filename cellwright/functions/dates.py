@@ -23,16 +23,16 @@ DATE_FORMATS = [
 ISO_SHAPE = r"^\d{4}-\d{2}-\d{2}$"
 # Formats of the single-value converter, which does not know day-month-year with dashes.
 CONVERTER_FORMATS = [f for f in DATE_FORMATS if f[0] != "date_eu_dash"]
-# Moments for date-order checks: ISO first, then month-first, then day-first.
+# Formats that a date column of an order check can have; where two read as many cells, the earlier one counts (month before day).
+ISO_MOMENT = "iso"
 MOMENT_FORMATS = [
-    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
-    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"),
-    (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-yyyy"),
-    (r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy"),
-    (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "M.d.yyyy"),
-    (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "d.M.yyyy"),
+    ("yyyy/M/d", r"^\d{4}/\d{1,2}/\d{1,2}$"),
+    ("M/d/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    ("d/M/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    ("M-d-yyyy", r"^\d{1,2}-\d{1,2}-\d{4}$"),
+    ("d-M-yyyy", r"^\d{1,2}-\d{1,2}-\d{4}$"),
+    ("M.d.yyyy", r"^\d{1,2}\.\d{1,2}\.\d{4}$"),
+    ("d.M.yyyy", r"^\d{1,2}\.\d{1,2}\.\d{4}$"),
 ]
 # ---------------------------------------------------------------------------------------
 
@@ -71,9 +71,12 @@ def date_with_format(text: Column, formats: list[tuple[str, str, str]] = DATE_FO
     return F.when(some, let(F.concat(F.split(whole, r"[/.\-]"), F.array(whole)), tried))
 
 
-def to_moment(c: Column) -> Column:
-    """Timestamp of a text in one of the accepted shapes; NULL when it is none of them."""
+def moment_readers(c: Column) -> dict[str, Column]:
+    """Per format, in order of precedence, the timestamp that it reads in a text; NULL where it reads none. ISO texts may have a time."""
     text = strip(c.cast("string"))
-    tries = [F.when(text.rlike(shape), F.try_to_date(text, fmt)).cast("timestamp") for shape, fmt in MOMENT_FORMATS]
-    stamp = F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}[T ]\d"), text.try_cast("timestamp"))
-    return F.coalesce(stamp, *tries)
+    iso = F.coalesce(
+        F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(text, "yyyy-M-d")).cast("timestamp"),
+        F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}[T ]\d"), text.try_cast("timestamp")),
+    )
+    others = {fmt: F.when(text.rlike(shape), F.try_to_date(text, fmt)).cast("timestamp") for fmt, shape in MOMENT_FORMATS}
+    return {ISO_MOMENT: iso} | others

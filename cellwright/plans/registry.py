@@ -6,6 +6,7 @@ Queries read the given tables whole, directly or through the derived dirty views
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -424,6 +425,26 @@ def _domain(spark, sf):
     return an.domain_violations(view(spark, sf, "dirty_customer"), "balance", "finance", "currency_pattern", R)
 
 
+_DOMAIN_CHECKS = [
+    ("healthcare", "icd_code_pattern", "icd"), ("healthcare", "npi_pattern", "npi"), ("finance", "cusip_pattern", "cusip"),
+    ("finance", "currency_pattern", "price"), ("retail", "sku_pattern", "sku"), ("retail", "upc_pattern", "upc"),
+]
+
+
+@query(
+    "domain_violations_all",
+    f"{with_views('coded_parts')} "
+    + " UNION ALL ".join(
+        f"""SELECT row_no AS "row", '{c}' AS "column", {c} AS value FROM coded_parts WHERE NOT regexp_matches(trim({c}), '{DOMAIN_PATTERNS[d][k]}')"""
+        for d, k, c in _DOMAIN_CHECKS
+    ),
+)
+def _domains(spark, sf):
+    v = view(spark, sf, "coded_parts")
+    parts = [an.domain_violations(v, c, d, k, R) for d, k, c in _DOMAIN_CHECKS]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query(
     "missing_required",
     f"""{with_views('dirty_customer')} SELECT row_no AS "row", 'amount' AS "column", balance AS value, 'missing_required' AS anomaly_type,
@@ -445,6 +466,40 @@ def _date_order(spark, sf):
     return an.date_order_violations(view(spark, sf, "dirty_periods"), R)
 
 
+# the same texts, shapes and precedence: place, name, shape, format
+_MOMENTS = [
+    (0, "iso", r"^\d{4}-\d{1,2}-\d{1,2}([T ]\d.*)?$", None), (1, "yyyy/M/d", r"^\d{4}/\d{1,2}/\d{1,2}$", "%Y/%m/%d"),
+    (2, "M/d/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$", "%m/%d/%Y"), (3, "d/M/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$", "%d/%m/%Y"),
+    (4, "M-d-yyyy", r"^\d{1,2}-\d{1,2}-\d{4}$", "%m-%d-%Y"), (5, "d-M-yyyy", r"^\d{1,2}-\d{1,2}-\d{4}$", "%d-%m-%Y"),
+    (6, "M.d.yyyy", r"^\d{1,2}\.\d{1,2}\.\d{4}$", "%m.%d.%Y"), (7, "d.M.yyyy", r"^\d{1,2}\.\d{1,2}\.\d{4}$", "%d.%m.%Y"),
+]
+_READ = " UNION ALL ".join(
+    f"""SELECT row_no, col, v, {place} AS place, '{name}' AS format, CASE WHEN regexp_matches(trim(v), '{shape}')
+        THEN {f"try_strptime(trim(v), '{fmt}')" if fmt else "TRY_CAST(trim(v) AS TIMESTAMP)"} END AS moment FROM cells"""
+    for place, name, shape, fmt in _MOMENTS
+)
+_DATED = f"""{with_views('dated_orders')}, cells AS ({cells_sql('dated_orders')}), readings AS ({_READ}),
+    tally AS (SELECT col, format, place, count(*) FILTER (trim(v) <> '') AS filled, count(moment) AS n FROM readings GROUP BY ALL),
+    ranked AS (SELECT *, n > 0 AND row_number() OVER (PARTITION BY col ORDER BY n DESC, place) = 1 AS chosen FROM tally)"""
+
+
+@query("date_formats", f"""{_DATED} SELECT col AS "column", format, filled, n AS read, chosen FROM ranked""")
+def _date_formats(spark, sf):
+    return an.date_formats(view(spark, sf, "dated_orders"), COLUMNS["dated_orders"])
+
+
+@query(
+    "date_order_formats",
+    f"""{_DATED}, dates AS (SELECT row_no, col, v, moment FROM readings JOIN ranked USING (col, format) WHERE chosen)
+    SELECT s.row_no AS "row", concat(s.col, ' > ', e.col) AS "column", concat(s.v, ' > ', e.v) AS value, 'cross_column_constraint' AS anomaly_type,
+           'critical' AS severity, concat('Start date (', s.col, ') is after end date (', e.col, ')') AS details
+    FROM dates s JOIN dates e USING (row_no)
+    WHERE regexp_matches(s.col, 'start|begin') AND regexp_matches(e.col, 'end|finish') AND s.moment > e.moment""",
+)
+def _date_order_formats(spark, sf):
+    return an.date_order_violations(view(spark, sf, "dated_orders"), R)
+
+
 # ---- rules ------------------------------------------------------------------------------
 
 _EMAIL = FORMAT_PATTERNS["email"]

@@ -55,6 +55,16 @@ VIEWS: dict[str, str] = {
         SELECT o_orderkey AS row_no, cast(cast(o_orderdate AS date) AS string) AS start_date,
                cast(cast(o_orderdate AS date) + cast(o_orderkey % 10 - 2 AS int) AS string) AS end_date
         FROM orders""",
+    "dated_orders": """
+        SELECT row_no,
+               concat(cast(month(a) AS string), '/', cast(day(a) AS string), '/', cast(year(a) AS string)) AS us_start_date,
+               concat(lpad(cast(day(a) AS string), 2, '0'), '.', lpad(cast(month(a) AS string), 2, '0'), '.', cast(year(a) AS string)) AS eu_begin_date,
+               concat(cast(1 + day(a) % 12 AS string), '-', cast(month(a) AS string), '-', cast(year(a) AS string)) AS unclear_start_time,
+               CASE WHEN row_no % 10 = 0 THEN cast(b AS string) WHEN row_no % 10 = 1 THEN ' ' WHEN row_no % 10 = 2 THEN 'soon'
+                    ELSE concat(' ', cast(day(b) AS string), '/', cast(month(b) AS string), '/', cast(year(b) AS string)) END AS mixed_end_date,
+               CASE WHEN row_no % 4 = 0 THEN concat(cast(b AS string), ' 10:30:00') WHEN row_no % 40 = 1 THEN '31/31/2020' ELSE cast(b AS string) END AS finish_time,
+               'n/a' AS no_end_date
+        FROM (SELECT o_orderkey AS row_no, cast(o_orderdate AS date) AS a, cast(o_orderdate AS date) + cast(o_orderkey % 10 - 2 AS int) AS b FROM orders) o""",
     "squeezed_orders": f"""
         SELECT o_orderkey * 4 AS row_no,
                concat(cast(o_orderkey AS string), ' | ', CASE WHEN o_orderkey % 3 = 0 THEN 'Mary' ELSE 'John' END, ' | ',
@@ -97,6 +107,19 @@ VIEWS: dict[str, str] = {
         SELECT c_custkey AS row_no, CASE WHEN c_custkey % 7 = 0 THEN 'balance' ELSE 'name' END AS column_name,
                CASE WHEN c_custkey % 4 = 0 THEN 'other' ELSE c_name END AS expected_value
         FROM customer""",
+    "coded_parts": f"""
+        SELECT p_partkey AS row_no,
+               CASE WHEN p_partkey % 5 = 0 THEN concat('a', lpad(cast(p_partkey % 100 AS string), 2, '0'))
+                    WHEN p_partkey % 5 = 1 THEN concat('J', lpad(cast(p_partkey % 100 AS string), 2, '0'), '.')
+                    WHEN p_partkey % 5 = 2 THEN concat(' K', lpad(cast(p_partkey % 100 AS string), 2, '0'), '.', cast(p_partkey AS string))
+                    WHEN p_partkey % 5 = 3 THEN NULL ELSE concat('M', lpad(cast(p_partkey % 100 AS string), 2, '0'), ' ') END AS icd,
+               CASE WHEN p_partkey % 6 = 0 THEN cast(p_partkey AS string) WHEN p_partkey % 6 = 1 THEN '' ELSE lpad(cast(p_partkey AS string), 10, '1') END AS npi,
+               CASE WHEN p_partkey % 3 = 0 THEN lower(concat('X', lpad(cast(p_partkey AS string), 8, '0'))) ELSE concat('X', lpad(cast(p_partkey AS string), 8, '0')) END AS cusip,
+               CASE WHEN p_partkey % 4 = 0 THEN concat('-$', {MONEY.format('p_retailprice')}) WHEN p_partkey % 4 = 1 THEN '1,234,567.00'
+                    WHEN p_partkey % 4 = 2 THEN '$12,34.00' ELSE cast(p_partkey % 1000 AS string) END AS price,
+               CASE WHEN p_partkey % 2 = 0 THEN concat('SKU-', cast(p_partkey AS string)) ELSE p_name END AS sku,
+               CASE WHEN p_partkey % 7 = 0 THEN lpad(cast(p_partkey AS string), 13, '0') ELSE lpad(cast(p_partkey AS string), 12, '0') END AS upc
+        FROM part""",
     "part_typos": """
         SELECT p_partkey AS row_no,
                CASE WHEN p_partkey % 9 = 0 THEN concat(p_name, 's') WHEN p_partkey % 9 = 1 THEN upper(p_name) ELSE p_name END AS name
@@ -104,10 +127,11 @@ VIEWS: dict[str, str] = {
 }
 BASES = {
     "customer_text": ["customer"], "events_text": ["events"], "lineitem_text": ["lineitem"], "dirty_customer": ["customer"],
-    "dirty_contacts": ["customer"], "dirty_periods": ["orders"], "squeezed_orders": ["orders"], "drift_before": ["events"],
-    "drift_after": ["events"], "dirty_meter": ["events"], "event_clock": ["events"], "event_users": ["events"], "applied_fixes": ["customer"], "truth_fixes": ["customer"], "part_typos": ["part"],
+    "dirty_contacts": ["customer"], "dirty_periods": ["orders"], "dated_orders": ["orders"], "squeezed_orders": ["orders"], "drift_before": ["events"],
+    "drift_after": ["events"], "dirty_meter": ["events"], "event_clock": ["events"], "event_users": ["events"], "applied_fixes": ["customer"], "truth_fixes": ["customer"], "part_typos": ["part"], "coded_parts": ["part"],
 }
 COLUMNS = {
+    "dated_orders": ["us_start_date", "eu_begin_date", "unclear_start_time", "mixed_end_date", "finish_time", "no_end_date"],
     "dirty_meter": ["reading", "kind"],
     "event_users": ["who", "what"],
     "event_clock": ["micros", "rest", "nothing"],

@@ -4,7 +4,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from cellwright.operators.anomalies import detect, domain_violations, iqr_outliers, missing_required, zscore_outliers
+from cellwright.operators.anomalies import date_formats, date_order_violations, detect, domain_violations, iqr_outliers, missing_required, zscore_outliers
 from cellwright.operators.counts import cell_counts, exact_quantiles, numbers, order_image
 from cellwright.operators.profile import column_info, duplicate_count, duplicate_rows, null_cells, profile, quality_score, value_counts
 from cellwright.operators.rows import carry_forward, with_row_index
@@ -70,6 +70,22 @@ def test_date_order_and_domains(table):
     assert {(r["row"], r["column"]) for r in missing_required(t, "finance").collect()} == {(-1, "transaction_id"), (2, "amount")}
 
 
+def test_one_date_format_a_column(table):
+    t = table(
+        ["start_date", "end_date", "end_time"],
+        [("25/01/2024", "02/01/2024", "1.2.2024"), ("03/02/2024", "3/1/2024", "x"), ("2024-12-30", "01/25/2024", None), (None, "", "31.31.2024")],
+    )
+    formats = {r["column"]: (r["format"], r["filled"], r["read"]) for r in date_formats(t, ["start_date", "end_date", "end_time"]).where("chosen").collect()}
+    # day first because of the 25th, month first because of the 25th, month first since nothing tells
+    assert formats == {"start_date": ("d/M/yyyy", 3, 2), "end_date": ("M/d/yyyy", 3, 3), "end_time": ("M.d.yyyy", 3, 1)}
+    rows = date_order_violations(t).collect()
+    # 25 January > 2 January; the start in another format than its column's is no date
+    assert [(r["row"], r["column"]) for r in rows] == [(0, "start_date > end_time")]
+    nothing = table(["start_date", "end_date"], [("never", ""), (None, "2024-01-01")])
+    assert date_order_violations(nothing).count() == 0
+    assert date_order_violations(table(["a"], [("1",)])).count() == 0
+
+
 def test_column_reports(table):
     t = table(["a", "b"], [("x", "1"), ("x", "1"), ("y", None), ("x", "1"), ("", "2"), (None, "2")])
     assert [(r["value"], r["count"]) for r in value_counts(t, "a").collect()] == [("x", 3), ("", 1), ("y", 1)]
