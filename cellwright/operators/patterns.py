@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.rules import python_title
@@ -14,6 +17,8 @@ PATTERN_SCHEMA = (
 DEFAULT_CONFIDENCE = 0.85  # fixed value: a pattern without history
 GENERIC = "generic"
 SALTS = 16
+GRAM = 4  # characters of a literal that a value is looked up by, where the literal is not its beginning
+LONGEST_PREFIX = 64
 
 
 def pattern_confidence(success: Column, fail: Column) -> Column:
@@ -82,11 +87,121 @@ def _valid(pattern: str) -> Column:
     return F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), _expression(pattern)).isNotNull()
 
 
+def required_literal(pattern: str) -> tuple[bool, str]:
+    """``(at the start, text)``: a lower-case ASCII text that each match of an expression anchored at the start holds; empty if none is sure.
+
+    Only what stands outside of groups, classes and alternatives is looked at. Where a pattern says more than this scan reads, nothing is sure.
+    """
+    runs: list[tuple[bool, str]] = []
+    run, begins = "", True  # begins: nothing that consumes text lies before the run
+
+    def end() -> None:
+        nonlocal run, begins
+        if run:
+            runs.append((begins, run))
+        run, begins = "", False
+
+    i, size = 0, len(pattern)
+    while i < size:
+        ch, literal = pattern[i], None
+        if ch == "|" or ch in ")*+?{":
+            return False, ""
+        if ch == "\\":
+            nxt = pattern[i + 1 : i + 2]
+            if not nxt or nxt.isalnum() and nxt not in "dDwWsSbBntrfAZz":
+                return False, ""
+            literal = nxt if not nxt.isalnum() else None
+            i += 2
+        elif ch == "[":
+            closing = re.compile(r"\[(?!\^?\])(?:[^\]\[\\]|\\.)+\]").match(pattern, i)
+            if not closing:
+                return False, ""
+            i = closing.end()
+        elif ch == "(":
+            if pattern[i + 1 : i + 2] == "?" and not re.compile(r"\(\?(?::|=|!|<|P<)").match(pattern, i):
+                return False, ""
+            depth, inside = 0, re.compile(r"\\.|\[(?!\^?\])(?:[^\]\[\\]|\\.)+\]|[()]|[^\\\[()]+", re.S)
+            while i < size:
+                part = inside.match(pattern, i)
+                if not part or re.match(r"\\[QE]|\(\?[a-zA-OQ-Z-]", pattern[i : i + 3]):
+                    return False, ""
+                i = part.end()
+                depth += {"(": 1, ")": -1}.get(part[0], 0)
+                if depth == 0:
+                    break
+        else:
+            literal = ch if ch not in ".^$" else None
+            i += 1
+            if ch == "^" and begins and not run:
+                continue
+        repeat = re.compile(r"(?:[*+?]|\{(\d+)(?:,\d*)?\})[+?]?").match(pattern, i)
+        i = repeat.end() if repeat else i
+        none = repeat and (repeat[0][0] in "*?" or repeat[1] is not None and int(repeat[1]) == 0)
+        if literal is None or not literal.isascii() or none:
+            end()
+        else:
+            run += literal.lower()
+            if repeat:
+                end()
+    end()
+    return max(runs, key=lambda r: (r[0], len(r[1])) if len(r[1]) >= GRAM else (False, len(r[1])), default=(False, ""))
+
+
+def _literals(pattern: Column) -> Column:
+    """The literals of the pattern table, in batches."""
+
+    @F.pandas_udf("at_start boolean, literal string")
+    def literals(patterns: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([required_literal(p) for p in patterns], columns=["at_start", "literal"])
+
+    return literals(pattern)
+
+
+def _fold(c: Column) -> Column:
+    """Lower case, as an expression without case sees it: besides capitals, four letters count as an ASCII letter."""
+    # dotted and dotless i, long s, Kelvin sign
+    return F.lower(F.translate(c, "\u0130\u0131\u017f\u212a", "iisk"))
+
+
+def _grams(text: Column, size: Column) -> Column:
+    count = F.length(text) - size + 1
+    return F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.substring(text, i, size))).otherwise(F.array().cast("array<string>"))
+
+
+def pattern_candidates(values: DataFrame, per_column: DataFrame) -> DataFrame:
+    """Values beside the patterns of their column whose literal they hold.
+
+    A pattern has one key: the text its matches begin with, else the piece of its literal that the fewest patterns of the column
+    hold, else none, and then every value of the column meets it. A value looks up the keys it can hold, in the sizes that occur.
+    """
+    described = per_column.withColumn("l", _literals(F.col("value_pattern")))
+    text = F.col("l.literal")
+    start = F.when(F.col("l.at_start"), F.concat(F.lit("^"), F.substring(text, 1, LONGEST_PREFIX)))
+    inner = F.transform(F.array_distinct(_grams(text, F.least(F.lit(GRAM), F.length(text)))), lambda g: F.concat(F.lit("~"), g))
+    none = F.array(F.lit("*"))
+    pieces = F.when(text == "", none).when(start.isNotNull(), F.array(start)).otherwise(inner)
+    options = described.withColumn("key", F.explode(pieces)).drop("l")
+    held = options.groupBy("column", "key").agg(F.count("*").alias("_held"))
+    whole = [c for c in per_column.columns if c not in ("column", "id")]
+    keyed = options.join(held, ["column", "key"]).groupBy("column", "id", *whole).agg(F.min_by("key", F.struct("_held", "key")).alias("key"))
+    # a few dozen sizes for each column of the table
+    sizes = keyed.groupBy("column").agg(F.collect_set(F.when(F.col("key").startswith("^"), F.length("key") - 1)).alias("_starts"),
+                                        F.collect_set(F.when(F.col("key").startswith("~"), F.length("key") - 1)).alias("_sizes"))
+    folded = values.select("column", "value").distinct().join(F.broadcast(sizes), "column").withColumn("_text", _fold(F.col("value")))
+    starts = F.transform(F.filter("_starts", lambda n: n <= F.length("_text")), lambda n: F.concat(F.lit("^"), F.substring(F.col("_text"), F.lit(1), n)))
+    inside = F.flatten(F.transform("_sizes", lambda n: F.transform(F.array_distinct(_grams(F.col("_text"), n)), lambda g: F.concat(F.lit("~"), g))))
+    looked = folded.select("column", "value", F.explode(F.concat(starts, inside, none)).alias("key"))
+    # a key that many values hold, or none, is spread over salts, and its patterns repeated for each
+    spread = looked.withColumn("_salt", F.pmod(F.xxhash64("value"), F.lit(SALTS)))
+    repeated = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    return spread.join(repeated, ["column", "key", "_salt"]).drop("key", "_salt")
+
+
 def match_patterns(values: DataFrame, patterns: DataFrame, columns: list[str], domain: str = GENERIC) -> DataFrame:
     """Best pattern for each distinct ``(column, value)``, by a join that grows with neither side's cap.
 
-    ``columns`` are the table's columns. Column names are matched first on the distinct names, which makes
-    the rest an equi-join on the column with the value expression as its filter. Patterns that the dialect can't compile are skipped.
+    ``columns`` are the table's columns. Column names are matched first on the distinct names; then a value meets only the
+    patterns whose literals it holds, and the value expression decides. Patterns that the dialect can't compile are skipped.
     """
     spark = values.sparkSession
     names = spark.createDataFrame([(c,) for c in columns], "column string")
@@ -96,10 +211,7 @@ def match_patterns(values: DataFrame, patterns: DataFrame, columns: list[str], d
     per_column = live.join(F.broadcast(names), F.rlike(F.col("column"), _expression("column_pattern"))).select(
         "column", "id", "column_pattern", "value_pattern", "fix_template", "success_count", "fail_count"
     )
-    # a column is a hot key by nature: its values are spread over salts, and its patterns repeated for each
-    spread = values.select("column", "value").distinct().withColumn("_salt", F.pmod(F.xxhash64("value"), F.lit(SALTS)))
-    repeated = per_column.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-    hits = spread.join(repeated, ["column", "_salt"]).where(F.rlike(F.col("value"), _expression("value_pattern")))
+    hits = pattern_candidates(values, per_column).where(F.rlike(F.col("value"), _expression("value_pattern")))
     best = hits.groupBy("column", "value").agg(
         F.min_by(
             F.struct("id", "column_pattern", "fix_template", "success_count", "fail_count"),

@@ -753,6 +753,35 @@ def _pattern_match(spark, sf):
     return out.select("column", "value", "pattern_id", "new_value", "confidence")
 
 
+@query(
+    "pattern_match_many",
+    f"""{with_views('dirty_customer')}, vals AS (SELECT DISTINCT name AS v FROM dirty_customer WHERE name IS NOT NULL),
+    live AS (SELECT c_custkey * 4 AS id, v, 0.75 AS confidence, 3 AS won FROM vals, customer WHERE starts_with(lower(v), lower(c_name))
+             UNION ALL
+             SELECT c_custkey * 4 + 1, v, 0.5, 1 FROM vals, customer WHERE regexp_matches(v, '^ ') AND starts_with(lower(ltrim(v)), lower(c_name))
+             UNION ALL
+             SELECT 2, v, 1.0, 1 FROM vals WHERE v LIKE '%99%'),
+    best AS (SELECT * FROM live QUALIFY row_number() OVER (PARTITION BY v ORDER BY won DESC, id) = 1)
+    SELECT 'name' AS "column", v AS value, id AS pattern_id, upper(v) AS new_value, cast(confidence AS DOUBLE) AS confidence FROM best""",
+)
+def _pattern_match_many(spark, sf):
+    # two patterns for each customer, one by the beginning of a value and one by a text inside it, and two that are no texts at all
+    names = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), pt.escape_regex(F.col("c_name")).alias("name"))
+
+    def told(key, pattern, won: int, lost: int) -> DataFrame:
+        return names.select(
+            key.cast("bigint").alias("id"), F.lit("na.*").alias("column_pattern"), pattern.alias("value_pattern"), F.lit("{value}.upper()").alias("fix_template"),
+            F.lit("generic").alias("domain"), F.lit(won).cast("bigint").alias("success_count"), F.lit(lost).cast("bigint").alias("fail_count"),
+        )
+
+    others = [(2, "name", ".*9{2}", "{value}.upper()", "generic", 1, 0), (3, ".*", "[A-", "broken", "generic", 9, 0)]
+    patterns = told(F.col("k") * 4, F.col("name"), 3, 1).unionByName(told(F.col("k") * 4 + 1, F.concat(F.lit(r"\s+"), F.col("name")), 1, 1))
+    patterns = patterns.unionByName(spark.createDataFrame(others, pt.PATTERN_SCHEMA))
+    values = cell_counts(view(spark, sf, "dirty_customer"), COLUMNS["dirty_customer"], R).where(F.col("value").isNotNull())
+    out = pt.match_patterns(values, patterns, COLUMNS["dirty_customer"])
+    return out.select("column", "value", "pattern_id", "new_value", "confidence")
+
+
 # The strip step runs while the text still ends in the next marker, so it takes leading blanks only.
 @query(
     "pattern_template",

@@ -267,3 +267,43 @@ def test_later_passes_stop_at_columns_that_stay(spark, table):
     assert result.cleaned.where("reading rlike '[^0-9.]'").count() == 0
     assert result.actions.where("issue_type = 'type_mismatch'").count() == sum(i % 3 != 0 and i % 40 == 1 for i in range(1200))
     assert clean(table(["reading", "kind"], rows), row_col="_row", config=CleanConfig(max_passes=1)).iterations == 1
+
+
+def test_literals_of_patterns():
+    from cellwright.operators.patterns import required_literal
+
+    sure = {
+        "ABC": (True, "abc"), "^abc$": (True, "abc"), r"NOT\-x": (True, "not-x"), r"\s*Cust\#01\s+x": (False, "cust#01"), "(a)bcde": (False, "bcde"),
+        "ab?cdef": (False, "cdef"), "ab{0,2}cd": (False, "cd"), "ab{2}cd": (True, "ab"), r"a\.b\.com": (True, "a.b.com"), r".*@ex\.com$": (False, "@ex.com"),
+        "(?:a|b)cde": (False, "cde"), "[a-c]xyz": (False, "xyz"), "(?P<a_b>x)def": (False, "def"), "straße": (True, "stra"), r"(a(b\)[)]c)d)efg": (False, "efg"),
+    }
+    assert {p: required_literal(p) for p in sure} == sure
+    for unsure in ["a|b", r"\Qa\E", "(?i)abc", "[]a]xyz", "[a[b]c]xyz", "[^]x]yz", "^$", "", r"\x41bc", "9*", r"\d+", "(abc", r"(\Q)\Eabc)x", "a**"]:
+        assert not required_literal(unsure)[1], unsure
+
+
+def test_pattern_index_loses_no_match(spark):
+    """The keys of texts and literals against every pattern beside every value."""
+    import random
+
+    from cellwright.operators.patterns import PATTERN_SCHEMA, _expression, _valid, match_patterns, pattern_candidates
+
+    rng = random.Random(3)
+    atoms = ["a", "B", "ss", "k", "i", "é", r"\.", ".", r"\d", "[ab]", "(ab)", "(?:a|k)", "x?", "k*", "a+", "b{2}", "k{0,1}", "^", "$", r"\s", "9", "-", "(?=a)", "İ"]
+    texts = {"".join(rng.choice("aAbBkKſsıİiéE9-. xKß") for _ in range(rng.randint(0, 9))) for _ in range(300)} | {"STRASSE", "straße", "abcabcabc"}
+    exprs = {"".join(rng.choice(atoms) for _ in range(rng.randint(1, 6))) for _ in range(400)} | {"stra", ".*rass", "abcabc", "a|b", r"\Qab\E", "(?i)AB"}
+    patterns = spark.createDataFrame([(i, "c", e, "{value}", "generic", i % 5, 1) for i, e in enumerate(sorted(exprs))], PATTERN_SCHEMA)
+    values = spark.createDataFrame([("c", t) for t in sorted(texts)], "column string, value string")
+    live = patterns.where(_valid("value_pattern")).withColumn("column", F.lit("c"))
+    test = F.rlike(F.col("value"), _expression("value_pattern"))
+    want = {(r["id"], r["value"]) for r in live.join(values, "column").where(test).select("id", "value").collect()}
+    met = pattern_candidates(values, live.drop("domain")).where(test).select("id", "value").collect()
+    assert len(want) > 1000 and len(met) == len(want) and {tuple(r) for r in met} == want
+    # ten thousand exact lessons: each value meets its own
+    many = spark.range(10_000).selectExpr(
+        "id", "'c' AS column_pattern", "concat('Item no ', id, ' of 9') AS value_pattern", "'{value}' AS fix_template", "'generic' AS domain",
+        "1L AS success_count", "0L AS fail_count",
+    )
+    items = spark.range(2_000).selectExpr("'c' AS column", "concat('item NO ', id * 5, ' of 9 ', id) AS value")
+    assert pattern_candidates(items, many.withColumn("column", F.lit("c"))).count() == 2_000
+    assert match_patterns(items, many, ["c"]).where("pattern_id = cast(split(value, ' ')[2] AS bigint)").count() == 2_000
