@@ -19,8 +19,9 @@ from ..operators import reconstruct as rc, repair as rp, rows, schema as sc, sco
 from ..operators.counts import cell_counts, counts_after
 from ..session import cut, shared_dir
 from ..sources import readers, writers
+from ..streaming import batches
 from .clean import clean
-from .views import COLUMNS, cells_sql, table, view, with_views
+from .views import COLUMNS, VIEWS, cells_sql, table, view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -863,6 +864,21 @@ def _context(spark, sf):
     return out.withColumn("sample_values", F.array_join("sample_values", "|")).drop("other_columns")
 
 
+@query(
+    "patterns_added",
+    """SELECT row_number() OVER (ORDER BY c_name) + 5 AS id, '.*name.*' AS column_pattern, c_name AS value_pattern, upper(c_name) AS fix_template,
+              'generic' AS domain, c_custkey % 3 AS success_count, 0::BIGINT AS fail_count FROM customer
+       UNION ALL SELECT * FROM (VALUES (1, '.*seg.*', 'HOUSH.*', '{value}.lower()', 'generic', 3, 1), (2, 'segment', 'hous', 'HOUSEHOLD', 'generic', 5, 0),
+              (3, '.*', '(', 'broken', 'generic', 9, 0), (4, 'bal.*', '9{3,}', '0.00', 'finance', 9, 0), (5, 'bal.*', '\\d+', '{value}.title()', 'generic', 0, 0)) t""",
+)
+def _patterns_added(spark, sf):
+    new = table(spark, sf, "customer").select(
+        F.lit(".*name.*").alias("column_pattern"), F.col("c_name").alias("value_pattern"), F.upper("c_name").alias("fix_template"),
+        F.lit("generic").alias("domain"), (F.col("c_custkey") % 3).cast("bigint").alias("success_count"), F.lit(0).cast("bigint").alias("fail_count"),
+    )
+    return pt.add_patterns(_segment_patterns(spark), new)
+
+
 # ---- fuzzy ------------------------------------------------------------------------------
 
 
@@ -1406,6 +1422,33 @@ def _loop_actions(spark, sf):
     return _action_cols(_meter_run(spark, sf).actions)
 
 
+def _meter_stream(spark, sf) -> str:
+    """Events as a stream of files, cleaned batch by batch; where the batches were written."""
+    out = f"{shared_dir(spark).rstrip('/')}/cellwright/stream-{uuid4().hex}"
+    # as a glob, since a plain path of a stream must be a folder
+    events = batches.file_stream(spark, f"{sf}/{{events}}.parquet", table(spark, sf, "events").schema)
+    meter = spark.sql(VIEWS["dirty_meter"].replace("FROM events", "FROM {events}"), events=events)
+    batches.clean_batches(meter, f"{out}/batches", f"{out}/progress", row_col=R).awaitTermination()
+    return f"{out}/batches"
+
+
+@query(
+    "stream_clean",
+    f"""{_METER} SELECT row_no AS row_id, max(v) FILTER (WHERE col = 'reading') AS reading, max(v) FILTER (WHERE col = 'kind') AS kind FROM twice GROUP BY row_no""",
+)
+def _stream_clean(spark, sf):
+    # all files there are make one batch
+    return batches.read_batches(spark, _meter_stream(spark, sf)).select(F.col(rows.ROW).alias("row_id"), "reading", "kind")
+
+
+@query(
+    "stream_counts",
+    f"""{with_views('dirty_meter')} SELECT col AS "column", v AS value, count(*) AS n FROM ({cells_sql('dirty_meter')}) cells GROUP BY 1, 2""",
+)
+def _stream_counts(spark, sf):
+    return batches.merged_counts(spark, _meter_stream(spark, sf))
+
+
 _MANY_RARE = f"""{with_views('event_users')}, cells AS ({cells_sql('event_users')}),
     freq AS (SELECT col, v, count(*) AS n FROM cells WHERE {PRESENT} GROUP BY col, v),
     sizes AS (SELECT col, sum(n) AS present, count(*) AS kinds FROM freq GROUP BY col),
