@@ -74,6 +74,14 @@ def _zone(place: Column) -> Column:
     return F.floor(F.log2(place + 1)).cast("int")
 
 
+def _salts() -> Column:
+    return F.array(*[F.lit(i) for i in range(SALTS)])
+
+
+def _salt(text: str) -> Column:
+    return F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int")
+
+
 def canonical_keys(canonicals: DataFrame, metric: str, threshold: float) -> DataFrame:
     """``(c, lc, size, zone, piece, begin, rank)``: for each canonical as many pieces as its partners' edits can't all hit.
 
@@ -87,9 +95,11 @@ def canonical_keys(canonicals: DataFrame, metric: str, threshold: float) -> Data
         lambda i: F.struct((i * F.col("size")).alias("begin"), F.substring(F.col("c"), i * F.col("size") + 1, F.col("size")).alias("piece")),
     )
     grid = cut_up.withColumn("p", F.explode(pieces)).select("c", "lc", "edits", "size", _zone(F.col("p.begin")).alias("zone"), "p.*")
-    held = grid.groupBy("size", "zone", "piece").agg(F.count("*").alias("held"))
+    # a piece that most canonicals hold is spread over salts
+    held = grid.groupBy("size", "zone", "piece").agg(F.count("*").alias("held")).withColumn("salt", F.explode(_salts()))
+    grid = grid.withColumn("salt", _salt("c"))
     # the pieces of one text: as many as it is long at most
-    each = grid.join(held, ["size", "zone", "piece"]).groupBy("c", "lc", "edits", "size").agg(
+    each = grid.join(held, ["size", "zone", "piece", "salt"]).groupBy("c", "lc", "edits", "size").agg(
         F.sort_array(F.collect_list(F.struct("held", "begin", "zone", "piece"))).alias("p")
     )
     rarest = F.slice("p", 1, F.col("edits") + 1)
@@ -134,16 +144,15 @@ def fuzzy_pairs(values: DataFrame, canonicals: DataFrame, metric: str, threshold
     """
     if not 0.005 < threshold <= 1:
         raise ValueError("threshold must lie above 0.005 and be 1 at most")
-    salts = F.array(*[F.lit(i) for i in range(SALTS)])
-    salt = F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int").alias("salt")
+    salt = _salt("v").alias("salt")
     k = _allowed(F.col("lv"), F.col("lc"), metric, threshold)
     if (1 - threshold + 0.005) * (1 + _stretch("ratio", threshold)) >= 1 if metric == "ratio" else threshold <= 0.5:
         left = _letters(values, "v").select("*", F.length("v").alias("lv"), salt)
-        right = _letters(canonicals, "c").select("*", F.length("c").alias("lc"), F.explode(salts).alias("salt"))
+        right = _letters(canonicals, "c").select("*", F.length("c").alias("lc"), F.explode(_salts()).alias("salt"))
         met = left.join(right, ["piece", "salt"]).where(F.abs(F.col("lv") - F.col("lc")) <= k)
     else:
         left = value_keys(values, metric, threshold).select("*", salt)
-        right = canonical_keys(canonicals, metric, threshold).select("*", F.explode(salts).alias("salt"))
+        right = canonical_keys(canonicals, metric, threshold).select("*", F.explode(_salts()).alias("salt"))
         shift = F.col("start") - F.col("begin")
         met = left.join(right, ["size", "zone", "piece", "salt"]).where(
             (F.abs(shift) <= F.col("rank")) & (F.abs(shift - F.col("lv") + F.col("lc")) <= k - F.col("rank"))

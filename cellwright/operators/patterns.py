@@ -174,16 +174,21 @@ def pattern_candidates(values: DataFrame, per_column: DataFrame) -> DataFrame:
     A pattern has one key: the text its matches begin with, else the piece of its literal that the fewest patterns of the column
     hold, else none, and then every value of the column meets it. A value looks up the keys it can hold, in the sizes that occur.
     """
+    salts = F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))
     described = per_column.withColumn("l", _literals(F.col("value_pattern")))
     text = F.col("l.literal")
     start = F.when(F.col("l.at_start"), F.concat(F.lit("^"), F.substring(text, 1, LONGEST_PREFIX)))
     inner = F.transform(F.array_distinct(_grams(text, F.least(F.lit(GRAM), F.length(text)))), lambda g: F.concat(F.lit("~"), g))
     none = F.array(F.lit("*"))
-    pieces = F.when(text == "", none).when(start.isNotNull(), F.array(start)).otherwise(inner)
-    options = described.withColumn("key", F.explode(pieces)).drop("l")
-    held = options.groupBy("column", "key").agg(F.count("*").alias("_held"))
     whole = [c for c in per_column.columns if c not in ("column", "id")]
-    keyed = options.join(held, ["column", "key"]).groupBy("column", "id", *whole).agg(F.min_by("key", F.struct("_held", "key")).alias("key"))
+    sure = described.where((text == "") | F.col("l.at_start")).select("column", "id", *whole, F.when(text == "", "*").otherwise(start).alias("key"))
+    # only a literal inside has a choice of keys; a piece that most patterns hold is spread over salts like the values below
+    options = described.where((text != "") & ~F.col("l.at_start")).withColumn("key", F.explode(inner)).drop("l")
+    options = options.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    held = options.groupBy("column", "key").agg(F.count("*").alias("_held")).withColumn("_salt", F.explode(salts))
+    keyed = sure.unionByName(
+        options.join(held, ["column", "key", "_salt"]).groupBy("column", "id", *whole).agg(F.min_by("key", F.struct("_held", "key")).alias("key"))
+    )
     # a few dozen sizes for each column of the table
     sizes = keyed.groupBy("column").agg(F.collect_set(F.when(F.col("key").startswith("^"), F.length("key") - 1)).alias("_starts"),
                                         F.collect_set(F.when(F.col("key").startswith("~"), F.length("key") - 1)).alias("_sizes"))
@@ -193,7 +198,7 @@ def pattern_candidates(values: DataFrame, per_column: DataFrame) -> DataFrame:
     looked = folded.select("column", "value", F.explode(F.concat(starts, inside, none)).alias("key"))
     # a key that many values hold, or none, is spread over salts, and its patterns repeated for each
     spread = looked.withColumn("_salt", F.pmod(F.xxhash64("value"), F.lit(SALTS)))
-    repeated = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    repeated = keyed.withColumn("_salt", F.explode(salts))
     return spread.join(repeated, ["column", "key", "_salt"]).drop("key", "_salt")
 
 
