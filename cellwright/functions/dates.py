@@ -7,7 +7,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-from .text import strip
 
 # ---- fixed values: accepted date formats in order of precedence -----------------------
 # rule suffix, shape, format
@@ -42,14 +41,14 @@ def let(x: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(x), use)[0]
 
 
-def _try_day(parts: Column, fmt: str) -> Column:
-    """ISO text of the day whose parts stand in the order of ``fmt``; NULL when there is no such day."""
+def _try_date(parts: Column, fmt: str) -> Column:
+    """The day whose parts stand in the order of ``fmt``; NULL when there is no such day. No parser raises an error on the way."""
     order = [p[0] for p in re.split(r"[/.-]", fmt)]
     year, month, day = (parts[order.index(k)] for k in "yMd")
     if not fmt.count("y") == 4:
         # two-digit years from 69 on belong to the last century
         year = F.concat(F.when(year >= "69", "19").otherwise("20"), year)
-    return F.concat_ws("-", year, month, day).try_cast("date").cast("string")
+    return F.concat_ws("-", year, month, day).try_cast("date")
 
 
 def date_with_format(text: Column, formats: list[tuple[str, str, str]] = DATE_FORMATS) -> Column:
@@ -61,7 +60,7 @@ def date_with_format(text: Column, formats: list[tuple[str, str, str]] = DATE_FO
     def tried(parts: Column) -> Column:
         out = F.lit(None).cast("string")
         for shape, group in by_shape.items():
-            hits = F.coalesce(*[F.concat(_try_day(parts, fmt), F.lit(f"|{name}")) for name, fmt in group])
+            hits = F.coalesce(*[F.concat(_try_date(parts, fmt).cast("string"), F.lit(f"|{name}")) for name, fmt in group])
             out = F.when(parts[3].rlike(shape), hits).otherwise(out)
         return out
 
@@ -71,12 +70,14 @@ def date_with_format(text: Column, formats: list[tuple[str, str, str]] = DATE_FO
     return F.when(some, let(F.concat(F.split(whole, r"[/.\-]"), F.array(whole)), tried))
 
 
-def moment_readers(c: Column) -> dict[str, Column]:
-    """Per format, in order of precedence, the timestamp that it reads in a text; NULL where it reads none. ISO texts may have a time."""
-    text = strip(c.cast("string"))
+def moment_readers(text: Column) -> dict[str, Column]:
+    """Per format, in order of precedence, the timestamp that it reads in a stripped text; NULL where it reads none. ISO texts may have a time."""
     iso = F.coalesce(
-        F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(text, "yyyy-M-d")).cast("timestamp"),
+        F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), text.try_cast("date")).cast("timestamp"),
         F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}[T ]\d"), text.try_cast("timestamp")),
     )
-    others = {fmt: F.when(text.rlike(shape), F.try_to_date(text, fmt)).cast("timestamp") for fmt, shape in MOMENT_FORMATS}
+    others = {
+        fmt: F.when(text.rlike(shape), _try_date(F.split(text, rf"\{re.search('[/.-]', fmt)[0]}"), fmt)).cast("timestamp")
+        for fmt, shape in MOMENT_FORMATS
+    }
     return {ISO_MOMENT: iso} | others

@@ -97,6 +97,19 @@ def with_chunk_id(df: DataFrame, chunk_rows: int = 50_000, row_col: str = ROW) -
     return df.withColumn("chunk_id", F.floor(F.col(row_col) / chunk_rows).cast("bigint"))
 
 
+def spread(df: DataFrame, rows_per_task: int = 50_000) -> DataFrame:
+    """The rows dealt out over tasks of about ``rows_per_task``, for work on a row that costs far more than reading it.
+
+    A scan deals out bytes, and a few megabytes of packed columns hold millions of short rows, which would go to one task.
+    Small tables stay as they are. Counts the rows first; on files that is read from their footers.
+    """
+    parts = -(-df.count() // rows_per_task)
+    if parts <= 1:
+        return df
+    check_names(df.columns, ("_deal",))
+    return df.withColumn("_deal", F.monotonically_increasing_id()).repartition(parts, "_deal").drop("_deal")
+
+
 def cells(df: DataFrame, columns: list[str] | None = None, row_col: str = ROW) -> DataFrame:
     """Long form ``(row, column, value)``; a narrow, map-side step."""
     columns = columns or data_columns(df, row_col)

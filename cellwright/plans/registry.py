@@ -486,7 +486,7 @@ _DATED = f"""{with_views('dated_orders')}, cells AS ({cells_sql('dated_orders')}
 
 @query("date_formats", f"""{_DATED} SELECT col AS "column", format, filled, n AS read, chosen FROM ranked""")
 def _date_formats(spark, sf):
-    return an.date_formats(view(spark, sf, "dated_orders"), COLUMNS["dated_orders"])
+    return an.date_formats(rows.spread(view(spark, sf, "dated_orders"), 500_000), COLUMNS["dated_orders"])
 
 
 @query(
@@ -498,7 +498,7 @@ def _date_formats(spark, sf):
     WHERE regexp_matches(s.col, 'start|begin') AND regexp_matches(e.col, 'end|finish') AND s.moment > e.moment""",
 )
 def _date_order_formats(spark, sf):
-    return an.date_order_violations(view(spark, sf, "dated_orders"), R)
+    return an.date_order_violations(rows.spread(view(spark, sf, "dated_orders"), 500_000), R)
 
 
 # ---- rules ------------------------------------------------------------------------------
