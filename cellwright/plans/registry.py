@@ -561,12 +561,13 @@ _FIRES, _NEW, _NAME, _CONF = _first_rule_sql()
 
 
 def _contact_cells(spark, sf) -> DataFrame:
-    parts = [rows.cells(view(spark, sf, n), COLUMNS[n], R) for n in ("dirty_contacts", "dirty_customer")]
+    parts = [rows.cells(rows.spread(view(spark, sf, n)), COLUMNS[n], R) for n in ("dirty_contacts", "dirty_customer")]
     return parts[0].unionByName(parts[1])
 
 
 def _rule_rows(df: DataFrame, fix) -> DataFrame:
-    out = df.withColumn("fix", fix).where(F.col("fix").isNotNull())
+    # a list of one or none: a filter on the fix would run every rule once to test and once more to show it
+    out = df.select("row", "column", "value", F.explode(F.array_compact(F.array(fix))).alias("fix"))
     return out.select("row", "column", F.col("value").alias("old_value"), "fix.new_value", "fix.rule", "fix.confidence")
 
 
