@@ -35,24 +35,24 @@ class Repaired:
     row_col: str = ROW
     external: DataFrame | None = None
 
-    @property
-    def _log(self) -> DataFrame:
-        return (
-            self.table.select(F.col(self.row_col).alias("row"), F.explode("_changes").alias("c"))
-            .select("row", "c.*")
-        )
+    def _log(self, fixed: bool) -> DataFrame:
+        """The changes with or without a fix.
+
+        The list is filtered before it is taken apart: a bare list would be tested for entries below the explode, and for that
+        every rule run a second time, outside of generated code.
+        """
+        wanted = F.filter("_changes", lambda x: x["rule"].isNotNull() if fixed else x["rule"].isNull())
+        return self.table.select(F.col(self.row_col).alias("row"), F.explode(wanted).alias("c")).select("row", "c.*")
 
     @property
     def actions(self) -> DataFrame:
-        out = action_rows(self._log.where(F.col("rule").isNotNull()))
+        out = action_rows(self._log(True))
         return out if self.external is None else out.unionByName(self.external)
 
     @property
     def unresolved(self) -> DataFrame:
         """Flagged cells that no rule could fix."""
-        return self._log.where(F.col("rule").isNull()).select(
-            "row", "column", "value", "old_value", "issue_type", "details"
-        )
+        return self._log(False).select("row", "column", "value", "old_value", "issue_type", "details")
 
     @property
     def cleaned(self) -> DataFrame:

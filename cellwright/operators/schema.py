@@ -10,7 +10,7 @@ from ..config import CleanConfig
 from ..functions.text import FORMAT_PATTERNS, is_blank, is_profile_null, looks_numeric, plain_text
 from ..session import cut
 from .counts import cell_counts, numeric_summary
-from .rows import ROW, check_names, col, data_columns
+from .rows import ROW, check_names, col, data_columns, spread
 
 # The share of values a type or format must exceed, in order of precedence.
 NUMERIC_SHARE = 0.8
@@ -248,9 +248,9 @@ def collect_facts(
     """
     if types is None:
         # one row per column: written once, so its four readers do not each redo the pass
-        types = cut(type_counts(counts), "types")
+        types = cut(type_counts(spread(counts)), "types")
     if summary is None:
-        summary = numeric_summary(counts)
+        summary = numeric_summary(spread(counts))
     mode = "mode_all" if config.strict_nulls else "mode"
     report = (
         schema_report(types)
@@ -275,7 +275,7 @@ def facts_with_rare(
     """The table and its facts, with the helper columns of ``with_rare_counts`` where ``config`` sets no limit of rare values."""
     columns = columns or data_columns(df, row_col)
     counts = cut(cell_counts(df, columns, row_col), "counts")
-    types = cut(type_counts(counts), "types")
+    types = cut(type_counts(spread(counts)), "types")
     facts = collect_facts(counts, config, types=types)
     facts = {c: facts.get(c, ColumnFacts(c, "empty")) for c in columns}
     return with_rare_counts(df, facts, counts, types) if config.rare_max_values is None else (df, facts)

@@ -633,7 +633,7 @@ _ACTION_OUT = """SELECT row_no AS "row", col AS "column", v AS old_value, new_va
 
 
 def _repaired(spark, sf, name="dirty_customer", patterns=None, proposals=None, config=CleanConfig()):
-    v = view(spark, sf, name)
+    v = rows.spread(view(spark, sf, name))
     # fixes by join read the open cells more than once
     joined = proposals is not None or patterns is not None
     keep = {"keep": lambda t: cut(t, "repaired")} if joined else {}
@@ -737,7 +737,7 @@ def _pattern_repair(spark, sf):
 @query("pattern_repair_by_join", _PATTERNED)
 def _pattern_repair_join(spark, sf):
     found = _repaired(spark, sf, patterns=_segment_patterns(spark))
-    return _action_cols(found.external.unionByName(rp.action_rows(found._log.where(F.col("rule").isNotNull()))))
+    return _action_cols(found.external.unionByName(rp.action_rows(found._log(True))))
 
 
 @query(
