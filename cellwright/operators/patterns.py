@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.rules import python_title
 from ..functions.text import strip
+from ..session import cut
+from .rows import spread
 
 PATTERN_SCHEMA = (
     "id bigint, column_pattern string, value_pattern string, fix_template string, "
@@ -16,9 +18,11 @@ PATTERN_SCHEMA = (
 )
 DEFAULT_CONFIDENCE = 0.85  # fixed value: a pattern without history
 GENERIC = "generic"
-SALTS = 16
-GRAM = 4  # characters of a literal that a value is looked up by, where the literal is not its beginning
+PART = 50_000  # lookups of one key that meet its patterns in one place
+GRAM = 4  # characters from which on a literal that matches begin with is taken before longer ones inside
 LONGEST_PREFIX = 64
+# Characters of the piece that a value is looked up by, where the literal is not its beginning: the largest that fits.
+PIECES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64)
 
 
 def pattern_confidence(success: Column, fail: Column) -> Column:
@@ -163,43 +167,62 @@ def _fold(c: Column) -> Column:
     return F.lower(F.translate(c, "\u0130\u0131\u017f\u212a", "iisk"))
 
 
+def _key(kind: str, text: Column | None = None) -> Column:
+    """A key as a number: a chance meeting of two keys adds a pair that the expression itself then turns down."""
+    return F.xxhash64(F.lit(kind), *([] if text is None else [text]))
+
+
 def _grams(text: Column, size: Column) -> Column:
+    """The keys of all pieces of a text that have ``size`` characters."""
     count = F.length(text) - size + 1
-    return F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.substring(text, i, size))).otherwise(F.array().cast("array<string>"))
+    keys = F.transform(F.sequence(F.lit(1), count), lambda i: _key("~", F.substring(text, i, size)))
+    return F.when(count > 0, F.array_distinct(keys)).otherwise(F.array().cast("array<bigint>"))
 
 
 def pattern_candidates(values: DataFrame, per_column: DataFrame) -> DataFrame:
     """Values beside the patterns of their column whose literal they hold.
 
     A pattern has one key: the text its matches begin with, else the piece of its literal that the fewest patterns of the column
-    hold, else none, and then every value of the column meets it. A value looks up the keys it can hold, in the sizes that occur.
+    hold, else none, and then every value of the column meets it. A piece is as long as ``PIECES`` allow, so that keys don't get
+    crowded as patterns grow in number. A value looks up the keys it can hold, in the sizes that occur. A key that many values
+    look up is spread over parts, and only such a key's patterns are repeated, once for each part.
     """
-    salts = F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))
     described = per_column.withColumn("l", _literals(F.col("value_pattern")))
     text = F.col("l.literal")
-    start = F.when(F.col("l.at_start"), F.concat(F.lit("^"), F.substring(text, 1, LONGEST_PREFIX)))
-    inner = F.transform(F.array_distinct(_grams(text, F.least(F.lit(GRAM), F.length(text)))), lambda g: F.concat(F.lit("~"), g))
-    none = F.array(F.lit("*"))
+    kind = F.when(text == "", "*").when(F.col("l.at_start"), "^").otherwise("~")
+    fitting = F.array_max(F.filter(F.array(*map(F.lit, PIECES)), lambda n: n <= F.length(text)))
+    size = F.when(kind == "^", F.least(F.lit(LONGEST_PREFIX), F.length(text))).when(kind == "~", fitting).otherwise(0)
+    # read four times below, and a literal is a scan by Python
+    described = cut(described.select(*per_column.columns, text.alias("_literal"), kind.alias("_kind"), size.alias("_size")), "patterns")
     whole = [c for c in per_column.columns if c not in ("column", "id")]
-    sure = described.where((text == "") | F.col("l.at_start")).select("column", "id", *whole, F.when(text == "", "*").otherwise(start).alias("key"))
-    # only a literal inside has a choice of keys; a piece that most patterns hold is spread over salts like the values below
-    options = described.where((text != "") & ~F.col("l.at_start")).withColumn("key", F.explode(inner)).drop("l")
-    options = options.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
-    held = options.groupBy("column", "key").agg(F.count("*").alias("_held")).withColumn("_salt", F.explode(salts))
+    own = ["column", "id", *whole, "_kind", "_size"]
+    start = F.when(F.col("_kind") == "*", _key("*")).otherwise(_key("^", F.substring(F.col("_literal"), F.lit(1), F.col("_size"))))
+    sure = described.where("_kind != '~'").select(*own, start.alias("key"))
+    # only a literal inside has a choice of keys
+    options = described.where("_kind = '~'").select(*own, F.explode(_grams(F.col("_literal"), F.col("_size"))).alias("key"))
+    held = options.groupBy("column", "key").agg(F.count("*").alias("_held"))
     keyed = sure.unionByName(
-        options.join(held, ["column", "key", "_salt"]).groupBy("column", "id", *whole).agg(F.min_by("key", F.struct("_held", "key")).alias("key"))
+        options.join(held, ["column", "key"]).groupBy(*own).agg(F.min_by("key", F.struct("_held", "key")).alias("key"))
     )
     # a few dozen sizes for each column of the table
-    sizes = keyed.groupBy("column").agg(F.collect_set(F.when(F.col("key").startswith("^"), F.length("key") - 1)).alias("_starts"),
-                                        F.collect_set(F.when(F.col("key").startswith("~"), F.length("key") - 1)).alias("_sizes"))
-    folded = values.select("column", "value").distinct().join(F.broadcast(sizes), "column").withColumn("_text", _fold(F.col("value")))
-    starts = F.transform(F.filter("_starts", lambda n: n <= F.length("_text")), lambda n: F.concat(F.lit("^"), F.substring(F.col("_text"), F.lit(1), n)))
-    inside = F.flatten(F.transform("_sizes", lambda n: F.transform(F.array_distinct(_grams(F.col("_text"), n)), lambda g: F.concat(F.lit("~"), g))))
+    sizes = described.groupBy("column").agg(
+        F.collect_set(F.when(F.col("_kind") == "^", F.col("_size"))).alias("_starts"),
+        F.collect_set(F.when(F.col("_kind") == "~", F.col("_size"))).alias("_sizes"), F.bool_or(F.col("_kind") == "*").alias("_open"),
+    )
+    distinct = cut(values.select("column", "value").distinct(), "values")
+    folded = spread(distinct).join(F.broadcast(sizes), "column").withColumn("_text", _fold(F.col("value")))
+    starts = F.transform(F.filter("_starts", lambda n: n <= F.length("_text")), lambda n: _key("^", F.substring(F.col("_text"), F.lit(1), n)))
+    inside = F.flatten(F.transform("_sizes", lambda n: _grams(F.col("_text"), n)))
+    none = F.when(F.col("_open"), F.array(_key("*"))).otherwise(F.array().cast("array<bigint>"))
     looked = folded.select("column", "value", F.explode(F.concat(starts, inside, none)).alias("key"))
-    # a key that many values hold, or none, is spread over salts, and its patterns repeated for each
-    spread = looked.withColumn("_salt", F.pmod(F.xxhash64("value"), F.lit(SALTS)))
-    repeated = keyed.withColumn("_salt", F.explode(salts))
-    return spread.join(repeated, ["column", "key", "_salt"]).drop("key", "_salt")
+    # one row for each ``PART`` lookups at most
+    hot = looked.groupBy("column", "key").agg(F.count("*").alias("_n")).where(F.col("_n") > PART)
+    hot = cut(hot.select("column", "key", F.ceil(F.col("_n") / PART).alias("_parts")), "hot-keys")
+    part = F.coalesce(F.pmod(F.xxhash64("value"), F.col("_parts")), F.lit(0).cast("bigint"))
+    last = F.coalesce(F.col("_parts"), F.lit(1).cast("bigint")) - 1
+    dealt = looked.join(F.broadcast(hot), ["column", "key"], "left").select("column", "value", "key", part.alias("_part"))
+    repeated = keyed.join(F.broadcast(hot), ["column", "key"], "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    return dealt.join(repeated.drop("_parts", "_kind", "_size"), ["column", "key", "_part"]).drop("key", "_part")
 
 
 def match_patterns(values: DataFrame, patterns: DataFrame, columns: list[str], domain: str = GENERIC) -> DataFrame:
@@ -210,7 +233,7 @@ def match_patterns(values: DataFrame, patterns: DataFrame, columns: list[str], d
     """
     spark = values.sparkSession
     names = spark.createDataFrame([(c,) for c in columns], "column string")
-    live = patterns.where(F.col("domain").isin(domain, GENERIC))
+    live = spread(patterns).where(F.col("domain").isin(domain, GENERIC))
     live = live.where(_valid("column_pattern") & _valid("value_pattern"))
     # the names of one table's columns: a driver-held list
     per_column = live.join(F.broadcast(names), F.rlike(F.col("column"), _expression("column_pattern"))).select(

@@ -307,3 +307,53 @@ def test_pattern_index_loses_no_match(spark):
     items = spark.range(2_000).selectExpr("'c' AS column", "concat('item NO ', id * 5, ' of 9 ', id) AS value")
     assert pattern_candidates(items, many.withColumn("column", F.lit("c"))).count() == 2_000
     assert match_patterns(items, many, ["c"]).where("pattern_id = cast(split(value, ' ')[2] AS bigint)").count() == 2_000
+
+
+def test_pattern_pieces_grow_with_the_literal(spark):
+    """Numbers beside one another: short pieces are held by many of them, and each would meet all of those."""
+    from cellwright.operators import patterns as pt
+
+    told = spark.range(3_000).selectExpr("id", "'c' AS column", "concat('\\\\s+no', lpad(id, 9, '0')) AS value_pattern", "1L AS success_count", "0L AS fail_count")
+    values = spark.range(3_000).selectExpr("'c' AS column", "concat(' no', lpad(id, 9, '0')) AS value")
+    met = pt.pattern_candidates(values, told)
+    assert met.where("value_pattern = concat('\\\\s+', trim(value))").count() == 3_000
+    assert met.count() <= 3_100
+
+
+def test_crowded_keys_are_dealt_out(spark, monkeypatch):
+    from cellwright.operators import patterns as pt
+
+    monkeypatch.setattr(pt, "PART", 10)
+    told = spark.createDataFrame([(1, "c", ".*", 1, 0), (2, "c", ".*7", 1, 0), (3, "c", r"\s*abc", 1, 0), (None, "c", "x", 1, 0)],
+                                 "id bigint, column string, value_pattern string, success_count bigint, fail_count bigint")
+    values = spark.range(200).selectExpr("'c' AS column", "concat('abc', id) AS value")
+    got = {r["id"]: r["count"] for r in pt.pattern_candidates(values, told).groupBy("id").count().collect()}
+    assert got == {1: 200, 2: sum("7" in str(i) for i in range(200)), 3: 200}
+
+
+def test_rules_run_once_for_a_cell(spark, table):
+    """A filter under the log would run all rules once more, outside of generated code."""
+    from cellwright.functions.rules import format_fix
+    from cellwright.operators.repair import repair
+    from cellwright.operators.schema import facts_of
+    from cellwright.plans.registry import _rule_rows
+
+    t = table(["a", "b"], [(" x ", "" if i % 2 else str(i)) for i in range(30)])
+    done = repair(t, facts_of(t))
+    cells = t.selectExpr("_row AS row", "'a' AS column", "a AS value")
+    for log in (done.actions, done.unresolved, _rule_rows(cells, format_fix(F.col("value"), F.col("column")))):
+        plan = log._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp_replace" not in "".join(line for line in plan.splitlines() if "Filter" in line)
+    assert done.actions.where("column = 'b' and rule = 'rule:median_impute'").count() == 15
+    assert _rule_rows(cells, format_fix(F.col("value"), F.col("column"))).where("new_value = 'x'").count() == 30
+
+
+def test_rows_are_dealt_out(spark):
+    from cellwright.operators.rows import spread
+
+    t = spark.range(1_000, numPartitions=1).selectExpr("nullif(id % 3, 0) AS k", "'x' AS v")
+    dealt = spread(t, 100)
+    assert dealt.rdd.getNumPartitions() == 10 and dealt.columns == ["k", "v"]
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, t.collect()))
+    assert max(len(p) for p in dealt.rdd.glom().collect()) < 200
+    assert spread(t, 1_000).rdd.getNumPartitions() == 1
