@@ -73,7 +73,8 @@ def exact_quantiles(nums: DataFrame, probs: dict[str, float]) -> DataFrame:
     ``DIGIT`` bits, so none has more than 2 ** ``DIGIT`` members, however close the numbers lie. No column is sorted as a
     whole, and no sketch is merged in a single task.
     """
-    imaged = nums.select("column", order_image(F.col("x")).alias("image"), "x", "n")
+    # an image costs far more than reading one, and each level reads them
+    imaged = cut(nums.select("column", order_image(F.col("x")).alias("image"), "x", "n"), "images")
     wanted = F.array(
         *[
             F.struct(F.lit(name).alias("name"), F.lit(part).alias("part"), rounder(pos).cast("bigint").alias("rank"), pos.alias("pos"))
