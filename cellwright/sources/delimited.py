@@ -11,14 +11,16 @@ from ..session import cut
 from ..operators.rows import ROW, with_row_index
 
 FILE, RANGE, PLACE = "_source_file", "_range", "_place"
+LENGTH, SLOT = "_length", "_slot"
+#: Ranges that start within this many bytes of all files share a task; a longer range has one of its own.
+SLOT_BYTES = 4 << 20
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(_source_file, _range, _place, value)``: the lines of text files as bytes, with file, range and place in the range."""
+    """``(_source_file, _range, _length, _place, value)``: the lines of text files as bytes, with file, range, its bytes, and place in it."""
     lines = spark.read.option("lineSep", "\n").text(path)
-    return lines.select(
-        F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_block_start").alias(RANGE), F.monotonically_increasing_id().alias(PLACE), "value"
-    )
+    block = [F.col("_metadata.file_block_start").alias(RANGE), F.col("_metadata.file_block_length").alias(LENGTH)]
+    return lines.select(F.col("_metadata.file_path").alias(FILE), *block, F.monotonically_increasing_id().alias(PLACE), "value")
 
 
 class Quotes:
@@ -74,10 +76,29 @@ def marked_lines(lines: DataFrame, sep: str) -> DataFrame:
     return cut(lines.select("*", q.after_closed(value).alias("_c"), q.after_open(value).alias("_o"), blank.alias("_blank")), "lines", "gzip")
 
 
-def _placed(marked: DataFrame) -> DataFrame:
+def range_slots(marked: DataFrame) -> DataFrame:
+    """``(_source_file, _range, _slot)``, a row a range: the task that gets its lines, counted from 0.
+
+    Ranges are dealt out in file order by their bytes, so a task gets ``SLOT_BYTES`` and one range at most, however large the files
+    are and whatever the number of shuffle partitions is. Splits are a list that the driver already keeps.
+    """
+    sizes = marked.groupBy(FILE, RANGE).agg(F.max(LENGTH).alias(LENGTH))
+    before = sizes.withColumn("_before", F.sum(LENGTH).over(Window.orderBy(FILE, RANGE)) - F.col(LENGTH))
+    slot = F.dense_rank().over(Window.orderBy(F.floor(F.col("_before") / SLOT_BYTES))) - 1
+    return cut(before.select(FILE, RANGE, slot.alias(SLOT)), "slots")
+
+
+def _dealt(lines: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The lines with what ``ranges`` tells of their range, each slot in a task of its own."""
+    slots = (ranges.agg(F.max(SLOT)).first()[0] or 0) + 1
+    # one row per file split
+    return lines.drop(LENGTH).join(F.broadcast(ranges), [FILE, RANGE]).repartitionById(slots, SLOT)
+
+
+def _placed(dealt: DataFrame) -> DataFrame:
     """The steps of the lines within their ranges: see ``_states``."""
     fixed, swaps = F.when(F.col("_c") == F.col("_o"), F.col("_c")), F.when(F.col("_c") > F.col("_o"), 1).otherwise(0)
-    return _states(marked, [FILE, RANGE], PLACE, fixed, swaps)
+    return _states(dealt, [SLOT, FILE, RANGE], PLACE, fixed, swaps)
 
 
 def _state() -> Column:
@@ -85,14 +106,15 @@ def _state() -> Column:
 
 
 def range_states(marked: DataFrame) -> DataFrame:
-    """``(_source_file, _range, entry, goes_on, last, held, first)``, a row a range: the states in front of it and behind it, its last
-    record's place, the record that it starts in (NULL: none), and the place of the file's header.
+    """``(_source_file, _range, _slot, entry, goes_on, last, held, first)``, a row a range: its task, the states in front of it and behind
+    it, its last record's place, the record that it starts in (NULL: none), and the place of the file's header.
 
     What a line does to the state "inside a quoted cell" is one of four functions. Their composition is a prefix scan: within the
     ranges, then over one row a range, so a range learns from those before it whether it starts inside a cell. Texts don't
     take part.
     """
-    steps = cut(_placed(marked.drop("value")), "steps")
+    slots = range_slots(marked)
+    steps = cut(_placed(_dealt(marked.drop("value"), slots)), "steps")
     fixed_end = F.struct(F.lit(True).alias("known"), F.col("_fixed").cast("bigint").alias("parity"))
     behind = F.when(F.col("_fixed").isNotNull(), fixed_end).otherwise(F.struct("known", ((F.col("parity") + F.col("_swaps")) % 2).alias("parity")))
     ends = steps.groupBy(FILE, RANGE).agg(F.max_by(behind, PLACE).alias("end"))
@@ -107,20 +129,21 @@ def range_states(marked: DataFrame) -> DataFrame:
     earlier = Window.partitionBy(FILE).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
     held = F.last(F.when(F.col("last").isNotNull(), F.struct(RANGE, F.col("last").alias(PLACE))), ignorenulls=True).over(earlier)
     first = F.min(F.when(F.col("_first").isNotNull(), F.struct(RANGE, F.col("_first").alias(PLACE)))).over(Window.partitionBy(FILE))
-    return cut(ranges.join(found, [FILE, RANGE]).withColumn("held", held).withColumn("first", first).drop("_first"), "range-states")
+    found = ranges.join(found, [FILE, RANGE]).withColumn("held", held).withColumn("first", first).drop("_first")
+    return cut(found.join(slots, [FILE, RANGE]), "range-states")
 
 
 def records(marked: DataFrame, ranges: DataFrame) -> DataFrame:
     """``(_source_file, _range, _place, record, header)``: lines put together where a quoted cell goes on in the next one.
 
-    One shuffle brings the lines of a range together; only records that cross a range's end meet in a second one. A cell that is never
-    closed goes on to the end of its file, in one row.
+    One shuffle brings the lines of a range together, a slot a task; only records that cross a range's end meet in a second one. A cell
+    that is never closed goes on to the end of its file, in one row.
     """
-    placed = _placed(marked.join(ranges, [FILE, RANGE]).repartition(FILE, RANGE))
-    opener = F.last(F.when(_state() == 0, F.col(PLACE)), ignorenulls=True).over(Window.partitionBy(FILE, RANGE).orderBy(PLACE))
+    placed = _placed(_dealt(marked, ranges))
+    opener = F.last(F.when(_state() == 0, F.col(PLACE)), ignorenulls=True).over(Window.partitionBy(SLOT, FILE, RANGE).orderBy(PLACE))
     owned = placed.withColumn("_own", opener)
     kept = [F.first(c).alias(c) for c in ("held", "first", "last", "goes_on")]
-    pieces = owned.groupBy(FILE, RANGE, "_own").agg(F.sort_array(F.collect_list(F.struct(PLACE, "value"))).alias("_lines"), *kept)
+    pieces = owned.groupBy(SLOT, FILE, RANGE, "_own").agg(F.sort_array(F.collect_list(F.struct(PLACE, "value"))).alias("_lines"), *kept)
     pieces = pieces.withColumn("record", F.array_join("_lines.value", "\n")).drop("_lines")
     key = F.when(F.col("_own").isNotNull(), F.struct(F.col(RANGE), F.col("_own").alias(PLACE))).otherwise(F.col("held"))
     pieces = pieces.withColumn("_key", key).withColumn("_cross", F.col("_own").isNull() | (F.col("goes_on") & (F.col("_own") == F.col("last"))))
@@ -149,15 +172,16 @@ def read_records(lines: DataFrame, facts: DataFrame, sep: str, row_index: bool =
     # patterns would replace bytes that aren't UTF-8, so they come after the decoding
     text = F.when(F.col("utf8"), F.col("record")).otherwise(F.decode(F.col("record").cast("binary"), "ISO-8859-1"))
     text = F.regexp_replace(text, "\r$", "").alias("record")
-    texts = lambda found: found.join(facts.select(FILE, "utf8"), FILE).select(FILE, RANGE, PLACE, text, "header")
+    # one row per file
+    texts = lambda found: found.join(F.broadcast(facts.select(FILE, "utf8")), FILE).select(FILE, RANGE, PLACE, text, "header")
     start = ranges.where("first is not null").agg(F.min(F.struct(FILE, F.col(f"first.{RANGE}").alias(RANGE), F.col(f"first.{PLACE}").alias(PLACE))).alias("s")).first()["s"]
     if start is None:
         return spark.createDataFrame([], f"{ROW} bigint" if row_index else "_c0 string")
     # the first file's header, out of the range it starts in, or of all if it goes on in the next one
     here = (F.col(FILE) == start[FILE]) & (F.col(RANGE) == start[RANGE])
     inside = ranges.where(here & (~F.col("goes_on") | (F.col("last") > start[PLACE])))
-    near = marked if inside.isEmpty() else marked.where(here)
-    top = texts(records(near, ranges)).where(F.col("header") & (F.col(FILE) == start[FILE])).first()["record"]
+    near = (marked, ranges) if inside.isEmpty() else (marked.where(here), ranges.where(here).withColumn(SLOT, F.lit(0)))
+    top = texts(records(*near)).where(F.col("header") & (F.col(FILE) == start[FILE])).first()["record"]
     names = header_names(next(csv.reader(top.splitlines(keepends=True), delimiter=sep)))
     body = texts(records(marked, ranges)).where(~F.col("header") & (F.trim("record") != ""))
     schema = ", ".join(f"c{i} string" for i in range(len(names)))

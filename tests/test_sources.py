@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cellwright.operators.fuzzy import _lcs, apply_canonical, canonical_keys, fuzzy_canonical, fuzzy_pairs, value_keys
 from cellwright.operators.rows import with_file_row_index
+from cellwright.sources import delimited
 from cellwright.sources.benchmarks import run_benchmarks
 from cellwright.sources.readers import from_records, load, load_file, nan_to_null
 from cellwright.sources.writers import append_audit, save_csv, save_json, sidecar
@@ -189,6 +190,32 @@ def test_quoted_line_feeds_in_many_tasks(spark, tmp_path, ending):
     assert got == [(i, *r) for i, r in enumerate(rows)]
 
 
+def test_tasks_of_a_large_file_hold_a_slot_each(spark, tmp_path, monkeypatch):
+    """A task gets a slot's bytes and one range at most, with 2 shuffle partitions too."""
+    import csv
+
+    rows, path = odd_table(5, 600), str(tmp_path / "large.csv")
+    with open(path, "w", newline="") as f:
+        csv.writer(f, lineterminator="\n").writerows([["id", "a", "b", "c"], *rows])
+    monkeypatch.setattr(delimited, "SLOT_BYTES", 1500, raising=False)
+    settings = {"spark.sql.files.maxPartitionBytes": "700", "spark.sql.files.openCostInBytes": "700", "spark.sql.shuffle.partitions": "2"}
+    was = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        marked = delimited.marked_lines(delimited.text_lines(spark, path), ",")
+        found = delimited.records(marked, delimited.range_states(marked)).withColumn("task", F.spark_partition_id())
+        tasks = found.groupBy("task").agg(F.sum(F.octet_length("record")).alias("n"), F.count("*").alias("records")).collect()
+        got = sorted(map(tuple, load_file(spark, path, row_index=True).collect()))
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert got == [(i, *r) for i, r in enumerate(rows)]
+    assert sum(t["records"] for t in tasks) == 601
+    # records that cross a range's end are a few more, in the 2 tasks of a second shuffle
+    assert len(tasks) > 8 and sorted(t["n"] for t in tasks)[-3] <= 1500 + 700
+
+
 def test_stray_quotes_open_no_cell(spark, tmp_path):
     p = tmp_path / "stray.csv"
     p.write_text('a,b\n5" pipe,1\nx"y"z,2\n"in\nside",3\n7" rod,4\n')
